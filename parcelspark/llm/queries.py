@@ -20,6 +20,13 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import kdtree
+
+    rows = table(spark, sf_dir, "embeddings")
+    return kdtree.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelspark.llm import pii
 
@@ -32,6 +39,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import common, tokens
+
+    # A fresh cache for each call: the query gives the same figures however often it ran before.
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), pattern())
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelspark.llm import simhash
 
@@ -44,18 +58,34 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import mixing
+
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelspark.llm import bpe, common
 
     return bpe.encode_docs(table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.tiktoken"), pattern(), with_ids=False)
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {}

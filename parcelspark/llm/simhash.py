@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parcelspark.llm.common import components, cut
 
@@ -104,17 +105,44 @@ def pigeonring_edges(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return paired.unionByName(through).distinct()
 
 
+def fingerprint_groups(fp: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """(fp, root) of every distinct fingerprint: those that chains of links connect share a root."""
+    own = cut(fp.select("fp").distinct(), "distinct")
+    roots = components(pigeonring_edges(own, pair_limit)).withColumnRenamed("node", "fp")
+    return cut(own.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the smallest id reachable).
 
     Null and empty texts have fingerprint zero and link like any other; repeated ids and rows are each returned. A null
-    id is returned, and is a component's id only where the component has no other. An empty table gives no rows.
+    id is returned too, and names a component only where it has no other. An empty table gives no rows.
     """
     fp = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    own = cut(fp.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(pigeonring_edges(own.select("fp"), pair_limit)).withColumnRenamed("node", "fp")
-    linked = own.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = linked.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    out = fp.join(cut(labels, "labels"), "fp")
+    groups = fingerprint_groups(fp, pair_limit)
+    least = fp.groupBy("fp").agg(F.min("id").alias("least")).join(groups, "fp")
+    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = fp.join(cut(groups.join(smallest, "root").select("fp", "component_id"), "labels"), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """docs with one row of each near-duplicate group: that with the smallest doc_id, null ids last. Same columns.
+
+    Of rows with the same id and fingerprint one stays.
+    """
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = pa.array([fingerprint(t.as_py()) for t in b.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, values], [*names, "__fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    rows = cut(docs.mapInArrow(run, schema), "with-fingerprint")
+    fp = rows.select(F.col("__fp").alias("fp"), F.col("doc_id").alias("id"))
+    least = fp.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
+    chosen = least.join(fingerprint_groups(fp, pair_limit), "fp").groupBy("root").agg(F.min(F.struct("least", "fp")).alias("c"))
+    chosen = cut(chosen.select(F.col("c.fp").alias("fp"), F.col("c.least.id").alias("id")), "chosen")
+    stay = rows.join(chosen, (F.col("__fp") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "__fp"]).select(*names)
