@@ -181,13 +181,13 @@ def address_matches(addresses: DataFrame, gaz: DataFrame, key: str = "id") -> Da
     short = F.regexp_replace("s", r"^\S+\s+", "")
     tries = F.array_distinct(F.array(F.struct(F.lit(0).alias("t"), F.col("s").alias("find")), F.struct(F.lit(1).alias("t"), short.alias("find"))))
     a = a.withColumn("__t", F.explode(tries)).select("*", "__t.t", "__t.find").drop("__t")
-    # The middle words of the text must be whole words of the street; its first and last may be parts of one.
+    # The middle words of the text must be whole words of the street; its first and last may be parts of one, so a text
+    # of up to two words is looked up by the first three letters of its longer word, at any place of the street.
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("z"), w.alias("w"))))["w"]
     words = F.split("find", r"\s+")
-    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array(F.lit("")))
-    a = a.withColumn("__w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("z"), w.alias("w"))))["w"])
-    a = a.withColumn("__w", F.when(F.col("__w") != "", F.col("__w")).otherwise(F.substring("find", 1, 3)))
+    a = a.withColumn("__w", F.when(F.size(words) > 2, longest(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).otherwise(F.substring(longest(words), 1, 3)))
+    a = a.where(F.length("find") >= 3)
     parts = F.split("street", r"\s+")
-    # A text of up to two words is found by its first three letters, at any place of the street.
     threes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("street") - 2, F.lit(1))), lambda i: F.substring(F.col("street"), i, F.lit(3)))
     g = gaz.select("street", "house_number", F.col("city").alias("gc"), "lat", "lon", F.explode(F.array_distinct(F.concat(parts, threes))).alias("__w"))
     hit = a.join(g, "__w").where(F.contains("street", "find") & (F.col("c").isNull() | F.contains("gc", "c")))
