@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -155,17 +157,15 @@ def layer_counters(runs: DataFrame) -> DataFrame:
     return runs.agg(*[F.sum(F.size(c)).alias(f"n_{c}") for c in ("entries", "failures", "rendered", "skipped")], F.avg(F.col("valid").cast("int")).alias("valid_rate"))
 
 
-def query_combinations(options: DataFrame, partial: bool) -> DataFrame:
-    """(text) of all sentences from option lists (position, choice): the first list always, others with or without one.
+def query_combinations(spark: SparkSession, lists: Sequence[Sequence[str]], partial: bool) -> DataFrame:
+    """(text) of all sentences from option lists: one of the first list, one (with partial: or none) of each other.
 
-    A small list of lists: joins one after the other on a constant key, in order of the lists.
+    The lists are literals, so this is one row exploded once for each list.
     """
-    lists = sorted(r["position"] for r in options.select("position").distinct().collect())
-    out = options.where(F.col("position") == lists[0]).select(F.col("choice").alias("text"))
-    for p in lists[1:]:
-        nxt = options.where(F.col("position") == p).select(F.col("choice").alias("__c"))
-        nxt = nxt.unionByName(options.sparkSession.createDataFrame([(None,)], "__c string")) if partial else nxt
-        out = out.withColumn("__k", F.lit(1)).join(nxt.withColumn("__k", F.lit(1)), "__k").select(F.concat_ws(" ", "text", "__c").alias("text"))
+    out = spark.range(1).select(F.lit("").alias("text"))
+    for i, choices in enumerate(lists):
+        each = F.array(*[F.lit(c) for c in choices], *[F.lit(None).cast("string")] * (partial and i > 0))
+        out = out.select("text", F.explode(each).alias("__c")).select(F.concat_ws(" ", F.nullif(F.col("text"), F.lit("")), "__c").alias("text"))
     return out
 
 

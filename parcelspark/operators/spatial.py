@@ -32,8 +32,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, top_lat: fl
     a = left.withColumns(dict(zip(("__i", "__j"), cells(F.col(lat), F.col(lon), radius_km, top_lat), strict=True)))
     i, j = cells(F.col(right_lat), F.col(right_lon), radius_km, top_lat)
     steps = F.array(*[F.struct(F.lit(x).alias("di"), F.lit(y).alias("dj")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    b = right.withColumns({"__ci": i, "__cj": j}).withColumn("__s", F.explode(steps))
-    b = b.withColumns({"__i": F.col("__ci") + F.col("__s.di"), "__j": F.col("__cj") + F.col("__s.dj")}).drop("__ci", "__cj", "__s")
+    b = right.withColumns({"__ci": i, "__cj": j}).withColumn("__step", F.explode(steps))
+    b = b.withColumns({"__i": F.col("__ci") + F.col("__step.di"), "__j": F.col("__cj") + F.col("__step.dj")}).drop("__ci", "__cj", "__step")
     joined = a.join(b, ["__i", "__j"]).withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon)))
     return joined.where(F.col("distance_km") <= radius_km).drop("__i", "__j")
 
@@ -106,7 +106,7 @@ def poi_tree(pois: DataFrame) -> DataFrame:
     """The other way: one row, category -> amenity -> points, for a JSON file."""
     points = pois.groupBy("category", "amenity").agg(F.array_sort(F.collect_list(F.struct("id", "lat", "lon"))).alias("points"))
     amenities = points.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("amenity", "points")))).alias("amenities"))
-    return amenities.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "amenities")))).alias("tree"))
+    return amenities.agg(F.map_from_entries(F.collect_list(F.struct("category", "amenities"))).alias("tree"))  # maps have no order
 
 
 def relocate(pois: DataFrame, category: str, amenity: str, to: str) -> DataFrame:

@@ -424,11 +424,11 @@ CDF_ERF = f"(1 - ((((1.061405429 * {CDF_T} - 1.453152027) * {CDF_T} + 1.42141374
 
 @query(
     "energy_percentile",
-    f"WITH {USE}, x AS (SELECT *, kwh / surface AS x FROM u), s AS (SELECT usage, avg(x) AS m, stddev_samp(x) AS sd FROM x WHERE x > 0 AND x < 1000 GROUP BY 1), zz AS (SELECT l_orderkey, l_linenumber, l_partkey, kwh, CAST((x - m) / sd AS DOUBLE) AS z FROM x JOIN s USING (usage)) SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(least(100, greatest(0, 100 * (1 - CASE WHEN z >= 0 THEN (1 + {CDF_ERF}) / 2 ELSE (1 - {CDF_ERF}) / 2 END)))) AS INT) AS energy_percentile, round(kwh * 0.25, 2) AS energy_cost FROM zz",
+    f"WITH {USE}, x AS (SELECT *, kwh / surface AS x FROM u), s AS (SELECT usage, avg(x) AS m, stddev_samp(x) AS sd FROM x WHERE x > 0 AND x < 1000 GROUP BY 1), zz AS (SELECT l_orderkey, l_linenumber, l_partkey, kwh, CAST((x - m) / sd AS DOUBLE) AS z FROM x JOIN s USING (usage)) SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(least(100, greatest(0, 100 * (1 - CASE WHEN z >= 0 THEN (1 + {CDF_ERF}) / 2 ELSE (1 - {CDF_ERF}) / 2 END)))) AS INT) AS energy_percentile, kwh * 0.25 AS energy_cost FROM zz",
 )
 def _(spark, sf):
     got = rollup.energy_percentile(_use(spark, sf), "usage", "kwh", "surface")
-    return got.select("l_orderkey", "l_linenumber", "l_partkey", F.col("energy_percentile").cast("int").alias("energy_percentile"), F.round("energy_cost", 2).alias("energy_cost"))
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", F.col("energy_percentile").cast("int").alias("energy_percentile"), "energy_cost")
 
 
 PLANT = "CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'Heat pump' WHEN 1 THEN 'condensing boiler' WHEN 2 THEN 'boiler' END"
@@ -481,7 +481,7 @@ CLS = k2("energy_class", ["A4", "A3", "A2", "A1", "B", "C"])
 EN = f"round_even(({CLS} + {k1('mobility', 37.0, '>=')}) / 2, 1)"
 BUILD = f"round_even(({k2('property_type', ['ECONOMY', 'SMALL'])} + {k1('surface_area', 170.0, '>=')}) / 2, 1)"
 W1, W2, W3 = (w for w in scoring.harmonic(3))
-PROX = f"round_even(100 * {W1!r} * {k1('mobility', 37.0, '>=')} / 100 + 100 * {W2!r} * green / 100 + 100 * {W3!r} * {k1('sport', 61.0, '<=')} / 100, 1)"
+PROX = f"round_even(100 * CAST({W1!r} AS DOUBLE) * {k1('mobility', 37.0, '>=')} / 100 + 100 * CAST({W2!r} AS DOUBLE) * green / 100 + 100 * CAST({W3!r} AS DOUBLE) * {k1('sport', 61.0, '<=')} / 100, 1)"
 REG = f"round_even(({k2('energy_class', ['A1', 'B'])} + {k1('surface_area', 170.0, '>')}) / 2, 1)"
 Need = scoring.Need
 STATS = {"green": scoring.Range(0.0, 100.0)}
@@ -779,8 +779,7 @@ def _(spark, sf):
 
 @query("query_combinations", "WITH a AS (SELECT unnest(['office', 'home']) AS a), b AS (SELECT unnest(['near metro', 'in centre', NULL]) AS b), c AS (SELECT unnest(['class A', 'class B', NULL]) AS c) SELECT concat_ws(' ', a, b, c) AS text FROM a, b, c")
 def _(spark, sf):
-    rows = [(0, "office"), (0, "home"), (1, "near metro"), (1, "in centre"), (2, "class A"), (2, "class B")]
-    return metrics.query_combinations(spark.createDataFrame(rows, "position int, choice string"), partial=True)
+    return metrics.query_combinations(spark, [["office", "home"], ["near metro", "in centre"], ["class A", "class B"]], partial=True)
 
 
 @query(
