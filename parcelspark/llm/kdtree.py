@@ -126,7 +126,7 @@ def top_k(rows: DataFrame, queries: DataFrame, s: Settings = Settings(), id_col:
 
     A query's own id never counts as its result; repeated ids in rows are candidates each by itself, a query row that
     is repeated is asked once. Vectors null, empty or with null or non-finite components, and null ids, take no part.
-    With fewer than k candidates all are returned; an empty table gives none.
+    With fewer than k candidates all are returned; an empty table gives none. Scores have to fit a long.
     """
     base = cut(integers(rows, id_col, vec_col), "vectors")
     ask = cut(integers(queries, id_col, vec_col).distinct(), "queries")

@@ -188,11 +188,13 @@ def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     p = plan(docs, h, s, "doc_id", "text", "source")
     key = ["id", "h", "size", "sid", "__bucket", "__pos"]
     spans = overlaps(p, s).join(p.drawn, ["sid", "block"]).groupBy(*key, "pass").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    # Rows that are equal in all columns share one text; each still has its own spans.
-    texts = docs.withColumn("__h", h).dropDuplicates(["doc_id", "__h"])
-    same = (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("doc_id"))
-    out = spans.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("id"), "h", F.col("size").alias("__size"), F.col("spans").alias("__spans"))
-    out = out.join(texts, same).select(*names, "__size", "__spans")
+    # Rows that are equal in all columns share one text; each still has its own spans. The row is packed, so that no
+    # column of it can clash with a name used here.
+    packed = docs.select(h.alias("__h"), F.col("doc_id").alias("__id"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("__row"))
+    texts = packed.dropDuplicates(["__id", "__h"])
+    same = (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__id"))
+    out = spans.select("id", "h", F.col("size").alias("__size"), F.col("spans").alias("__spans")).join(texts, same)
+    out = out.select(*[F.col(f"__row.c{i}").alias(f"c{i}") for i in range(len(names))], "__size", "__spans")
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,15 +186,18 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts without a span, and null ones, stay as they are.
     """
     others = [c for c in docs.columns if c != text_col]
-    df = find(docs.withColumn("__null", F.col(text_col).isNull()), [*others, "__null"], text_col)
+    # The other columns travel as one struct, so that none can clash with a name used here.
+    packed = docs.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("__row"), F.col(text_col).alias("__t"), F.col(text_col).isNull().alias("__null"))
+    df = find(packed, ["__row", "__null"], "__t")
     by_start = F.array_sort(F.transform(F.concat("__base", "__more"), lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), p["kind"].alias("kind"))))
-    df = df.select(*others, "__null", "__text", by_start.alias("__spans"))
+    df = df.select("__row", "__null", "__text", by_start.alias("__spans"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     cut_to = lambda a, p: F.substring(F.col("__text"), (a["at"] + 1).cast("int"), (p["s"] - a["at"]).cast("int"))
     step = lambda a, p: F.when(p["s"] < a["at"], a).otherwise(F.struct((-p["e"]).alias("at"), F.concat(a["out"], cut_to(a, p), F.lit("["), F.upper(p["kind"]), F.lit("]")).alias("out")))
     rest = lambda a: F.concat(a["out"], F.substring(F.col("__text"), (a["at"] + 1).cast("int"), F.length("__text")))
     text = F.when(F.col("__null"), F.lit(None)).when(F.size("__spans") == 0, F.col("__text")).otherwise(F.aggregate("__spans", start, step, rest))
-    out = df.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    df = df.select("__row", "__spans", text.alias("__new"))
+    out = {c: F.col(f"__row.c{i}") for i, c in enumerate(others)} | {text_col: F.col("__new")}
+    if "n_chars" in others:
+        out["n_chars"] = F.when(F.size("__spans") == 0, out["n_chars"]).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[out[c].alias(c) for c in docs.columns])

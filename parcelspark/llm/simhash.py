@@ -132,17 +132,20 @@ def keep_one(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     Of rows with the same id and fingerprint one stays.
     """
     at, names = docs.columns.index("text"), docs.columns
+    own = "__fp"
+    while own in names:
+        own = f"_{own}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = pa.array([fingerprint(t.as_py()) for t in b.column(at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, values], [*names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, values], [*names, own])
 
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    schema = StructType([*docs.schema.fields, StructField(own, LongType())])
     rows = cut(docs.mapInArrow(run, schema), "with-fingerprint")
-    fp = rows.select(F.col("__fp").alias("fp"), F.col("doc_id").alias("id"))
+    fp = rows.select(F.col(own).alias("fp"), F.col("doc_id").alias("id"))
     least = fp.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
     chosen = least.join(fingerprint_groups(fp, pair_limit), "fp").groupBy("root").agg(F.min(F.struct("least", "fp")).alias("c"))
     chosen = cut(chosen.select(F.col("c.fp").alias("fp"), F.col("c.least.id").alias("id")), "chosen")
-    stay = rows.join(chosen, (F.col("__fp") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__fp"]).select(*names)
+    stay = rows.join(chosen, (rows[own] == chosen["fp"]) & rows["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", own]).select(*names)

@@ -37,9 +37,9 @@ def test_top_k(spark, shard):
 def test_top_k_small(spark):
     one = spark.createDataFrame([(0, [1.0]), (50, [2.0, 3.0])], "vec_id long, embedding array<double>")
     assert kdtree.top_k(one, one).count() == 0  # no candidate of the same length
-    big = spark.createDataFrame([(0, [3e12]), (1, [2e3]), (2, [-2e3])], "vec_id long, embedding array<double>")
+    big = spark.createDataFrame([(0, [3e9]), (1, [2e3]), (2, [-2e3])], "vec_id long, embedding array<double>")
     got = kdtree.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(1, int(3e12 * 256) * 512_000), (2, -int(3e12 * 256) * 512_000)]
+    assert [(r.vec_id, r.score) for r in got] == [(1, int(3e9 * 256) * 512_000), (2, -int(3e9 * 256) * 512_000)]
     assert kdtree.top_k(big.limit(0), big.limit(0)).count() == 0
 
 
