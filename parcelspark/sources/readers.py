@@ -39,8 +39,9 @@ def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_after_preamble(spark: SparkSession, path: str, skip: int = 2, sep: str = ",") -> DataFrame:
     """A small delimited file whose first lines are no data: of each file the first `skip` lines go, the next is the header."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.split("value", r"\r?\n"), skip + 1, 1 << 30)).alias("line")).where("trim(line) <> ''")
-    header = lines.first()[0]
+    every = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    lines = every.where((F.col("at") >= skip) & (F.trim("line") != "")).select("line")
+    header = every.where(F.col("at") == skip).select("line").first()[0]
     names = [c.strip().strip('"') for c in header.split(sep)]
     ddl = ", ".join(f"`{n}` string" for n in names)
     rows = lines.where(F.col("line") != header).select(F.from_csv("line", ddl, {"sep": sep}).alias("r"))
@@ -140,14 +141,14 @@ def image_of(xml: Column, least: int = 100) -> Column:
 def pois(spark: SparkSession, path: str) -> DataFrame:
     """(category, amenity, id, lat, lon) of a nested JSON file."""
     shape = "map<string, map<string, array<struct<id: bigint, lat: double, lon: double>>>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(flatten_pois(F.from_json("value", shape))).alias("p")).select(F.lower(F.trim("p.category")).alias("category"), "p.amenity", "p.id", "p.lat", "p.lon")
 
 
 def zones(spark: SparkSession, path: str, name: str = "zone") -> DataFrame:
     """(zone_index, zone, ring) of the outer rings of a GeoJSON file in WGS84."""
     shape = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     f = text.select(F.posexplode(F.from_json("value", shape)["features"]).alias("zone_index", "f")).where("f.geometry.type = 'Polygon'")
     ring = F.transform(F.get(F.col("f.geometry.coordinates"), 0), lambda p: F.struct(F.get(p, 0).alias("lon"), F.get(p, 1).alias("lat")))
     return f.select("zone_index", F.element_at("f.properties", name).alias("zone"), ring.alias("ring"))
@@ -264,7 +265,7 @@ def rule_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def metro_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, position, name) of a folder with a CSV per line, in file order."""
-    whole = spark.read.option("wholetext", True).text(path).select(X.file_name(F.input_file_name()).alias("f"), F.posexplode(F.split("value", r"\r?\n")).alias("position", "row"))
+    whole = spark.read.text(path, wholetext=True).select(X.file_name(F.input_file_name()).alias("f"), F.posexplode(F.split("value", r"\r?\n")).alias("position", "row"))
     return whole.where("position > 0 and trim(row) <> ''").select(F.regexp_replace("f", r"\.csv$", "").alias("line"), "position", F.trim(F.element_at(F.split("row", "[;,]"), 1)).alias("name"))
 
 

@@ -12,9 +12,11 @@ def read(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8)
 
 def hourly(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
     """(hour, event_type, n, total) of tumbling hours: the same on a stream, where `late` bounds its state, and on a table."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
+    kind = events.schema["ts"].dataType
+    # A watermark needs a timestamp with a zone; the hour goes back to the column's own type.
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late and events.isStreaming else events
     got = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return got.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+    return got.select(F.col("w.start").cast(kind).alias("hour"), "event_type", "n", "total")
 
 
 def latest(events: DataFrame, key: str = "user_id") -> DataFrame:
