@@ -215,3 +215,43 @@ def test_pipeline(spark, docs):
         plain = nxt
     assert plain.columns[0] == "doc_id" and plain.count() > 0
     assert plain.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_resampling(spark, docs, rows, empty):
+    """Weights and the sample against the definitions: counts by hand, and the k largest keys by sorting."""
+    from parcelspark.llm import resample
+
+    s = resample.Settings(buckets=512, keep_share=0.5, block=40)
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (11, 0, 0), (4, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = resample.select(docs, labels, s).collect()
+    assert len(got) == len(rows)
+    counts = [np.concatenate([*resample.hashes(r[1] or "", s), np.zeros(0, int)]).astype(int) for r in rows]
+    raw = sum(np.bincount(h, minlength=512) for h in counts)
+    target = sum(np.bincount(h, minlength=512) for h, r in zip(counts, rows, strict=True) if r[0] in (0, 3))
+    table = np.log(target + s.smoothing) - np.log(raw * (target.sum() / raw.sum()) + s.smoothing)
+    want = sorted((len(h), round(float(table[h].sum()), 4)) for h in counts)
+    assert sorted((r.n_ngrams, round(r.log_weight, 4)) for r in got) == want
+    assert not any(r.kept for r in got if r.n_ngrams == 0)
+    full = sum(r.n_ngrams > 0 for r in got)
+    assert abs(sum(r.kept for r in got) - round(full / 2)) <= 1  # two equal rows stay or go together
+    assert max(r.log_weight for r in got if r.n_ngrams and not r.kept) < max(r.log_weight for r in got if r.kept)
+    assert all(r.log_weight == 0 for r in resample.select(docs, labels.limit(0), s).collect())
+    assert resample.select(empty, labels, s).count() == 0
+
+
+def test_hash_blocks_cover_texts():
+    from parcelspark.llm import resample
+
+    text = "Some text, être ou ne pas être. " * 30
+    cat = lambda s: sorted(np.concatenate(list(resample.hashes(text, s))))
+    assert cat(resample.Settings(block=50)) == cat(resample.Settings())
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 250, 500, 900])
+def test_kth_largest(spark, k):
+    from parcelspark.llm import resample
+
+    values = [float((i * 7919) % 251) ** 3 - 5e6 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    want = sorted(values, reverse=True)[min(k, 500) - 1] if k else None
+    assert resample.kth_largest(df, "x", k, bins=5) == want
