@@ -137,7 +137,8 @@ def plan(docs: DataFrame, row_hash: Column, s: Settings, id_col: str, text_col:
     numbered = rows.join(F.broadcast(sources.select("sid", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")  # max_sources bounds it
     placed = prefix_sums(numbered, "sid", "size", ["id", "size", "h"], rows=sum(r["n"] for r in sums))
     blocks = [(i, -(-n // s.block_words), t / n * -(-n // s.block_words)) for i, _, n, t in known if n > 0]
-    return Plan(placed, sources.drop("name"), drawn_blocks(spark, blocks, s))
+    # Written, so that joins see its size: the planner takes what comes out of a range for as small as the range.
+    return Plan(placed, sources.drop("name"), cut(drawn_blocks(spark, blocks, s), "mix-drawn"))
 
 
 def overlaps(p: Plan, s: Settings) -> DataFrame:
