@@ -57,7 +57,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def prefix_sums(df: DataFrame, group: str, value: str, order: list[str], bucket_rows: int = 4096, rows: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, value: str, order: list[str], bucket_rows: int = 1024, rows: int | None = None) -> DataFrame:
     """Add __start (sum of `value` before the row within `group`) and __bucket, __pos that identify the row.
 
     Two levels, so that no task gets a whole group: rows are dealt into hashed buckets of about bucket_rows, each
