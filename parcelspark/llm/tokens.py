@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm.bpe import ByteBPE
-from parcelspark.llm.common import fresh_path
+from parcelspark.llm.common import cut, fresh_path
 
 LIMIT = 512
 #: Characters whose class is the same in every version of Unicode's tables: Latin letters and general punctuation.
@@ -123,4 +123,5 @@ def count_tokens(
 
     misses.mapInArrow(run, "digest binary, n_tokens long").write.mode("append").parquet(store)
     rows = docs.select(F.col(id_col), F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), digest)
-    return rows.join(read(), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Cut, so that the join's two sides are plain exchanges and a digest of many copies is a skew that AQE can split.
+    return rows.join(cut(read(), "counts"), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
