@@ -204,6 +204,20 @@ def test_mined_rules(spark):
     assert kept == {("b",), ("c",), ("y",), ("a", "x")}
 
 
+def test_mined_rules_decide(spark):
+    """Pages that no fixed rule judges get the verdict of a mined rule, but not of one that only repeats the base rate."""
+    given = [f"http://a{i}.com/de/{i}" for i in range(30)] + [f"http://b{i}.net/fr/{i}" for i in range(70)]
+    free = [f"http://c{i}.org/{s}/{i}" for i in range(60) for s in ("de", "fr", "en")]
+    df = spark.createDataFrame(list(enumerate([*given, *free])), "page_id long, url string")
+    got = [r for r in urls.judge(df).collect() if r.rule is None]
+    assert len(got) == len(free) and all(r.verdict == {"de": "allow", "fr": "block", "en": "allow"}[r.path[1:3]] for r in got)
+    assert all((r.confidence is None) == r.path.startswith("/en") for r in got)
+    same = urls.mine(spark.createDataFrame([(["a"], "block")] * 50, "tokens array<string>, verdict string"))
+    assert same.count() == 1 and urls.prune(same).count() == 0
+    real = urls.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert real.where("rule is null and confidence is not null and verdict = 'block'").count() > 0
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as cp
 
