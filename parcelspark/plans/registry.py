@@ -222,9 +222,9 @@ def _(spark, sf):
     return finalise.tiers(df, _result(df).select("id", F.col("ranking_score").alias("score")))
 
 
-@query("run_semi_join", f"{E} SELECT {ALL} FROM estates WHERE id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_orderkey % 100 = 7)")
+@query("run_semi_join", f"{E} SELECT {ALL} FROM estates WHERE id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem)")
 def _(spark, sf):
-    runs = table(spark, sf, "lineitem").where("l_orderkey % 100 = 7").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
+    runs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
     return finalise.result_filter(estates(spark, sf), runs).select(*SHOWN)
 
 
@@ -610,13 +610,12 @@ def _(spark, sf):
     return metrics.layer_counters(runs)
 
 
-RANK_SQL = "r AS (SELECT o_custkey % 150 AS g, o_orderkey AS k, list(DISTINCT l_partkey % 40) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"
+RANK_SQL = "r AS (SELECT o_custkey % 150 AS g, o_orderkey AS k, list(DISTINCT l_partkey % 40) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 IOU = "CASE WHEN len(list_distinct(list_concat(a.items, b.items))) = 0 THEN 1 ELSE CAST(len(list_intersect(a.items, b.items)) AS DOUBLE) / len(list_distinct(list_concat(a.items, b.items))) END"
 
 
 def _rankings(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey % 7 = 0")
-    j = o.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    j = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return j.groupBy((F.col("o_custkey") % 150).alias("g"), F.col("o_orderkey").alias("k")).agg(F.collect_set(F.col("l_partkey") % 40).alias("items"))
 
 
@@ -638,10 +637,10 @@ def _(spark, sf):
 
 @query(
     "shared_item_pairs",
-    "WITH r AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS i FROM lineitem WHERE l_orderkey % 5 = 0), n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), s AS (SELECT a.k AS a, b.k AS b, count(*) AS s FROM r a JOIN r b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2) SELECT a, b, round(CAST(s AS DOUBLE) / (x.n + y.n - s), 4) AS iou FROM s JOIN n x ON x.k = a JOIN n y ON y.k = b",
+    "WITH r AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), s AS (SELECT a.k AS a, b.k AS b, count(*) AS s FROM r a JOIN r b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2) SELECT a, b, round(CAST(s AS DOUBLE) / (x.n + y.n - s), 4) AS iou FROM s JOIN n x ON x.k = a JOIN n y ON y.k = b",
 )
 def _(spark, sf):
-    got = metrics.overlap_pairs(table(spark, sf, "lineitem").where("l_orderkey % 5 = 0"), "l_orderkey", "l_partkey")
+    got = metrics.overlap_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
     return got.withColumn("iou", F.round("iou", 4))
 
 
