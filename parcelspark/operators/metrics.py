@@ -116,7 +116,7 @@ def out_of_domain(literals: DataFrame, stats: DataFrame) -> DataFrame:
 
     distance: how far outside, as a share of the range; tightness: how far inside, from 0 at an edge to 1 in the middle.
     """
-    j = literals.join(stats, "column")
+    j = literals.join(F.broadcast(stats), "column")
     span = F.nullif(F.col("max") - F.col("min"), F.lit(0.0))
     off = F.greatest(F.col("min") - F.col("value"), F.col("value") - F.col("max"), F.lit(0.0))
     inside = F.least(F.col("value") - F.col("min"), F.col("max") - F.col("value")) / span * 2
@@ -169,8 +169,16 @@ def query_combinations(spark: SparkSession, lists: Sequence[Sequence[str]], part
     return out
 
 
-def edges_by_line(stations: DataFrame) -> DataFrame:
-    """(a, b, lines): neighbours in the order of each line, the lines of one edge merged."""
-    prev = F.lag("name").over(Window.partitionBy("line").orderBy("position"))
-    e = stations.select("line", prev.alias("p"), F.col("name").alias("q")).where("p is not null and p <> q")
+def edges_by_line(stations: DataFrame, part: str | None = None) -> DataFrame:
+    """(a, b, lines): neighbours in the order of each line, the lines of one edge merged.
+
+    part: a column that never falls as position rises. Each part of a line is ordered by itself and only its two ends,
+    one row, meet those of the next part, so that no task gets a whole line.
+    """
+    s = stations.select("line", "name", "position", (F.col(part) if part else F.lit(0)).alias("__part"))
+    prev = F.lag("name").over(Window.partitionBy("line", "__part").orderBy("position"))
+    inside = s.select("line", prev.alias("p"), F.col("name").alias("q"))
+    ends = s.groupBy("line", "__part").agg(F.min_by("name", "position").alias("q"), F.max_by("name", "position").alias("__last"))
+    across = ends.select("line", F.lag("__last").over(Window.partitionBy("line").orderBy("__part")).alias("p"), "q")
+    e = inside.unionByName(across).where("p is not null and p <> q")
     return e.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.concat_ws("/", F.array_sort(F.collect_set("line"))).alias("lines"))

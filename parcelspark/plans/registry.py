@@ -318,12 +318,12 @@ def _(spark, sf):
 
 @query(
     "address_match_score",
-    "WITH g AS (SELECT 'via ' || lower(replace(p_name, ' ', ' di ')) AS street, CAST(p_partkey % 30 AS VARCHAR) AS hn, 'city' || CAST(p_partkey % 4 AS VARCHAR) AS gc FROM part WHERE p_partkey < 400), a AS (SELECT c_custkey AS id, 'via ' || ['small di ring', 'red di widget', 'ring', 'nothing'][c_custkey % 4 + 1] AS s, CAST(c_custkey % 30 AS VARCHAR) AS n, 'city' || CAST(c_custkey % 4 AS VARCHAR) AS c FROM customer), "
+    "WITH g AS (SELECT 'via ' || lower(replace(p_name, ' ', ' di ')) AS street, CAST(p_partkey % 30 AS VARCHAR) AS hn, 'city' || CAST(p_partkey % 4 AS VARCHAR) AS gc FROM part), a AS (SELECT c_custkey AS id, 'via ' || ['small di ring', 'red di widget', 'ring', 'nothing'][c_custkey % 4 + 1] AS s, CAST(c_custkey % 30 AS VARCHAR) AS n, 'city' || CAST(c_custkey % 4 AS VARCHAR) AS c FROM customer), "
     "t AS (SELECT a.*, 0 AS t, s AS find FROM a UNION ALL SELECT a.*, 1, regexp_replace(s, '^\\S+\\s+', '') FROM a), j AS (SELECT id, t, (CASE WHEN c = gc THEN 100 ELSE 0 END) + (CASE WHEN s = street THEN 150 WHEN contains(street, s) OR contains(s, street) THEN 50 ELSE 0 END) + (CASE WHEN n = hn THEN 300 WHEN starts_with(hn, n) AND NOT regexp_matches(substr(hn, length(n) + 1, 1), '[0-9]') THEN 150 ELSE -100 END) AS score FROM t JOIN g ON contains(street, find) AND contains(gc, c)) "
     "SELECT id, CAST(arg_min(score, t * 10000 - score) AS INT) AS score FROM j GROUP BY id",
 )
 def _(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 400")
+    p = table(spark, sf, "part")
     street = F.concat(F.lit("via "), F.lower(F.replace("p_name", F.lit(" "), F.lit(" di "))))
     g = p.select(street.alias("street"), (F.col("p_partkey") % 30).cast("string").alias("house_number"), F.concat(F.lit("city"), (F.col("p_partkey") % 4).cast("string")).alias("city"), F.lit(45.0).alias("lat"), F.lit(7.6).alias("lon"))
     k = F.col("c_custkey")
@@ -677,10 +677,10 @@ def _(spark, sf):
 
 @query(
     "ood_tightness",
-    f"{E}, s AS (SELECT min(surface_area) AS lo, max(surface_area) AS hi FROM estates), l AS (SELECT CAST(o_orderkey % 70 AS DOUBLE) * 10 AS value FROM orders WHERE o_orderkey < 200) SELECT value, (value < lo OR value > hi) AS ood, round(greatest(lo - value, value - hi, 0) / (hi - lo), 4) AS distance, round(CASE WHEN value < lo OR value > hi THEN 0 ELSE least(value - lo, hi - value) / (hi - lo) * 2 END, 4) AS tightness FROM l, s",
+    f"{E}, s AS (SELECT min(surface_area) AS lo, max(surface_area) AS hi FROM estates), l AS (SELECT CAST(o_orderkey % 70 AS DOUBLE) * 10 AS value FROM orders) SELECT value, (value < lo OR value > hi) AS ood, round(greatest(lo - value, value - hi, 0) / (hi - lo), 4) AS distance, round(CASE WHEN value < lo OR value > hi THEN 0 ELSE least(value - lo, hi - value) / (hi - lo) * 2 END, 4) AS tightness FROM l, s",
 )
 def _(spark, sf):
-    lits = table(spark, sf, "orders").where("o_orderkey < 200").select(F.lit("surface_area").alias("column"), ((F.col("o_orderkey") % 70).cast("double") * 10).alias("value"))
+    lits = table(spark, sf, "orders").select(F.lit("surface_area").alias("column"), ((F.col("o_orderkey") % 70).cast("double") * 10).alias("value"))
     got = metrics.out_of_domain(lits, stats.numeric_stats(estates(spark, sf), ["surface_area"]).select("column", "min", "max"))
     return got.select("value", "ood", F.round("distance", 4).alias("distance"), F.round("tightness", 4).alias("tightness"))
 
@@ -782,12 +782,11 @@ def _(spark, sf):
 
 @query(
     "graph_edges_lag",
-    "WITH s AS (SELECT l_returnflag || l_linestatus AS line, l_partkey % 50 AS name, lag(l_partkey % 50) OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS p FROM lineitem WHERE l_orderkey < 500) SELECT least(p, name) AS a, greatest(p, name) AS b, string_agg(DISTINCT line, '/' ORDER BY line) AS lines FROM s WHERE p IS NOT NULL AND p <> name GROUP BY 1, 2",
+    "WITH s AS (SELECT l_returnflag || l_linestatus AS line, l_partkey % 50 AS name, lag(l_partkey % 50) OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS p FROM lineitem) SELECT least(p, name) AS a, greatest(p, name) AS b, string_agg(DISTINCT line, '/' ORDER BY line) AS lines FROM s WHERE p IS NOT NULL AND p <> name GROUP BY 1, 2",
 )
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 500")
-    s = rows.select(F.concat("l_returnflag", "l_linestatus").alias("line"), (F.col("l_partkey") % 50).alias("name"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("position"))
-    return metrics.edges_by_line(s)
+    s = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("line"), (F.col("l_partkey") % 50).alias("name"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("position"), F.expr("l_orderkey div 1000").alias("part"))
+    return metrics.edges_by_line(s, part="part")
 
 
 @query("marker_clusters")

@@ -175,7 +175,8 @@ def address_matches(addresses: DataFrame, gaz: DataFrame, key: str = "id") -> Da
     Candidates hold the cleaned street, or else what follows its first word, and the city. Rather than test each pair,
     entries are listed under every word of their street and addresses under their rarest one (the longest), so all
     entries that hold the text meet it. Scores: city 100; street 150, or 50 if one holds the other; number 300, 150
-    for a prefix, -100 for another. Ties to the smallest entry.
+    for a prefix, -100 for another. Ties to the smallest entry, so of entries alike in street, number and city only the
+    smallest is listed.
     """
     a = addresses.select(F.col(key).alias("__id"), X.clean_street(F.col("street")).alias("s"), X.house_number(F.col("street"), F.col("number")).alias("n"), F.lower(F.trim("city")).alias("c"))
     a = a.where(F.length("s") >= 3)
@@ -190,7 +191,8 @@ def address_matches(addresses: DataFrame, gaz: DataFrame, key: str = "id") -> Da
     a = a.where(F.length("find") >= 3)
     parts = F.split("street", r"\s+")
     threes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("street") - 2, F.lit(1))), lambda i: F.substring(F.col("street"), i, F.lit(3)))
-    g = gaz.select("street", "house_number", F.col("city").alias("gc"), "lat", "lon", F.explode(F.array_distinct(F.concat(parts, threes))).alias("__w"))
+    gaz = gaz.groupBy("street", "house_number", F.col("city").alias("gc")).agg(F.min(F.struct("lat", "lon")).alias("__at"))
+    g = gaz.select("street", "house_number", "gc", "__at.lat", "__at.lon", F.explode(F.array_distinct(F.concat(parts, threes))).alias("__w"))
     hit = a.join(g, "__w").where(F.contains("street", "find") & (F.col("c").isNull() | F.contains("gc", "c")))
     street = F.when(F.col("s") == F.col("street"), 150).when(F.contains("street", "s") | F.contains("s", "street"), 50).otherwise(0)
     bare = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))

@@ -4,18 +4,21 @@ from itertools import combinations
 
 import pytest
 
+from parcelspark.operators import metrics
 from parcelspark.plans.registry import QUERIES
 
 LINES = [(k, n, k * 7 % 11 + n, "ANR"[k % 3], "FO"[n % 2], 100.0 * n + k) for k in range(1001, 1031) for n in range(1, k % 4 + 2)]
 DDL = {
     "lineitem": "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string, l_extendedprice double",
     "orders": "o_orderkey long, o_custkey long",
+    "customer": "c_custkey long",
     "part": "p_partkey long, p_name string, p_type string, p_size int, p_brand string",
 }
 ROWS = {
     "lineitem": LINES,
     "orders": [(k, k % 4 + 150 * (k % 2)) for k in range(1001, 1031)],
-    "part": [(k, "small ring", "ECONOMY", k % 50 + 1, "Brand") for k in range(1, 21)],
+    "part": [(k, "small ring", "ECONOMY", k % 50 + 1, "Brand") for k in (*range(1, 21), 1228)],
+    "customer": [(28,), (9,)],
 }
 
 
@@ -59,3 +62,35 @@ def test_shared_item_pairs(spark, sf):
         items.setdefault(x[0], set()).add(x[2])
     want = [(a, b, round(iou(items[a], items[b]), 4)) for a, b in combinations(sorted(items), 2) if items[a] & items[b]]
     assert sorted(run(spark, sf, "shared_item_pairs")) == want
+
+
+def test_graph_edges_lag(spark, sf):
+    edges = {}
+    for line in {x[3] + x[4] for x in LINES}:
+        names = [x[2] % 50 for x in sorted(LINES) if x[3] + x[4] == line]
+        for p, q in zip(names, names[1:], strict=False):
+            if p != q:
+                edges.setdefault((min(p, q), max(p, q)), set()).add(line)
+    assert sorted(run(spark, sf, "graph_edges_lag")) == sorted((a, b, "/".join(sorted(v))) for (a, b), v in edges.items())
+
+
+@pytest.mark.parametrize("part", [None, "part"])
+def test_edges_over_parts(spark, part):
+    """Parts of one row, of several, and missing ones; equal names beside each other; null names."""
+    names = [3, 3, 1, None, 2, 5, 5, 4, 1, 2, 2, 7]
+    rows = [(line, n, i, i * i // 10) for line in "xy" for i, n in enumerate(names)]
+    got = metrics.edges_by_line(spark.createDataFrame(rows, "line string, name int, position int, part int").repartition(5), part).collect()
+    want = {(min(p, q), max(p, q), "x/y") for p, q in zip(names, names[1:], strict=False) if p and q and p != q}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_ood_tightness(spark, sf):
+    got = sorted(r[:2] for r in run(spark, sf, "ood_tightness"))
+    sizes = [10.0 * x[3] for x in ROWS["part"]]
+    values = [10.0 * (k % 70) for k, _ in ROWS["orders"]]
+    assert got == sorted((v, not min(sizes) <= v <= max(sizes)) for v in values)
+
+
+def test_address_match_score(spark, sf):
+    """Customer 28 asks for the street, number and city that only part 1228 has; 9 finds none of its street."""
+    assert sorted(run(spark, sf, "address_match_score")) == [(28, 550)]
