@@ -72,16 +72,29 @@ def activation(queries: DataFrame, expected: str, found: str) -> DataFrame:
 
 
 def phrases_in(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: str = "phrase", key: str = "id", words: int = 3) -> DataFrame:
-    """(id, phrase_id) where a text contains a phrase, in lower case: joined by the hash of the phrase's first words, which
-    the text must hold at some word, then tested. Phrases of fewer words join by all they have."""
+    """(id, phrase_id) where a text contains a phrase, in lower case: joined by a hash that any text with the phrase must
+    hold, then tested.
+
+    Between its first and last word a phrase's words are whole words of the text, and the first `words` of them are the
+    key. A phrase of one or two words may begin and end within words of the text, so its key is the first letters (up to
+    three) of its longest word, at any place of the text's words; a blank one meets every text. The texts list only the
+    kinds of keys that the phrases have.
+    """
     split = lambda c: F.split(F.lower(c), r"\s+")
-    lead = lambda w, n: F.xxhash64(F.array_join(F.slice(w, 1, n), " "))
-    p = phrases.select(F.col("phrase_id"), F.lower(phrase).alias("__p"), split(F.trim(phrase)).alias("__w")).withColumn("__n", F.least(F.size("__w") - 1, F.lit(words)))
-    p = p.withColumn("__n", F.greatest("__n", F.lit(1))).withColumn("__k", lead(F.col("__w"), F.col("__n"))).drop("__w")
+    size = F.size("__w")
+    p = phrases.select("phrase_id", F.lower(phrase).alias("__p"), split(F.trim(phrase)).alias("__w")).where("__p is not null")
+    longest = F.array_max(F.transform("__w", lambda w: F.struct(F.length(w).alias("z"), w.alias("w"))))["w"]
+    p = p.withColumn("__n", F.when(size > 2, F.least(size - 2, F.lit(words))).otherwise(0))
+    p = p.withColumn("__k", F.xxhash64(F.when(F.col("__n") > 0, F.array_join(F.slice("__w", 2, F.greatest("__n", F.lit(1))), " ")).otherwise(F.substring(longest, 1, 3)), "__n"))
+    kinds = p.agg(F.collect_set("__n").alias("__kinds"))
     t = texts.select(F.col(key).alias("id"), F.lower(text).alias("__t"), split(F.col(text)).alias("__tw"))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__tw") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__tw", i, n), " ")))
-    keys = t.select("id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, words + 1)]))).alias("__k"))
-    hit = keys.join(p, "__k").select("id", "phrase_id", "__p").distinct()
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__tw") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__tw", i, n), " "), F.lit(n)))
+    starts = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.substring(w, i, z))))
+    letters = F.transform(F.array_distinct(F.flatten(F.transform(F.array_distinct("__tw"), starts))), lambda g: F.xxhash64(g, F.lit(0)))
+    none = F.array().cast("array<bigint>")
+    listed = [F.when(F.array_contains("__kinds", n), runs(n) if n else letters).otherwise(none) for n in range(words + 1)]
+    keys = t.crossJoin(F.broadcast(kinds)).select("id", F.explode(F.array_distinct(F.concat(*listed))).alias("__k"))
+    hit = keys.join(p.select("phrase_id", "__p", "__k"), "__k").select("id", "phrase_id", "__p").distinct()
     return hit.join(t.select("id", "__t"), "id").where(F.contains("__t", "__p")).select("id", "phrase_id")
 
 

@@ -182,6 +182,18 @@ def test_metrics(spark):
     assert {tuple(r) for r in metrics.phrases_in(texts, ph).collect()} >= {(1, 7), (1, 8), (1, 9), (2, 8)}
 
 
+def test_phrases_in(spark):
+    """Equal to contains of every pair: phrases of one, two and more words, within words, at marks, odd blanks, no letters."""
+    texts = ["One big green house.", "abig green", "", "He said (big green house), twice", "a big  green\thouse", "\"Big green\" it was", "unhoused", "x [one big green house in town] y", "é ÀB. c", None, "big\ngreen house", "i"]
+    phrases = ["house", "big green house", "green", "One", "big green", "one big green house in town", "g green h", " ", "", "house.", "(big", "é", "ab. c", "big  green\thouse", "green house", "s", "reen", " green house", "it was", None, "one big", "e big green h"]
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    p = spark.createDataFrame(list(enumerate(phrases)), "phrase_id int, phrase string")
+    brute = lambda ps: sorted((i, j) for i, a in enumerate(texts) for j, b in enumerate(phrases) if a is not None and b is not None and j in ps and b.lower() in a.lower())
+    assert sorted(map(tuple, metrics.phrases_in(t, p).collect())) == brute(range(len(phrases)))
+    for only in ([1], [0], [5, 11], [8]):
+        assert sorted(map(tuple, metrics.phrases_in(t, p.where(F.col("phrase_id").isin(only))).collect())) == brute(only)
+
+
 def test_finalise_stores(spark):
     old = spark.createDataFrame([(1, None, 1), (2, "a", 1)], "run int, agent string, r int")
     new = spark.createDataFrame([(1, None, 5)], "run int, agent string, r int")
