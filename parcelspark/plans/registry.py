@@ -308,11 +308,10 @@ def _(spark, sf):
 
 @query(
     "phrase_contains_join",
-    "SELECT d.doc_id AS id, b.item_id AS phrase_id FROM documents d, (SELECT item_id, lower(trim(split_part(text, '.', 1))) AS p FROM benchmark) b WHERE length(b.p) > 20 AND contains(lower(d.text), b.p)",
+    "SELECT d.doc_id AS id, b.item_id AS phrase_id FROM documents d, (SELECT item_id, lower(text) AS p FROM benchmark) b WHERE contains(lower(d.text), b.p)",
 )
 def _(spark, sf):
-    phrase = F.lower(F.trim(F.split("text", r"\.")[0]))
-    p = table(spark, sf, "benchmark").select(F.col("item_id").alias("phrase_id"), phrase.alias("phrase")).where(F.length("phrase") > 20)
+    p = table(spark, sf, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
     return metrics.phrases_in(table(spark, sf, "documents"), p, key="doc_id")
 
 

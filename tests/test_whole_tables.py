@@ -10,6 +10,8 @@ from parcelspark.plans.registry import QUERIES
 LINES = [(k, n, k * 7 % 11 + n, "ANR"[k % 3], "FO"[n % 2], 100.0 * n + k) for k in range(1001, 1031) for n in range(1, k % 4 + 2)]
 DDL = {
     "lineitem": "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string, l_extendedprice double",
+    "documents": "doc_id long, text string",
+    "benchmark": "item_id long, text string",
     "orders": "o_orderkey long, o_custkey long",
     "customer": "c_custkey long",
     "part": "p_partkey long, p_name string, p_type string, p_size int, p_brand string",
@@ -18,6 +20,8 @@ ROWS = {
     "lineitem": LINES,
     "orders": [(k, k % 4 + 150 * (k % 2)) for k in range(1001, 1031)],
     "part": [(k, "small ring", "ECONOMY", k % 50 + 1, "Brand") for k in (*range(1, 21), 1228)],
+    "documents": [(1, "He wrote (Ab. Then a second sentence.) there"), (2, "Ab. Then a third sentence."), (3, "no dots at all, long enough to be kept")],
+    "benchmark": [(1, "Ab. Then a second sentence."), (2, "Dots at all"), (3, "third"), (4, "no dots at all, long enough to be kept. But more")],
     "customer": [(28,), (9,)],
 }
 
@@ -94,3 +98,8 @@ def test_ood_tightness(spark, sf):
 def test_address_match_score(spark, sf):
     """Customer 28 asks for the street, number and city that only part 1228 has; 9 finds none of its street."""
     assert sorted(run(spark, sf, "address_match_score")) == [(28, 550)]
+
+
+def test_phrase_contains_join(spark, sf):
+    want = [(d, i) for d, t in ROWS["documents"] for i, p in ROWS["benchmark"] if p.lower() in t.lower()]
+    assert sorted(run(spark, sf, "phrase_contains_join")) == want == [(1, 1), (2, 3), (3, 2)]
