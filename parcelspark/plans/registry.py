@@ -724,12 +724,13 @@ def _(spark, sf):
 
 @query(
     "feedback_upsert",
-    f"WITH {FEEDBACK_SQL}, o AS (SELECT run_id, agent_name, max(feedback_id) AS fid FROM feedback WHERE feedback_id < 6000 GROUP BY 1, 2), n AS (SELECT run_id, agent_name, max(feedback_id) AS fid FROM feedback WHERE feedback_id >= 9000 GROUP BY 1, 2) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.run_id = o.run_id AND n.agent_name IS NOT DISTINCT FROM o.agent_name)",
+    f"WITH {FEEDBACK_SQL}, o AS (SELECT run_id, agent_name, max(feedback_id) AS fid FROM feedback WHERE 2 * feedback_id < (SELECT count(*) FROM feedback) GROUP BY 1, 2), n AS (SELECT run_id, agent_name, max(feedback_id) AS fid FROM feedback WHERE 2 * feedback_id >= (SELECT count(*) FROM feedback) GROUP BY 1, 2) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.run_id = o.run_id AND n.agent_name IS NOT DISTINCT FROM o.agent_name)",
 )
 def _(spark, sf):
     last = lambda d: d.groupBy("run_id", "agent_name").agg(F.max("feedback_id").alias("fid"))
     f = feedback(spark, sf)
-    return finalise.upsert(last(f.where("feedback_id < 6000")), last(f.where("feedback_id >= 9000")), ["run_id", "agent_name"])
+    f = f.crossJoin(F.broadcast(f.agg((F.count("*") / 2).alias("half"))))
+    return finalise.upsert(last(f.where("feedback_id < half")), last(f.where("feedback_id >= half")), ["run_id", "agent_name"])
 
 
 @query("retry_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS attempt FROM events")

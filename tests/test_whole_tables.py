@@ -1,5 +1,6 @@
 """Registered queries against brute force on small tables whose ids no fixed range or remainder selects."""
 
+from datetime import datetime
 from itertools import combinations
 
 import pytest
@@ -12,6 +13,7 @@ DDL = {
     "lineitem": "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string, l_extendedprice double",
     "documents": "doc_id long, text string",
     "benchmark": "item_id long, text string",
+    "events": "event_id long, user_id long, event_type string, ts timestamp, value double",
     "orders": "o_orderkey long, o_custkey long",
     "customer": "c_custkey long",
     "part": "p_partkey long, p_name string, p_type string, p_size int, p_brand string",
@@ -22,6 +24,7 @@ ROWS = {
     "part": [(k, "small ring", "ECONOMY", k % 50 + 1, "Brand") for k in (*range(1, 21), 1228)],
     "documents": [(1, "He wrote (Ab. Then a second sentence.) there"), (2, "Ab. Then a third sentence."), (3, "no dots at all, long enough to be kept")],
     "benchmark": [(1, "Ab. Then a second sentence."), (2, "Dots at all"), (3, "third"), (4, "no dots at all, long enough to be kept. But more")],
+    "events": [(k, u, "view", datetime(2024, 1, 1), 1.0) for k, u in (*enumerate((1, 2, 1, 2, 5, 2, 1, 1, 3, 2, 98)), (7001, 60), (7003, 1))],
     "customer": [(28,), (9,)],
 }
 
@@ -103,3 +106,11 @@ def test_address_match_score(spark, sf):
 def test_phrase_contains_join(spark, sf):
     want = [(d, i) for d, t in ROWS["documents"] for i, p in ROWS["benchmark"] if p.lower() in t.lower()]
     assert sorted(run(spark, sf, "phrase_contains_join")) == want == [(1, 1), (2, 3), (3, 2)]
+
+
+def test_feedback_upsert(spark, sf):
+    """Old rows are those of ids below half the count, at any size; the newest id of a key is that of the new side."""
+    last = {(u % 97, f"agent{k % 5}" if k % 3 == 0 else None): k for k, u, *_ in ROWS["events"]}
+    got = run(spark, sf, "feedback_upsert")
+    assert sorted(got, key=str) == sorted([(*key, k) for key, k in last.items()], key=str)
+    assert any(2 * k < len(ROWS["events"]) for *_, k in got) and any(2 * k >= len(ROWS["events"]) for *_, k in got)
