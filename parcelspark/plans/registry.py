@@ -235,12 +235,12 @@ def _(spark, sf):
 
 @query(
     "sub_properties_explode",
-    f"{E}, m AS (SELECT CAST(cadastral_parcel AS VARCHAR) AS pid, CAST(id AS VARCHAR) AS sid, row_number() OVER (PARTITION BY cadastral_parcel ORDER BY id) AS rn FROM estates) SELECT pid AS id, count(*) AS n, min(e.surface_area) AS least, string_agg(e.id, ',' ORDER BY rn) AS ids FROM m JOIN estates e ON m.sid = e.id WHERE rn <= 3 GROUP BY pid",
+    f"{E}, m AS (SELECT CAST(cadastral_parcel AS VARCHAR) AS pid, CAST(id AS VARCHAR) AS sid, row_number() OVER (PARTITION BY cadastral_parcel ORDER BY id) AS rn FROM estates) SELECT pid AS id, count(*) AS n, min(e.surface_area) AS least, string_agg(e.id, ',' ORDER BY rn) AS ids FROM m JOIN estates e ON m.sid = e.id WHERE rn <= 20 GROUP BY pid",
 )
 def _(spark, sf):
     df = estates(spark, sf)
     metas = df.groupBy(F.col("cadastral_parcel").cast("string").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("id_list"))
-    subs = finalise.sub_properties(metas, df, ["surface_area"], first=3)
+    subs = finalise.sub_properties(metas, df, ["surface_area"])
     return subs.select("id", F.size("subs").cast("long").alias("n"), F.array_min("subs.surface_area").alias("least"), F.array_join("subs.id", ",").alias("ids"))
 
 

@@ -114,3 +114,13 @@ def test_feedback_upsert(spark, sf):
     got = run(spark, sf, "feedback_upsert")
     assert sorted(got, key=str) == sorted([(*key, k) for key, k in last.items()], key=str)
     assert any(2 * k < len(ROWS["events"]) for *_, k in got) and any(2 * k >= len(ROWS["events"]) for *_, k in got)
+
+
+def test_sub_properties_explode(spark, sf):
+    """All four units of a parcel, as the bound is the first 20."""
+    parcels = {}
+    for k, _, _, size, _ in ROWS["part"]:
+        parcels.setdefault(str(k // 4), []).append((str(k), 10.0 * size))
+    want = [(p, len(u), min(s for _, s in u), ",".join(sorted(i for i, _ in u))) for p, u in parcels.items()]
+    got = run(spark, sf, "sub_properties_explode")
+    assert sorted(got) == sorted(want) and max(n for _, n, *_ in got) == 4
