@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,18 +15,36 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests), a local one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of the JVM's Hadoop client."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's own part of the shared folder. It is deleted when the driver's JVM ends: what
+    is cut there outlives executors, not the application."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+#: Where the rows of each frame made by `cut` lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,17 +53,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.__dict__["cut_path"] = path
+    _PATHS[out] = path
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut that no later step reads."""
-    path, spark = df.__dict__.get("cut_path"), df.sparkSession
-    if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the files of cuts that no later step reads."""
+    for df in frames:
+        if path := _PATHS.pop(df, None):
+            fs, p = file_system(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,32 +78,38 @@ def tokenizer_path(name: str) -> str:
 def prefix_sums(df: DataFrame, group: str, value: str, order: list[str], bucket_rows: int = 1024, rows: int | None = None) -> DataFrame:
     """Add __start (sum of `value` before the row within `group`) and __bucket, __pos that identify the row.
 
-    Two levels, so that no task gets a whole group: rows are dealt into hashed buckets of about bucket_rows, each
-    summed by itself; only the buckets' totals, one row each, are summed in order of their numbers.
+    Three levels, so that no task gets a whole group: rows are dealt into hashed buckets of about bucket_rows, each summed
+    by itself; buckets' totals are summed within blocks of bucket_rows buckets; only the blocks' totals, one row for about
+    bucket_rows^2 rows of the table, are summed in one task of a group.
     """
     n = df.count() if rows is None else rows
     buckets = max(1, -(-n // bucket_rows))
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("long"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = Window.partitionBy(group, "__bucket").orderBy(*order)
-    local = dealt.withColumn("__pos", F.row_number().over(inner)).withColumn(
-        "__local", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
-    )
-    outer = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.withColumn("__pos", F.row_number().over(inner)).withColumn("__local", F.sum(value).over(upto(inner)) - F.col(value))
     totals = dealt.groupBy(F.col(group).alias("__g"), F.col("__bucket").alias("__b")).agg(F.sum(value).alias("__t"))
-    totals = totals.withColumn("__base", F.sum("__t").over(outer) - F.col("__t")).drop("__t")
+    totals = totals.withColumn("__block", F.floor(F.col("__b") / bucket_rows))
+    middle, outer = Window.partitionBy("__g", "__block").orderBy("__b"), Window.partitionBy("__g2").orderBy("__block2")
+    blocks = totals.groupBy(F.col("__g").alias("__g2"), F.col("__block").alias("__block2")).agg(F.sum("__t").alias("__t2"))
+    blocks = blocks.withColumn("__base2", F.sum("__t2").over(upto(outer)) - F.col("__t2")).drop("__t2")
+    totals = totals.withColumn("__base", F.sum("__t").over(upto(middle)) - F.col("__t"))
+    totals = totals.join(blocks, totals["__g"].eqNullSafe(blocks["__g2"]) & (totals["__block"] == blocks["__block2"]))
+    totals = totals.select("__g", "__b", (F.col("__base") + F.col("__base2")).alias("__base"))
     joined = local.join(totals, local[group].eqNullSafe(totals["__g"]) & (local["__bucket"] == totals["__b"]))
     return joined.withColumn("__start", F.col("__local") + F.col("__base")).drop("__g", "__b", "__base", "__local")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) edges: every node that has an edge, with the smallest node of its component as root.
 
     Alternates large-star and small-star steps, each a grouping with a map-side minimum and a join, until no edge
-    changes. Each round is cut. A star's centre gets its edges through joins that AQE can split, never a list.
+    changes, which takes about log^2 of the longest chain in rounds. Each round is cut. A star's centre gets its edges
+    through joins that AQE can split, never a list.
     """
     cur = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -101,6 +125,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last or now[0] == 0:
             break
         last = now
-    else:
-        raise RuntimeError(f"components: no end after {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))

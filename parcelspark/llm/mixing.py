@@ -1,10 +1,15 @@
 """Mix sources to target weights: token blocks, multinomial counts per output shard, index permutations, a join by index.
 
 The words of a source, its documents in a fixed order, are packed into blocks of `block_words` (a block may hold parts
-of several documents, a document may lie in several blocks). The output is a row of slots, dealt into output shards; for
-each shard a seeded multinomial draw says how many slots each source gets there. The k-th slot of a source takes block
-permutation(k mod n) of its n blocks, with another permutation in each pass over them, so that no block comes again
-before all others came, and none in more than `most` passes. Documents join the drawn blocks by (source, block).
+of several documents, a document may lie in several blocks). The output is a row of slots, dealt into output shards; how
+many slots of a shard each source gets is drawn. The draws of all shards are multinomial with the sources' shares,
+conditioned on what the sources get in all: the slots nearest their targets. Drawn without that condition a source of
+80 slots would be off its target by 11 % as a rule, and a source whose target is `most` passes would go over them in half
+of all draws. Multinomial counts under that condition are multivariate hypergeometric: they are drawn down a tree of
+halves of the shards, so that any task can find a shard's counts, and the sources' slots before it, from seeds alone.
+The k-th slot of a source takes block permutation(k mod n) of its n blocks, with another permutation in each pass over
+them, so that no block comes again before all others came, and none in more than `most` passes. Documents join the
+drawn blocks by (source, block).
 """
 
 from __future__ import annotations
@@ -14,9 +19,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm.common import cut, prefix_sums
@@ -29,7 +33,7 @@ class Settings:
     weights: tuple[int, ...] = (1, 2, 3)
     most: int = 3
     block_words: int = 128
-    shard_slots: int = 1 << 16
+    shard_slots: int = 1 << 10
     seed: int = 20
     max_sources: int = 100_000  # the sources' totals are planned on the driver; beyond this the plan is refused
 
@@ -50,72 +54,103 @@ def targets(sizes: list[tuple[str | None, int]], s: Settings = Settings()) -> li
     return [(name, n, float(t)) for (name, n), t in zip(rows, out, strict=True)]
 
 
-def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
-    """Images of the numbers i below n under a keyed permutation of 0..n-1: four Feistel rounds, walked until below n."""
-    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
+def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Image of each number i[j] below n[j] under the permutation of 0..n[j]-1 with key[j]: four Feistel rounds on the
+    fewest even number of bits that hold n[j] - 1, repeated until the image is below n[j]."""
+    u, sizes = np.uint64, np.unique(n)
+    half = np.array([max(1, (int(x - 1).bit_length() + 1) // 2) for x in sizes], u)[np.searchsorted(sizes, n)]
+    mask, base = (u(1) << half) - u(1), key.astype(u) * u(4)
 
-    def once(x: np.ndarray) -> np.ndarray:
-        a, b = x >> np.uint64(half), x & mask
+    def once(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        a, b = x >> half[at], x & mask[at]
         for r in range(4):
-            mixed = (b + np.uint64((key * 4 + r) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            a, b = b, a ^ ((mixed >> np.uint64(32)) & mask)
-        return (a << np.uint64(half)) | b
-
-    out = once(i.astype(np.uint64))
-    while (over := out >= np.uint64(n)).any():
-        out[over] = once(out[over])
+            mixed = (b + (base[at] + u(r)) * u(0x9E3779B97F4A7C15)) * u(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> u(29))) * u(0x94D049BB133111EB)
+            a, b = b, a ^ ((mixed >> u(32)) & mask[at])
+        return (a << half[at]) | b
+
+    at = np.arange(len(i))
+    out = once(i.astype(u), at)
+    while len(at := at[out[at] >= n[at].astype(u)]):
+        out[at] = once(out[at], at)
     return out.astype(np.int64)
 
 
-def draw_counts(shard: int, slots: int, share: np.ndarray, seed: int) -> np.ndarray:
-    """Slots of each source in an output shard: the whole part of its expectation, and a multinomial draw of what is left."""
-    want = slots * share
-    whole = np.floor(want).astype(np.int64)
-    part, rest = want - whole, slots - int(whole.sum())
-    if rest > 0 and part.sum() > 0:
-        whole += np.random.default_rng([seed, shard]).multinomial(rest, part / part.sum())
+def slots_of(plan: list[tuple[int, int, float]], most: int) -> np.ndarray:
+    """Slots that each source of (sid, blocks, expected slots) gets in all: the expectation rounded down, and one slot more
+    for those with the largest rest until their sum is that of the expectations. None gets more than `most` passes."""
+    want, limit = np.array([e for _, _, e in plan]), np.array([most * n for _, n, _ in plan], np.int64)
+    whole = np.minimum(np.floor(want + 1e-9).astype(np.int64), limit)
+    left = int(np.rint(want.sum())) - int(whole.sum())
+    for at in np.argsort(whole - want, kind="stable"):
+        if left > 0 and whole[at] < limit[at]:
+            whole[at] += 1
+            left -= 1
     return whole
 
 
+def split(totals: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
+    """A draw of `slots` out of slots of sources, `totals` of each, without replacement.
+
+    numpy draws exactly up to 10^9 slots in all. Beyond that the top of the tree takes each source's normal limit,
+    kept within what is possible.
+    """
+    if totals.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(totals, slots, method="marginals")
+    out, rest, need = np.zeros_like(totals), int(totals.sum()), slots
+    for k, good in enumerate(map(int, totals)):
+        low, high = max(0, need - (rest - good)), min(good, need)
+        mean = need * (good / rest) if rest else 0.0
+        sd = (mean * (1 - good / rest) * ((rest - need) / max(rest - 1, 1))) ** 0.5 if rest else 0.0
+        out[k] = min(high, max(low, round(mean + sd * rng.standard_normal())))
+        rest, need = rest - good, need - int(out[k])
+    return out
+
+
+def shard_counts(totals: np.ndarray, per_shard: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source before it, slots of each source in it) of the shards low .. high - 1.
+
+    The tree's root has all slots; each node's are drawn apart over its two halves with a seed of its own, so whoever
+    walks down meets the same counts. Only paths to the wanted shards are walked.
+    """
+    slots = int(totals.sum())
+    todo = [(0, -(-slots // per_shard), np.zeros_like(totals), totals)]
+    while todo:
+        a, b, before, own = todo.pop()
+        if b <= low or a >= high or a >= b:
+            continue
+        if b - a == 1:
+            yield a, before, own
+            continue
+        middle = (a + b) // 2
+        left = split(own, (middle - a) * per_shard, np.random.default_rng([seed, a, b]))
+        todo += [(middle, b, before + left, own - left), (a, middle, before, left)]
+
+
 def drawn_blocks(spark: SparkSession, plan: list[tuple[int, int, float]], s: Settings) -> DataFrame:
     """(sid, block, pass) of all slots, for a plan of (sid, blocks, expected slots)."""
-    expected = np.array([e for _, _, e in plan])
-    slots = int(np.ceil(expected.sum()))
-    schema = "sid int, block long, pass int"
-    if slots == 0:
+    totals, schema = slots_of(plan, s.most), "sid int, block long, pass int"
+    if not totals.sum():
         return spark.createDataFrame([], schema)
-    shards, share = -(-slots // s.shard_slots), expected / expected.sum()
-    sids, blocks = [p[0] for p in plan], {p[0]: p[1] for p in plan}
+    sids, blocks = np.array([p[0] for p in plan], np.int32), np.array([p[1] for p in plan], np.int64)
     seed, most, per_shard = s.seed, s.most, s.shard_slots
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for j in part["id"]:
-                n = draw_counts(int(j), min(per_shard, slots - int(j) * per_shard), share, seed)
-                yield pd.DataFrame({"shard": int(j), "sid": np.array(sids, "int32"), "n": n})
-
-    counts = spark.range(shards).mapInPandas(count, "shard long, sid int, n long").where("n > 0")
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("first", F.sum("n").over(before) - F.col("n"))
-    # A shard's slots of a source are cut into parts, so that many tasks number them.
-    step = 1 << 12
-    parts = counts.select("sid", F.col("first") + F.col("n"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(step))).alias("low"))
-    parts = parts.toDF("sid", "end", "low").repartition(F.col("sid"), F.col("low"))
+    step = 64  # shards that are numbered at once: a bounded number of slots
+    shards = -(-int(totals.sum()) // per_shard)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for sid, end, low in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = blocks[sid]
-                k = np.arange(low, min(end, low + step, most * n), dtype=np.int64)
-                at = np.empty_like(k)
-                for p in np.unique(k // n):
-                    own = k // n == p
-                    at[own] = permute(k[own] - p * n, n, seed * 1_000_003 + sid * most + int(p))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), sid, "int32")), pa.array(at), pa.array((k // n).astype("int32"))], ["sid", "block", "pass"])
+            for low in b.column(0).to_pylist():
+                at, k = [], []
+                for _, before, own in shard_counts(totals, per_shard, seed, low * step, (low + 1) * step):
+                    at.append(np.repeat(np.arange(len(own)), own))
+                    k.append(np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(before, own))
+                which, number = np.concatenate(at), np.concatenate(k)
+                n = blocks[which]
+                turn = number // n
+                image = permute(number - turn * n, n, seed * 1_000_003 + sids[which].astype(np.int64) * most + turn)
+                yield pa.RecordBatch.from_arrays([pa.array(sids[which]), pa.array(image), pa.array(turn.astype("int32"))], ["sid", "block", "pass"])
 
-    return parts.mapInArrow(place, schema)
+    return spark.range(-(-shards // step)).mapInArrow(place, schema)
 
 
 @dataclass
@@ -129,7 +164,7 @@ def plan(docs: DataFrame, row_hash: Column, s: Settings, id_col: str, text_col:
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), row_hash.alias("h")), "mix-sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(s.max_sources + 1).collect()
+    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(s.max_sources + 1).collect()  # refused below, if more
     if len(sums) > s.max_sources:
         raise ValueError(f"over {s.max_sources} sources")
     known = [(i, *t) for i, t in enumerate(targets([(r["source"], r["size"]) for r in sums], s))]
