@@ -1,9 +1,13 @@
 """Personal data in texts, with DataFrame functions only: patterns propose spans, checksums confirm, context scores.
 
 Base kinds (email, ip, card, phone) are accepted by their own checks. Further kinds get a score: a checksum or format
-gives a start, a context word in the `near` characters before the span adds to it, and spans of at least `accept` that
-don't overlap a base span are added: `iban` (mod-97), `pan` (13 to 15 digits passing Luhn), `ssn` and `tel` (national
-formats). Positions are code points, ends exclusive. No row leaves its place: there is no shuffle.
+gives a start, a context word in the `near` characters before or after the span adds to it, and spans of at least
+`accept` that don't overlap a base span are added: `iban` (mod-97), `pan` (13 to 15 digits passing Luhn), `ssn` and
+`tel` (national formats). Positions are code points, ends exclusive. No row leaves its place: there is no shuffle.
+
+Work grows in proportion to a text, however long it is and however many spans it holds: each pattern can begin only
+where it can't have begun before, positions are sums over arrays that are summed in runs of `FAN` beforehand, and parts
+of a text are taken from its pieces of `PIECE` characters, never counted from its beginning.
 """
 
 from __future__ import annotations
@@ -16,9 +20,10 @@ from pyspark.sql import functions as F
 
 # The patterns of the contract, written so that Java matches them without recursion. Possessive loops
 # change nothing where no shorter match could succeed; an address starts where a run of its characters starts or
-# where the match before it ended, as a later start in the same run fails whenever the first does.
+# where the match before it ended, as a later start in the same run fails whenever the first does. (The loop of numbers
+# and of cards ends where a run of digits ends, so that no match ends within one.)
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++(?:\.[0-9]++){3}"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
@@ -30,7 +35,9 @@ IBAN_WORDS = r"(?i)\b(?:iban|account|bank|konto|compte|cuenta|banque|banco)\b"
 SSN_WORDS = r"(?i)\b(?:ssn|social|security|taxpayer|tin)\b"
 TEL_WORDS = r"(?i)\b(?:tel|phone|telephone|call|mobile|cell|fax|contact|telefon|téléphone|teléfono|handy)\b"
 
-STEP = 64
+FAN = 64
+PIECE = 256
+LEVELS = 4  # FAN^LEVELS matches in a text are summed at full speed
 
 
 def digits(m: Column) -> Column:
@@ -111,18 +118,52 @@ class Scoring:
     accept: float = 0.7
 
 
-def places(lens: str, blocks: str, m: str, check: Callable[[Column], Column]) -> Column:
-    """Structs (s, e) of the matches in column m that pass, from the gaps' and matches' lengths summed by STEP."""
-    total = lambda c, low, high: F.aggregate(F.sequence(low, high), F.lit(0).cast("long"), lambda a, j: a + F.get(F.col(c), j))
+def step(df: DataFrame, names: list[str], *cols: Column) -> DataFrame:
+    """The columns in `names` and new ones, each computed once: as a generator of one row, which no later step, nor a
+    filter on its result, is folded into."""
+    return df.select(*names, F.inline(F.array(F.struct(*cols))))
+
+
+def add(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def larger(a: Column, x: Column) -> Column:
+    return F.greatest(a, x)
+
+
+def levels(df: DataFrame, names: list[str], op: Callable[[Column, Column], Column] = add) -> DataFrame:
+    """df with `name`_1 .. beside each array column `name` of longs: runs of FAN values of the level below, taken together
+    by op (add or larger; 0 changes nothing). Null where the column is."""
+    for k in range(1, LEVELS):
+        below = lambda n, k=k: f"{n}_{k - 1}" if k > 1 else n
+        runs = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(c) - 1, F.lit(0)) / FAN).cast("int")), lambda r: F.aggregate(F.slice(c, r * FAN + 1, FAN), F.lit(0).cast("long"), op))
+        df = step(df, df.columns, *[F.when(F.col(below(n)).isNotNull(), runs(F.col(below(n)))).alias(f"{n}_{k}") for n in names])
+    return df
+
+
+def prefix(name: str, i: Column, op: Callable[[Column, Column], Column] = add) -> Column:
+    """op over the first i values of an array column that `levels` has been given: at most FAN values of each level."""
+    out = F.lit(0).cast("long")
+    for k in range(LEVELS):
+        c, high = F.col(f"{name}_{k}" if k else name), F.floor(i / FAN**k).cast("int")
+        low = F.floor(i / FAN ** (k + 1)).cast("int") * FAN if k < LEVELS - 1 else F.lit(0)
+        out = F.aggregate(F.slice(c, low + 1, high - low), out, op)
+    return out
+
+
+def part(pieces: Column, low: Column, high: Column) -> Column:
+    """Characters low .. high - 1 of the text that is cut into pieces of PIECE characters."""
+    first, last = F.floor(low / PIECE).cast("int"), F.floor((high - 1) / PIECE).cast("int")
+    few = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(high > low, F.substring(few, (low - first * PIECE + 1).cast("int"), (high - low).cast("int"))).otherwise(F.lit(""))
+
+
+def cut_text(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def start(i: Column) -> Column:
-        block = F.floor(i / STEP).cast("int")
-        return F.when(block > 0, total(blocks, F.lit(0), block - 1)).otherwise(F.lit(0).cast("long")) + total(lens, block * STEP, i)
 
-    n = F.size(m)
-    passed = F.filter(F.sequence(F.lit(0), n - 1), lambda i: check(F.get(F.col(m), i)))
-    with_start = F.transform(passed, lambda i: F.struct(start(i).alias("s"), i.alias("i")))
-    return F.transform(with_start, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(F.get(F.col(m), x["i"]))).alias("e")))
+SPANS = "array<struct<kind:string,s:bigint,e:bigint>>"
 
 
 def find(docs: DataFrame, id_cols: list[str], text_col: str = "text", scoring: Scoring = Scoring()) -> DataFrame:
@@ -131,41 +172,55 @@ def find(docs: DataFrame, id_cols: list[str], text_col: str = "text", scoring: S
     Any text is taken whole; one without a hint of a kind costs one scan for it. Repeated and null ids pass through.
     """
     kinds = (*BASE, *MORE)
-    keep = [F.col(c) for c in id_cols]
-    df = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    own = [*id_cols, "__text"]
+    df = docs.select(*id_cols, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     none = F.array().cast("array<string>")
-    # Each step refers to what it needs of the one before at least twice, so that Catalyst doesn't fold them into one.
-    df = df.select("*", *[F.when(F.col("__text").rlike(k.hint), F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"__m_{k.name}") for k in kinds])
-    gaps = lambda k: F.when(F.exists(f"__m_{k.name}", k.check), F.split("__text", k.pattern, -1))
-    df = df.select("*", *[gaps(k).alias(f"__g_{k.name}") for k in kinds])
-    lens = lambda k: F.when(
-        F.col(f"__g_{k.name}").isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.size(f"__m_{k.name}") - 1), lambda i: (F.length(F.get(F.col(f"__g_{k.name}"), i)) + F.coalesce(F.length(F.get(F.col(f"__m_{k.name}"), i - 1)), F.lit(0))).cast("long")),
-    )
-    df = df.select("*", *[lens(k).alias(f"__l_{k.name}") for k in kinds])
-    blocks = lambda k: F.when(
-        F.col(f"__l_{k.name}").isNotNull(),
-        F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(f"__l_{k.name}") - 1) / STEP).cast("int")),
-            lambda b: F.aggregate(F.sequence(b * STEP, F.least(b * STEP + STEP - 1, F.size(f"__l_{k.name}") - 1)), F.lit(0).cast("long"), lambda a, j: a + F.get(F.col(f"__l_{k.name}"), j)),
-        ),
-    )
-    df = df.select("*", *[blocks(k).alias(f"__b_{k.name}") for k in kinds])
-    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    found = lambda k: F.when(F.col(f"__b_{k.name}").isNotNull(), places(f"__l_{k.name}", f"__b_{k.name}", f"__m_{k.name}", k.check)).otherwise(empty)
-    df = df.select(*keep, "__text", *[found(k).alias(f"__p_{k.name}") for k in kinds])
-    named = lambda k, places: F.transform(places, lambda p: F.struct(F.lit(k.name).alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
-    df = df.select(*keep, "__text", *[f"__p_{k.name}" for k in MORE], F.concat(*[named(k, F.col(f"__p_{k.name}")) for k in BASE]).alias("__base"))
-
-    def score(k: Kind, p: Column) -> Column:
-        low = F.greatest(p["s"] - scoring.near, F.lit(0).cast("long"))
-        before = F.substring(F.col("__text"), (low + 1).cast("int"), (p["s"] - low).cast("int"))
-        return F.lit(k.score) + F.when(before.rlike(k.words), F.lit(scoring.word_adds)).otherwise(F.lit(0.0))
-
-    free = lambda p: ~F.exists("__base", lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"]))
-    accepted = lambda k: F.filter(f"__p_{k.name}", lambda p: (score(k, p) >= scoring.accept - 1e-9) & free(p))
-    more = [named(k, accepted(k)) for k in MORE]
-    return df.select(*keep, "__text", "__base", F.concat(*more).alias("__more"))
+    m = {k.name: f"__m_{k.name}" for k in kinds}
+    df = step(df, own, *[F.when(F.col("__text").rlike(k.hint), F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(m[k.name]) for k in kinds])
+    df = step(df, df.columns, *[F.when(F.exists(m[k.name], k.check), F.split("__text", k.pattern, -1)).alias(f"__g_{k.name}") for k in kinds])
+
+    # The length of each match and of the gap after it: a match begins after the first gap and all such before it.
+    def lens(k: Kind) -> Column:
+        both = F.transform(m[k.name], lambda x, i: (F.length(x) + F.length(F.get(F.col(f"__g_{k.name}"), i + 1))).cast("long"))
+        return F.when(F.col(f"__g_{k.name}").isNotNull(), both).alias(f"__l_{k.name}")
+
+    first = [F.length(F.get(F.col(f"__g_{k.name}"), 0)).cast("long").alias(f"__f_{k.name}") for k in kinds]
+    df = levels(step(df, [*own, *m.values()], *first, *map(lens, kinds)), [f"__l_{k.name}" for k in kinds])
+
+    def places(k: Kind) -> Column:
+        get = lambda i: F.get(F.col(m[k.name]), i)
+        passed = F.filter(F.sequence(F.lit(0), F.size(m[k.name]) - 1), lambda i: k.check(get(i)))
+        begun = F.transform(passed, lambda i: F.struct((F.col(f"__f_{k.name}") + prefix(f"__l_{k.name}", i)).alias("s"), F.length(get(i)).alias("n")))
+        named = F.transform(begun, lambda x: F.struct(F.lit(k.name).alias("kind"), x["s"].alias("s"), (x["s"] + x["n"]).alias("e")))
+        return F.when(F.col(f"__l_{k.name}").isNotNull(), named).otherwise(F.array().cast(SPANS))
+
+    df = step(df, own, F.concat(*[places(k) for k in BASE]).alias("__base"), F.concat(*[places(k) for k in MORE]).alias("__maybe"))
+    df = step(df, df.columns, F.when(F.size("__maybe") > 0, cut_text(F.col("__text"))).alias("__pieces"))
+
+    # Candidates of the further kinds, by score; then those that no base span overlaps.
+    def score(p: Column) -> Column:
+        low, high = F.greatest(p["s"] - scoring.near, F.lit(0).cast("long")), p["e"] + scoring.near
+        near = F.concat_ws("\n", part(F.col("__pieces"), low, p["s"]), part(F.col("__pieces"), p["e"], high))
+        out = F.lit(None).cast("double")
+        for k in MORE:
+            out = F.when(p["kind"] == k.name, k.score + F.when(near.rlike(k.words), scoring.word_adds).otherwise(0.0)).otherwise(out)
+        return out
+
+    df = step(df, [*own, "__base"], F.filter("__maybe", lambda p: score(p) >= scoring.accept - 1e-9).alias("__sure"))
+    order = lambda spans, base: F.transform(spans, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.lit(base).alias("base"), p["kind"].alias("kind")))
+    every = F.array_sort(F.concat(order(F.col("__base"), True), order(F.col("__sure"), False)))
+    df = step(df, df.columns, F.when((F.size("__sure") > 0) & (F.size("__base") > 0), every).alias("__all"))
+    df = levels(step(df, df.columns, F.transform("__all", lambda p: F.when(p["base"], p["e"]).otherwise(F.lit(0).cast("long"))).alias("__ends")), ["__ends"], larger)
+
+    def free(p: Column, i: Column) -> Column:
+        # As many spans of each kind begin within a span as it has characters, at most.
+        within = F.slice("__all", i + 2, ((p["e"] - p["s"]) * len(kinds)).cast("int"))
+        return ~p["base"] & (prefix("__ends", i, larger) <= p["s"]) & ~F.exists(within, lambda q: q["base"] & (q["s"] < p["e"]))
+
+    left = F.transform(F.filter("__all", free), lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
+    df = step(df, [*own, "__base"], F.when(F.col("__all").isNull(), F.col("__sure")).otherwise(left).alias("__left"))
+    of = lambda k: F.filter("__left", lambda p: p["kind"] == k.name)
+    return step(df, [*own, "__base"], F.when(F.size("__left") > 0, F.concat(*map(of, MORE))).otherwise(F.col("__left")).alias("__more"))
 
 
 def joined(spans: Column) -> Column:
@@ -181,23 +236,30 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span (of overlapping ones the first) replaced by its kind in brackets; same columns, n_chars anew.
+    """docs with each span replaced by its kind in brackets; same columns, n_chars anew. Spans that overlap are replaced
+    together, from the first one's begin to the last one's end, by the first one's kind (of equal begins the longest).
 
     Texts without a span, and null ones, stay as they are.
     """
     others = [c for c in docs.columns if c != text_col]
     # The other columns travel as one struct, so that none can clash with a name used here.
     packed = docs.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("__row"), F.col(text_col).alias("__t"), F.col(text_col).isNull().alias("__null"))
-    df = find(packed, ["__row", "__null"], "__t")
+    df, own = find(packed, ["__row", "__null"], "__t"), ["__row", "__null", "__text"]
     by_start = F.array_sort(F.transform(F.concat("__base", "__more"), lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), p["kind"].alias("kind"))))
-    df = df.select("__row", "__null", "__text", by_start.alias("__spans"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    cut_to = lambda a, p: F.substring(F.col("__text"), (a["at"] + 1).cast("int"), (p["s"] - a["at"]).cast("int"))
-    step = lambda a, p: F.when(p["s"] < a["at"], a).otherwise(F.struct((-p["e"]).alias("at"), F.concat(a["out"], cut_to(a, p), F.lit("["), F.upper(p["kind"]), F.lit("]")).alias("out")))
-    rest = lambda a: F.concat(a["out"], F.substring(F.col("__text"), (a["at"] + 1).cast("int"), F.length("__text")))
-    text = F.when(F.col("__null"), F.lit(None)).when(F.size("__spans") == 0, F.col("__text")).otherwise(F.aggregate("__spans", start, step, rest))
-    df = df.select("__row", "__spans", text.alias("__new"))
-    out = {c: F.col(f"__row.c{i}") for i, c in enumerate(others)} | {text_col: F.col("__new")}
+    df = step(df, own, F.when(F.size("__base") + F.size("__more") > 0, by_start).alias("__spans"))
+    df = step(df, df.columns, F.transform("__spans", lambda p: -p["e"]).alias("__ends"), F.when(F.col("__spans").isNotNull(), cut_text(F.col("__text"))).alias("__pieces"))
+    df = levels(df, ["__ends"], larger)
+    upto = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: prefix("__ends", i, larger))
+    df = step(df, [*own, "__spans", "__pieces"], F.when(F.col("__spans").isNotNull(), upto).alias("__upto"))
+    span = lambda i: F.get(F.col("__spans"), i)
+    done = lambda i: F.get(F.col("__upto"), i)
+    first = F.filter(F.sequence(F.lit(0), F.size("__spans") - 1), lambda i: span(i)["s"] >= done(i))
+    out = F.transform(first, lambda i: F.concat(part(F.col("__pieces"), done(i), span(i)["s"]), F.lit("["), F.upper(span(i)["kind"]), F.lit("]")))
+    tail = part(F.col("__pieces"), done(F.size("__spans")), F.length("__text").cast("long"))
+    new = F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(out, ""), tail))
+    text = F.when(F.col("__null"), F.lit(None)).when(F.col("__spans").isNull(), F.col("__text")).otherwise(new)
+    df = step(df, ["__row"], F.col("__spans").isNull().alias("__same"), text.alias("__new"))
+    cols = {c: F.col(f"__row.c{i}") for i, c in enumerate(others)} | {text_col: F.col("__new")}
     if "n_chars" in others:
-        out["n_chars"] = F.when(F.size("__spans") == 0, out["n_chars"]).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)
-    return df.select(*[out[c].alias(c) for c in docs.columns])
+        cols["n_chars"] = F.when(F.col("__same"), cols["n_chars"]).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[cols[c].alias(c) for c in docs.columns])

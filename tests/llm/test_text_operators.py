@@ -65,6 +65,66 @@ def test_pii_more_and_redaction(spark, docs, empty):
     assert pii.report(empty).count() == 0
 
 
+MORE_PATTERNS = {"iban": (pii.IBAN, 0.8, pii.IBAN_WORDS), "pan": (pii.CARD, 0.4, pii.CARD_WORDS), "ssn": (pii.SSN, 0.4, pii.SSN_WORDS), "tel": (pii.TEL, 0.3, pii.TEL_WORDS)}
+
+
+def more_spans(text):
+    """The further kinds by their definition: pattern, check, context on both sides, no base span overlapped."""
+    turned = lambda m: m.replace(" ", "")[4:] + m.replace(" ", "")[:4]
+    ok = {
+        "iban": lambda m: int("".join(str(int(c, 36)) for c in turned(m))) % 97 == 1,
+        "pan": lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 15 and luhn(d),
+        "ssn": lambda m: not re.match("000|666|9", m) and not re.search("-00-|-0000$", m),
+        "tel": lambda m: True,
+    }
+    base, out = base_spans(text), []
+    for kind, (rx, start, words) in MORE_PATTERNS.items():
+        for m in re.finditer(rx, text):
+            near = re.search(words, text[max(0, m.start() - 40) : m.start()]) or re.search(words, text[m.end() : m.end() + 40])
+            if ok[kind](m[0]) and start + 0.4 * bool(near) >= 0.7 and not any(a < m.end() and m.start() < b for _, a, b in base):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def redacted(text):
+    out, at, end = [], 0, -1
+    for s, minus, kind in sorted((s, -e, k) for k, s, e in base_spans(text) + more_spans(text)):
+        if s >= end:
+            out += [text[at:s], f"[{kind.upper()}]"]
+        end = max(end, -minus)
+        at = end
+    return "".join(out) + text[at:]
+
+
+def pii_texts():
+    """Random runs of span-like parts, with and without context words, close enough to overlap."""
+    rng = np.random.default_rng(3)
+    parts = ["a@b.co", "1.2.3.4", "256.1.1.1", "4337 1665 9846 4399", "+1 (234) 555-6789", "GB82 WEST 1234 5698 7654 32", "378282246310005", "123-45-6789", "000-12-3456", "(988) 555-2485", "988.555.2485", "call", "ssn", "card", "iban", "é😀", "word", "@", "+", ".", "-"]
+    return ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "  x "]) for _ in range(int(rng.integers(1, 40)))) for _ in range(120)]
+
+
+@pytest.mark.parametrize(("fan", "piece"), [(2, 3), (64, 256)])
+def test_pii_spans_and_redaction(spark, monkeypatch, fan, piece):
+    """All spans, and the texts without them, against the definitions; also with tiny runs and pieces."""
+    monkeypatch.setattr(pii, "FAN", fan)
+    monkeypatch.setattr(pii, "PIECE", piece)
+    texts = pii_texts() + ["", "x", "1.1.1.1 " * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    name = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    assert {r.doc_id: r.spans for r in pii.report(df).collect()} == {i: name(base_spans(t) + more_spans(t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {i: redacted(t) for i, t in enumerate(texts)}
+
+
+def test_pii_long_texts(spark):
+    """Texts on which matching or cutting from the beginning would take hours: each kind's runs, and many spans."""
+    spans, ssn = "é a@b.co 1.2.3.4 " * 40_000, "ssn 123-45-6789 é " * 20_000
+    texts = ["1" * 1_000_000, "1." * 400_000, "a." * 500_000, "+1" * 400_000, "+1 " + " " * 500_000, "4 " * 400_000, "AB12" * 200_000, spans, ssn]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    got = {r.doc_id: (r.n_email, r.n_ip, len(r.spans.split(","))) for r in pii.report(df).collect()}
+    assert got[7] == (40_000, 40_000, 80_000) and got[8] == (0, 0, 20_000) and got[0][:2] == (0, 0)
+    assert {r.doc_id: r.text for r in pii.redact(df).where("doc_id > 6").collect()} == {7: "é [EMAIL] [IP] " * 40_000, 8: "ssn [SSN] é " * 20_000}
+
+
 def test_language(docs, empty, spark):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.identify(real, langid.Settings(epochs=6)).join(real.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
