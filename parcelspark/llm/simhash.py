@@ -7,9 +7,10 @@ two budgets are the candidates' join key: a fingerprint is listed under (i, segm
 with each single 0 bit of segment i + 1 set, so that of two that differ there only the one lacking the bit asks. The
 whole distance is checked last.
 
-Keys listed for more than `pair_limit` fingerprints are not paired: their fingerprints go through an exact linear way
-instead. x and y differ in at most 2 bits exactly if some z is within one bit of both, and all within one bit of the
-same z are within two of each other, so linking the fingerprints around each z to the smallest keeps every component.
+Fingerprints that meet under one key lie anywhere in the third segment. A key of more than `split_over` of them is split
+by going on with the chain there: the third segment too differs in at most 2 bits, so it is cut into three segments of 7 or 8
+bits on a ring of their own, and its first two budgets extend the key in the same way. Under such a key 8 bits at most
+are free, so at most 2^8 distinct fingerprints are listed there, however many the table has.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from parcelspark.llm.common import components, cut
+from parcelspark.llm.common import components, cut, drop_cut
 
 MAX_BITS = 2
 SHINGLE_WORDS = 3
-#: (lowest bit, number of bits) of each segment on the ring.
+#: (lowest bit, number of bits) of each segment on the ring, and of each on the ring within a segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: A key that more fingerprints share than this goes the linear way.
-PAIR_LIMIT = 32
+INNER = tuple(tuple((low + at, bits) for at, bits in ((0, 7), (7, 7), (14, size - 14))) for low, size in SEGMENTS)
+#: A key that more fingerprints share than this is split.
+SPLIT_OVER = 32
 
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
@@ -66,67 +68,81 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def segment(fp: Column, i: int) -> Column:
-    low, bits = SEGMENTS[i % 3]
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
+def bits_of(fp: Column, at: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(fp, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1))
 
 
-def chain_keys(i: int) -> Column:
-    """Structs (key, exact) under which fp is listed and looked up for chains that begin at segment i."""
-    nxt, bits = segment(F.col("fp"), i + 1), SEGMENTS[(i + 1) % 3][1]
-    # Two segments have at most 43 bits, so with two more for i the key is a whole long.
-    key = lambda second: F.shiftleft(segment(F.col("fp"), i), 24).bitwiseOR(second).bitwiseOR(F.lit(i << 60))
-    unset = F.filter(F.array(*[F.lit(1 << j).cast("long") for j in range(bits)]), lambda bit: nxt.bitwiseAND(bit) == 0)
-    listed = F.array(F.struct(key(nxt).alias("key"), F.lit(True).alias("exact")))
-    return F.concat(listed, F.transform(unset, lambda bit: F.struct(key(nxt.bitwiseOR(bit)).alias("key"), F.lit(False).alias("exact"))))
+def chain_keys(ring: tuple[tuple[int, int], ...], i: int) -> Column:
+    """Structs (first, second, asks) for chains of a ring that begin at segment i: segment i, and segment i + 1 as it is
+    (the entry that is listed) or with one more bit set (those that ask)."""
+    first, nxt = bits_of(F.col("fp"), ring[i]), bits_of(F.col("fp"), ring[(i + 1) % 3])
+    unset = F.filter(F.array(*[F.lit(1 << j).cast("long") for j in range(ring[(i + 1) % 3][1])]), lambda bit: nxt.bitwiseAND(bit) == 0)
+    entry = lambda second, asks: F.struct(first.alias("first"), second.alias("second"), F.lit(asks).alias("asks"))
+    return F.concat(F.array(entry(nxt, False)), F.transform(unset, lambda bit: entry(nxt.bitwiseOR(bit), True)))
+
+
+def outer_keys() -> Column:
+    """Structs (key, asks) of all three chains: two segments have at most 43 bits, so with two more for i a key is a long."""
+    key = lambda x, i: F.shiftleft(x["first"], 24).bitwiseOR(x["second"]).bitwiseOR(F.lit(i << 60))
+    return F.concat(*[F.transform(chain_keys(SEGMENTS, i), lambda x: F.struct(key(x, i).alias("key"), x["asks"].alias("asks"))) for i in range(3)])
+
+
+def inner_keys() -> Column:
+    """Structs (sub, asks) for the rest of a chain: keys over the segment that `key` leaves free, 18 bits at most."""
+
+    def of(i: int) -> Column:
+        ring = INNER[(i + 2) % 3]
+        sub = lambda x, j: F.shiftleft(x["first"], 8).bitwiseOR(x["second"]).bitwiseOR(F.lit(j << 20))
+        return F.concat(*[F.transform(chain_keys(ring, j), lambda x: F.struct(sub(x, j).alias("sub"), x["asks"].alias("asks"))) for j in range(3)])
+
+    which = F.shiftrightunsigned("key", 60)
+    return F.when(which == 0, of(0)).when(which == 1, of(1)).otherwise(of(2))
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def pigeonring_edges(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints `fp` whose components are those of all pairs within MAX_BITS."""
-    keys = cut(fps.select("fp", F.explode(F.concat(*[chain_keys(i) for i in range(3)])).alias("k")).select("fp", "k.key", "k.exact"), "ring")
-    size = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("exact").alias("listed")).where("n > 1 and listed")
-    size = cut(size.select("key", (F.col("n") > pair_limit).alias("hot")), "ring-size")
-    shared = keys.join(size, "key")
-    few = cut(shared.where("not hot").select("key", "fp", "exact"), "ring-few")
-    x, y = few.where("exact").select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"), "exact")
-    near = x.join(y, "key").where((F.col("a") != F.col("b")) & (~F.col("exact") | (F.col("a") < F.col("b"))))
-    paired = near.where(distance(F.col("a"), F.col("b")) <= MAX_BITS).select("a", "b")
-    # A fingerprint of a hot key links through midpoints to every other of that key.
-    hot = shared.where("hot").select("fp").distinct()
-    flips = F.array(*[F.lit((1 << j) - (1 << 64) * (j == 63)).cast("long") for j in range(64)])
-    around = F.concat(F.array("fp"), F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit)))
-    ring = hot.select("fp", F.explode(around).alias("z"))
-    least = ring.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("z", "a")
-    through = ring.join(least, "z").where("a <> fp").select("a", F.col("fp").alias("b"))
-    return paired.unionByName(through).distinct()
-
-
-def fingerprint_groups(fp: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def pigeonring_edges(fps: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
+    """Edges (a, b) of all pairs of distinct fingerprints `fp` within MAX_BITS."""
+    keys = cut(fps.select("fp", F.inline(outer_keys())), "ring")
+    # Two that only ask don't meet, so a key counts if one is listed there.
+    size = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("asks").alias("none")).where("n > 1 and not none")
+    shared = cut(keys.join(size.select("key", (F.col("n") > split_over).alias("hot")), "key"), "ring-shared")
+    rest = shared.where("not hot").select("key", F.lit(0).cast("long").alias("sub"), "fp", "asks", F.lit(False).alias("again"))
+    hot = shared.where("hot").select("key", "fp", "asks", F.explode(inner_keys()).alias("k")).select("key", "k.sub", "fp", "asks", F.col("k.asks").alias("again"))
+    each = cut(rest.unionByName(hot), "ring-keys")
+    x = each.select("key", "sub", F.col("fp").alias("a"), F.col("asks").alias("a1"), F.col("again").alias("a2"))
+    y = each.select("key", "sub", F.col("fp").alias("b"), F.col("asks").alias("b1"), F.col("again").alias("b2"))
+    # On either ring one of the two at least has to be listed.
+    near = x.join(y, ["key", "sub"]).where((F.col("a") < F.col("b")) & ~(F.col("a1") & F.col("b1")) & ~(F.col("a2") & F.col("b2")))
+    out = cut(near.where(distance(F.col("a"), F.col("b")) <= MAX_BITS).select("a", "b").distinct(), "edges")
+    drop_cut(keys, shared, each)
+    return out
+
+
+def fingerprint_groups(fp: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """(fp, root) of every distinct fingerprint: those that chains of links connect share a root."""
     own = cut(fp.select("fp").distinct(), "distinct")
-    roots = components(pigeonring_edges(own, pair_limit)).withColumnRenamed("node", "fp")
+    roots = components(pigeonring_edges(own, split_over)).withColumnRenamed("node", "fp")
     return cut(own.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "groups")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_over: int = SPLIT_OVER) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the smallest id reachable).
 
     Null and empty texts have fingerprint zero and link like any other; repeated ids and rows are each returned. A null
     id is returned too, and names a component only where it has no other. An empty table gives no rows.
     """
     fp = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = fingerprint_groups(fp, pair_limit)
+    groups = fingerprint_groups(fp, split_over)
     least = fp.groupBy("fp").agg(F.min("id").alias("least")).join(groups, "fp")
     smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
     out = fp.join(cut(groups.join(smallest, "root").select("fp", "component_id"), "labels"), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def keep_one(docs: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """docs with one row of each near-duplicate group: that with the smallest doc_id, null ids last. Same columns.
 
     Of rows with the same id and fingerprint one stays.
@@ -145,7 +161,7 @@ def keep_one(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     rows = cut(docs.mapInArrow(run, schema), "with-fingerprint")
     fp = rows.select(F.col(own).alias("fp"), F.col("doc_id").alias("id"))
     least = fp.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
-    chosen = least.join(fingerprint_groups(fp, pair_limit), "fp").groupBy("root").agg(F.min(F.struct("least", "fp")).alias("c"))
+    chosen = least.join(fingerprint_groups(fp, split_over), "fp").groupBy("root").agg(F.min(F.struct("least", "fp")).alias("c"))
     chosen = cut(chosen.select(F.col("c.fp").alias("fp"), F.col("c.least.id").alias("id")), "chosen")
     stay = rows.join(chosen, (rows[own] == chosen["fp"]) & rows["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
     return stay.dropDuplicates(["doc_id", own]).select(*names)

@@ -73,7 +73,7 @@ def brute_groups(prints):
 
 @pytest.mark.parametrize("limit", [32, 1])
 def test_pigeonring(spark, limit):
-    """Balls of fingerprints around random centres, whose links chain: with pairs, and with every key on the linear way."""
+    """Balls of fingerprints around random centres, whose links chain: all pairs, also with every key split."""
     rng = random.Random(limit)
     prints = set()
     for _ in range(40):
@@ -83,9 +83,15 @@ def test_pigeonring(spark, limit):
             for _ in range(rng.randint(0, 5)):
                 x ^= 1 << rng.randrange(64)
             prints.add(x)
+    base = rng.getrandbits(64)
+    prints |= {base ^ k << 50 for k in range(128)}  # a hot key: all differ within one segment only
     prints = sorted(prints)
     signed = [x - (1 << 64) * (x >> 63) for x in prints]
-    got = {r.fp: r.root for r in simhash.fingerprint_groups(spark.createDataFrame([(x,) for x in signed], "fp long"), limit).collect()}
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    edges = [(r.a, r.b) for r in simhash.pigeonring_edges(df, limit).collect()]
+    want = {frozenset((signed[i], signed[j])) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    assert len(edges) == len(want) and set(map(frozenset, edges)) == want
+    got = {r.fp: r.root for r in simhash.fingerprint_groups(df, limit).collect()}
     groups = defaultdict(set)
     for i, x in enumerate(signed):
         groups[got[x]].add(i)
