@@ -163,11 +163,33 @@ def test_token_counts(docs, rows, empty, tmp_path):
     assert tokens.count_tokens(empty, JSON, P.PATTERN, str(tmp_path / "e")).count() == 0
 
 
-def test_token_counter_falls_back():
+def test_token_store_is_shared(spark, tmp_path):
+    """Rows stored twice count once, other digests and other files' rows never show, and a batch stores only its misses."""
+    cache = str(tmp_path / "c")
+    a = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    assert tokens.count_tokens(a, JSON, P.PATTERN, cache).count() == 300
+    part = spark.read.parquet(cache)
+    part.limit(7).drop("tokenizer").write.mode("append").partitionBy("part").parquet(f"{cache}/tokenizer={tokens.file_digest(JSON)}")
+    b = spark.createDataFrame([(i, f"text {i}") for i in range(290, 310)] + [(None, "text 1"), (5, "text 1")], "doc_id long, text string")
+    got = tokens.count_tokens(b, JSON, P.PATTERN, cache).collect()
+    assert len(got) == 22 and spark.read.parquet(cache).count() == 317
+    assert tokens.count_tokens(b, P.path("word_bpe_49k.json"), P.PATTERN, cache).count() == 22
+    assert spark.read.parquet(cache).where(F.col("tokenizer") == tokens.file_digest(P.path("word_bpe_49k.json"))).count() == 21
+
+
+@pytest.fixture(scope="module")
+def counters():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(JSON)
+    return lib, tokens.counter(JSON, P.PATTERN)
+
+
+def test_token_counter(counters):
     from tokenizers import Tokenizer
 
-    lib, count = Tokenizer.from_file(JSON), tokens.counter(JSON, P.PATTERN)
-    texts = ["a<|endoftext|>b", "中文 <|endoftext|>", "x\u2003y\x85z ǅ ĳ", "’s it’s 's", "", "<|endoftext|><|endoftext|>", "😀"]
+    lib, count = counters
+    texts = ["a<|endoftext|>b", "中文 <|endoftext|>", "x\u2003y\x85z ǅ ĳ", "’s it’s 's", "", "<|endoftext|><|endoftext|>", "😀", "IT'S I'LL 'Re'd", "<|endoftext|", " <|endoftext|>  x"]
     assert count(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
     word = P.path("word_bpe_49k.json")
     lib2 = Tokenizer.from_file(word)
@@ -175,6 +197,25 @@ def test_token_counter_falls_back():
     assert tokens.counter(P.path("piece_bpe_32k.model"), P.PATTERN)(["a b"])[0] > 0
 
 
+def test_every_code_point_is_parted_alike(counters):
+    """The pattern knows characters by class: after a letter, a space, a mark and itself each gives the library's ids."""
+    lib, _ = counters
+    spec = tokens.json.load(open(JSON, encoding="utf-8"))
+    fast = tokens.rank_encoder(spec, P.PATTERN)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 100_000):
+        texts = [f"a{c}1 {c}!{c}{c}" for c in points[at : at + 100_000]]
+        want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+        assert fast.plain.encode_ordinary_batch(texts, num_threads=4) == want
+
+
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["'s", "'LL", "’re", " ", "\n\n", "\u00a0", "1", "½", "<|endoftext|>", "<|end"])), max_size=20).map("".join))
+@settings(max_examples=150, deadline=None)
+def test_random_texts_count_as_the_library(counters, text):
+    lib, count = counters
+    assert count([text]) == [len(lib.encode(text, add_special_tokens=False).ids)]
+
+
 def figures(text):
     """The base figures by their definitions."""
     text = text or ""
