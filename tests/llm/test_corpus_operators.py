@@ -20,26 +20,44 @@ def brute_top(vectors, k=5):
     return out
 
 
-@pytest.mark.parametrize("shard", [40, 1000])
-def test_top_k(spark, shard):
+@pytest.mark.parametrize(("shard", "cells"), [(40, 1), (40, 8), (17, 256), (1000, 256)])
+def test_top_k(spark, shard, cells):
     rng = np.random.default_rng(2)
-    vecs = [(i, rng.normal(0, 0.3, 6).round(3).tolist()) for i in range(260)]
+    centres = rng.normal(0, 2, (5, 6))
+    vecs = [(i, (centres[i % 5] + rng.normal(0, 0.3, 6)).round(3).tolist()) for i in range(260)]
     vecs += [(300 + i, vecs[7][1]) for i in range(60)] + [(400, vecs[7][1])]  # a hot vector, and a query on it
-    bad = [(500, None), (550, [float("nan")] * 6), (600, [None] + [0.1] * 5), (650, [float("inf")] * 6), (700, []), (None, [0.1] * 6)]
+    bad = [(500, None), (550, [float("nan")] * 6), (600, [None] + [0.1] * 5), (650, [float("inf")] * 6), (None, [0.1] * 6)]
     df = spark.createDataFrame(vecs + bad, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("dim", F.lit(0))
     got = defaultdict(list)
-    for r in kdtree.top_k(df, df.where("vec_id % 50 = 0"), kdtree.Settings(shard_rows=shard, leaf=8, query_rows=3)).orderBy("query_id", "rank").collect():
+    for r in kdtree.top_k(df, df.where("vec_id % 50 = 0"), kdtree.Settings(shard_rows=shard, leaf=8, query_rows=3, cells=cells, near=2)).orderBy("query_id", "rank").collect():
         got[r.query_id].append((-r.score, r.vec_id))
     floors = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v in vecs]
     assert dict(got) == brute_top(floors)
 
 
+def test_top_k_repeated_ids(spark):
+    """Rows with one id are candidates each by itself; of a query id with two vectors each is asked, ties over shards to smaller ids."""
+    rng = np.random.default_rng(5)
+    vecs = [(i % 90, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(180)]
+    df = spark.createDataFrame(vecs + vecs[:4], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in kdtree.top_k(df, df.where("vec_id % 50 = 0"), kdtree.Settings(shard_rows=16, leaf=4, query_rows=2, cells=4, near=1)).collect():
+        got[r.query_id].append((r["rank"], -r.score, r.vec_id))
+    rows, want = [*vecs, *vecs[:4]], defaultdict(list)
+    for q, v in {(q, tuple(v)) for q, v in rows if q % 50 == 0}:
+        best = sorted((-int(256 * 256 * np.dot(v, w)), i) for i, w in rows if i != q)[:5]
+        want[q] += [(n, *x) for n, x in enumerate(best, 1)]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
 def test_top_k_small(spark):
     one = spark.createDataFrame([(0, [1.0]), (50, [2.0, 3.0])], "vec_id long, embedding array<double>")
     assert kdtree.top_k(one, one).count() == 0  # no candidate of the same length
     big = spark.createDataFrame([(0, [3e9]), (1, [2e3]), (2, [-2e3])], "vec_id long, embedding array<double>")
     got = kdtree.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, int(3e9 * 256) * 512_000), (2, -int(3e9 * 256) * 512_000)]
+    empty = spark.createDataFrame([(0, []), (1, []), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in kdtree.top_k(empty, empty.where("vec_id = 0")).collect()] == [(0, 1, 1, 0)]
     assert kdtree.top_k(big.limit(0), big.limit(0)).count() == 0
 
 
