@@ -24,9 +24,12 @@ _SPACE_RUN = re.compile(r"[\s\d]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """per_lang bounds the labelled rows of each language that the fit takes: about that many, chosen by a hash of the id."""
+    """per_lang bounds the labelled rows of each language that the fit takes: about that many, chosen by a hash of the id.
+    max_langs bounds the languages that it learns: those with most rows, of equals the first by name. Others, such as
+    misspelt codes of a few rows, are predicted as one of these."""
 
     per_lang: int = 600
+    max_langs: int = 512
     buckets: int = 1 << 15
     dim: int = 16
     epochs: int = 12
@@ -128,13 +131,15 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings) -> Model:
 def train(rows: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a sample of rows with a non-null language and a text with a letter: about per_lang of each language.
 
-    Executors hash whole texts; the driver gets at most `buckets` counts for each sampled row.
+    Executors hash whole texts; the driver gets at most `buckets` counts for each of about max_langs * per_lang rows. A
+    language of a single row is learned like any other.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_langs).collect()
     if not sizes:
         return fit([], s)
-    part = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, s.per_lang / n))]), F.col("lang"))
+    parts = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, s.per_lang / r["count"])) for r in sizes], "lang string, __part double")
+    rows = rows.join(F.broadcast(parts), "lang").select("id", "text", "lang", "__part")  # max_langs bounds it
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(s.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +156,7 @@ def train(rows: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
             kinds = (b.schema.field(0).type, pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(found, kinds, strict=True)], ["id", "lang", "h", "c"])
 
-    got = rows.where(draw < part).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, h binary, c binary").collect()
+    got = rows.where(draw < F.col("__part")).drop("__part").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, h binary, c binary").collect()
     sample = sorted(got, key=lambda r: (str(r["id"]), r["lang"], bytes(r["h"])))
     return fit([(r["lang"], np.frombuffer(r["h"], "<i4"), np.frombuffer(r["c"], "<i4").astype(float)) for r in sample], s)
 

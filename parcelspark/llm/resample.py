@@ -2,9 +2,10 @@
 
 Both models are distributions over hashed byte n-grams: the raw one counts every document, the target one the labelled
 good documents (a bounded sample of their ids, a parameter), smoothed towards the raw one, so that n-grams too rare to
-tell weigh nothing. A document's log weight is the sum over its n-grams of log target - log raw probability. Adding Gumbel noise, made from a hash of the row, to the log weights and
-taking the k largest samples k documents without replacement with probabilities in proportion to their weights. The
-k-th key is found by counting keys in ever finer ranges, so that nothing is sorted or gathered.
+tell weigh nothing. A document's log weight is the sum over its n-grams of log target - log raw probability. Adding
+Gumbel noise, made from a hash of the row, to the log weights and taking the k largest samples k documents without
+replacement with probabilities in proportion to their weights. The k-th key is found by counting keys in ever finer
+ranges, so that nothing is sorted or gathered.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from pyspark.sql import functions as F
 from parcelspark.llm.common import cut
 
 
-
 @dataclass(frozen=True)
 class Settings:
-    """target_rows bounds the labelled good documents that the target model counts. keep_share of None: the share of good
-    rows among the labelled ones."""
+    """target_rows bounds the labelled good documents that the target model counts: those whose ids have the smallest
+    hashes. keep_share of None: the share of good rows among the labelled ones."""
 
     buckets: int = 1 << 16
     grams: tuple[int, ...] = (2, 3, 4)
@@ -138,18 +138,30 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, rounds: in
     return low
 
 
+def target_ids(labels: DataFrame, n_good: int, s: Settings) -> DataFrame:
+    """(__t): the target_rows good ids with the smallest seeded hashes, of equals the smaller id; all, if there are fewer.
+
+    So that no task sorts more than about twice as many, ids with hashes far beyond the wanted ones are left out first:
+    that share of them is expected to be 1.2 target_rows and 1000 more.
+    """
+    h = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30))
+    share = min(1.0, (1.2 * s.target_rows + 1000) / max(n_good, 1))
+    low = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__t"), h.alias("__h")).where(F.col("__h") <= int(share * (1 << 30)))
+    return low.distinct().orderBy("__h", "__t").limit(s.target_rows).select("__t")
+
+
 def select(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per row of docs: doc_id, n_ngrams, log_weight, kept (whether the sample holds it).
 
     Texts without a word (null and empty ones too) have log weight 0 and are not sampled. Rows equal in id and text share
-    their noise and stay or go together. Without good labels all weights are 1. Labels without a quality don't count.
+    their noise and stay or go together: with such rows, or by chance with equal keys, at the k-th place, all of them stay
+    and there are more than k. Without good labels all weights are 1. Labels without a quality or an id don't count.
     """
     good = F.col("quality") == 1
     known = labels.where("doc_id is not null and quality is not null")
     n, n_good = known.agg(F.count("*"), F.sum(F.when(good, 1).otherwise(0))).first()
     n_good = n_good or 0
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ids = known.where(good & (draw < s.target_rows / max(n_good, 1))).select(F.col("doc_id").alias("__t")).distinct().limit(s.target_rows)
+    ids = target_ids(known, n_good, s)
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     flagged = rows.join(F.broadcast(ids), rows["id"] == ids["__t"], "left")  # target_rows bounds it
     table = ratios(*count(flagged.select("text", F.col("__t").isNotNull().alias("target")), s), s)

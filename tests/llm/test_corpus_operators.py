@@ -376,6 +376,24 @@ def test_pipeline(spark, docs):
     assert plain.where("n_tokens <> size(ids)").count() == 0
 
 
+def none_noise(hashed):
+    """The noise of the row with a null id and a text."""
+    r = next(r for r in hashed if r.doc_id is None and r.n_chars is not None)
+    return -np.log(-np.log((((r.u & (1 << 64) - 1) >> 11) + 0.5) / 2.0**53))
+
+
+def test_target_ids_are_the_smallest_hashes(spark):
+    from parcelspark.llm import resample
+
+    s = resample.Settings(target_rows=40)
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).unionByName(spark.createDataFrame([(1, 1), (None, 1), (3, 1)], "doc_id long, quality int"))
+    h = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30))
+    order = [r.doc_id for r in labels.where("quality = 1 and doc_id is not null").select("doc_id", h.alias("h")).distinct().orderBy("h", "doc_id").collect()]
+    for part in (labels, labels.repartition(7)):
+        assert sorted(r[0] for r in resample.target_ids(part, 1502, s).collect()) == sorted(order[:40])
+    assert resample.target_ids(labels, 1502, resample.Settings(target_rows=5000)).count() == 1500
+
+
 def test_resampling(spark, docs, rows, empty):
     """Weights and the sample against the definitions: counts by hand, and the k largest keys by sorting."""
     from parcelspark.llm import resample
@@ -391,9 +409,16 @@ def test_resampling(spark, docs, rows, empty):
     want = sorted((len(h), round(float(table[h].sum()), 4)) for h in counts)
     assert sorted((r.n_ngrams, round(r.log_weight, 4)) for r in got) == want
     assert not any(r.kept for r in got if r.n_ngrams == 0)
+    # The sample itself: each row's key from its weight and the noise of its hash, sorted, and the k-th one.
+    hashed = docs.select("doc_id", "n_chars", F.xxhash64("doc_id", "text").alias("h")).withColumn("u", F.xxhash64("h", F.lit(s.seed))).collect()
+    noise = {r.doc_id: -np.log(-np.log((((r.u & (1 << 64) - 1) >> 11) + 0.5) / 2.0**53)) for r in hashed if r.doc_id is not None}
+    known = [r for r in got if r.doc_id is not None]
+    keys = {r.doc_id: r.log_weight + noise[r.doc_id] for r in known if r.n_ngrams}
     full = sum(r.n_ngrams > 0 for r in got)
-    assert abs(sum(r.kept for r in got) - round(full / 2)) <= 1  # two equal rows stay or go together
-    assert max(r.log_weight for r in got if r.n_ngrams and not r.kept) < max(r.log_weight for r in got if r.kept)
+    every = sorted([k for r in known if r.n_ngrams for k in [keys[r.doc_id]]] + [r.log_weight + n for r in got if r.doc_id is None and r.n_ngrams for n in [none_noise(hashed)]], reverse=True)
+    least = every[round(full / 2) - 1]
+    assert all(r.kept == (keys[r.doc_id] >= least - 1e-9) for r in known if r.n_ngrams)
+    assert sum(r.kept for r in got) == sum(k >= least - 1e-9 for k in every)
     assert all(r.log_weight == 0 for r in resample.select(docs, labels.limit(0), s).collect())
     assert resample.select(empty, labels, s).count() == 0
 

@@ -137,6 +137,80 @@ def test_language(docs, empty, spark):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_hashes(text, s):
+    """Hash numbers of every n-gram of bytes, each by itself."""
+    data, out = (" " + re.sub(r"[\s\d]+", " ", text.lower()).strip() + " ").encode("utf-8", "replace"), []
+    for n in s.grams:
+        for i in range(len(data) - n + 1):
+            v = 0
+            for b in data[i : i + n]:
+                v = v * 0x01000193 % (1 << 32) ^ b
+            out.append(((v ^ n * 0x9E3779B1 % (1 << 32)) * 0x85EBCA6B % (1 << 32) >> 16) % s.buckets)
+    return out
+
+
+def test_language_prediction_by_hand():
+    """Mean embedding, layer, softmax with temperature and rejection, one number at a time."""
+    s = langid.Settings(buckets=97, grams=(1, 3))
+    rng = np.random.default_rng(1)
+    emb, layer, bias = rng.normal(0, 1, (97, 5)), rng.normal(0, 1, (5, 3)), rng.normal(0, 1, 3)
+    model = langid.Model(["a", "b", "c"], emb @ layer, bias, 0.7, 0.5, s)
+    for text in ("Some text, être!", "x", "Aa 12 bb"):
+        h = brute_hashes(text, s)
+        mean = sum(emb[i] for i in h) / len(h)
+        z = [(float(mean @ layer[:, k]) + bias[k]) / 0.7 for k in range(3)]
+        p = [np.exp(x) / sum(np.exp(y) for y in z) for x in z]
+        lang, score, rejected = model.predict(text)
+        assert lang == "abc"[int(np.argmax(p))] and abs(score - max(p)) < 1e-9 and rejected == (max(p) < 0.5)
+    assert model.predict("12 ,") == model.predict(None) == model.predict("") == ("und", 0.0, True)
+
+
+def test_language_fit_by_hand():
+    """One epoch of SGD step by step on dense numbers; then the temperature and the limit of rejection on the held rows."""
+    s = langid.Settings(buckets=11, dim=3, epochs=2, per_lang=50)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        h = np.unique(rng.integers(0, 6, 4) + 5 * (i % 2)) % 11
+        rows.append((("x", "y")[i % 2 if i % 13 else (i + 1) % 2], h, rng.integers(1, 5, len(h)).astype(float)))
+    model = langid.fit(rows, s)
+    rng = np.random.default_rng(s.seed)
+    emb, layer, bias = rng.normal(0, 0.1, (11, 3)), rng.normal(0, 0.1, (3, 2)), np.zeros(2)
+    train, held = [r for i, r in enumerate(rows) if i % 5 != 4], [r for i, r in enumerate(rows) if i % 5 == 4]
+    dense = lambda h, c: np.array([sum(c[h == k]) / sum(c) for k in range(11)])
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+    step = 0
+    for _ in range(2):
+        for k in rng.permutation(len(train)):
+            lang, h, c = train[k]
+            rate = 0.5 * (1 - step / (2 * len(train)))
+            step += 1
+            w = dense(h, c)
+            x = w @ emb
+            error = soft(x @ layer + bias) - np.eye(2)["xy".index(lang)]
+            toward = error @ layer.T
+            layer, bias = layer - rate * np.outer(x, error), bias - 0.1 * rate * error
+            emb = emb - rate * len(h) ** 0.5 * np.outer(w, toward)
+    assert np.allclose(model.scores, emb @ layer, atol=1e-5) and np.allclose(model.bias, bias)
+    z = np.array([dense(h, c) @ emb @ layer + bias for _, h, c in held])
+    want = ["xy".index(r[0]) for r in held]
+    loss = lambda t: -np.mean([np.log(soft(a / t)[k] + 1e-12) for a, k in zip(z, want, strict=True)])
+    grid = np.geomspace(0.05, 20, 60)
+    assert abs(model.temperature - min(grid, key=loss)) < 1e-9 and all(loss(model.temperature) <= loss(t) + 1e-12 for t in grid)
+    sure = [soft(a / model.temperature).max() for a, k in zip(z, want, strict=True) if a.argmax() == k]
+    assert abs(model.least - np.quantile(sure, s.reject_share)) < 1e-6
+
+
+def test_language_bounds(spark):
+    """Only the languages with most rows are learned; one of a single row, and a very long text, do no harm."""
+    rows = [(i, ("le chat est la " if i % 2 else "the cat is here ") * 5, "fr" if i % 2 else "en") for i in range(60)] + [(100 + i, "noise here", f"q{i}") for i in range(9)]
+    df = spark.createDataFrame([*rows, (200, "the cat is here " * 60_000, "en")], "doc_id long, text string, lang string")
+    few = langid.identify(df, langid.Settings(max_langs=2, epochs=4)).collect()
+    assert {r.lang_pred for r in few} == {"en", "fr"} and len(few) == 70
+    assert next(r for r in few if r.doc_id == 200).lang_pred == "en"
+    assert langid.train(df, langid.Settings(epochs=1)).langs == ["en", "fr", *sorted(f"q{i}" for i in range(9))]
+
+
 def test_language_blocks_cover_texts():
     s, t = langid.Settings(block=64), langid.Settings()
     text = "Some text, être ou ne pas être. " * 40
@@ -227,6 +301,106 @@ def figures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+WHITE = r"[\x20\x09-\x0D]"
+
+
+def fails(body, common=()):
+    """Whether a line fails, each rule by its sentence in the settings, one after the other over regular expressions."""
+    tight, words = re.sub(WHITE, "", body), body.split()
+    if len(tight) > 1 and len(re.findall(r"[#*$%&|<>]", tight)) > 0.1 * len(tight):
+        return True
+    if re.search("|".join(map(re.escape, quality.PHRASES)), body.lower()) or body in common:
+        return True
+    if len(tight) >= 40 and len(re.findall(r"[!-@\[-`{-~\x7f]", tight)) > 0.5 * len(tight):
+        return True
+    if re.search(r"(\.\.\.|…)$", body) and len(words) <= 12:
+        return True
+    if re.search(r"[.!?:;,…\"'”’»)\]}。！？]$", body):
+        return False
+    marks = len(re.findall(r"[|»›•>]|::", body))
+    if marks >= 2 and len(words) <= 4 * (marks + 1):
+        return True
+    if len(words) <= 5 and re.match(r"([-*•·▪‣◦»›]|[0-9]{1,3}[.)])[ \t]", body):
+        return True
+    if len(words) >= 3 and sum(1 for w in words if w[:1] != w[:1].lower() or w[:1].isupper()) >= 0.8 * len(words):
+        return True
+    ends = [i for i, w in enumerate(words) if re.search(r"[.!?:;…。！？][\"'”’»)\]}]*$", w)]
+    return len(words) >= 5 and (not ends or len(words) - 1 - ends[-1] > 20)
+
+
+def verdict(text, common=()):
+    """(kept, lost characters, surviving text) of a text."""
+    lines, gone, run = (text or "").split("\n"), set(), []
+    strip = lambda x: re.sub(f"^{WHITE}+|{WHITE}+$", "", x)
+    full = [i for i, x in enumerate(lines) if strip(x)]
+    for i in full:
+        if lines[i] in lines[:i] or fails(strip(lines[i]), common):
+            gone.add(i)
+    for i in [*full, None]:
+        if i is not None and not re.search(r"[.!?:;,…\"'”’»)\]}。！？]$", strip(lines[i])) and len(lines[i].split()) <= 3:
+            run.append(i)
+        else:
+            gone |= set(run) if len(run) >= 4 else set()
+            run = []
+    lost = sum(len(re.sub(WHITE, "", lines[i])) for i in gone)
+    n, chars, _, _, again = figures(text)
+    base = n < 20 or 100 * again > 30 * n
+    return not base and lost <= 0.5 * chars, lost, "\n".join(x for i, x in enumerate(lines) if i not in gone)
+
+
+LINES = [
+    "A closed line of words.", "no closing mark here at all just words", "Home About Contact Products Services Careers", "Home | About | News | Contact", "word " * 30 + "end", "One. Two words", "Ends well. " + "then it goes on " * 7,
+    "Tous droits réservés 2020.", "Alle Rechte vorbehalten", "Todos los derechos reservados.", "Datenschutzerklärung und Impressum", "Cliquez ici", "• a bullet", "- item one", "12. item", "Read on for the whole ...", "Und so weiter und so fort …",
+    "### $$$ %%% text ***", "12345 67890 12345 67890 12345 67890 12345 67890 1", "heading", "Two words", "x", "News", "Sport", "He said: \"no\"", "et alors il dit que oui.", "  spaced out line here.  ", "\tand a tab", "a > b > c", "Ein Satz. Noch einer ohne Ende", "1) short",
+]
+
+
+def quality_texts():
+    rng = np.random.default_rng(6)
+    body = ["the quick fox number%d ran over hills and sleepy dogs today." % i for i in range(400)]
+    return ["\n".join([*rng.choice(body, int(rng.integers(1, 12)), replace=False), *rng.choice(LINES, int(rng.integers(0, 9)))][:: 1 if rng.random() < 0.5 else -1]) for _ in range(150)]
+
+
+def test_line_rules():
+    for x in LINES:
+        assert bool(quality.line_fails(x, quality.Rules())) == fails(x.strip()), x
+    name = lambda x: quality.line_fails(x, quality.Rules())
+    assert [name(LINES[i]) for i in (0, 1, 2, 3, 4, 5, 6)] == [None, "punctuation", "navigation", "symbols", "punctuation", None, "punctuation"]
+    assert {name(x) for x in LINES[7:12]} == {"boilerplate"} and {name(x) for x in LINES[12:15]} == {"navigation"} and {name(x) for x in LINES[15:17]} == {"punctuation"}
+    assert name(LINES[17]) == "symbols" and name(LINES[18]) == "letters" and name("heading") is None
+
+
+def test_quality_verdicts(spark, docs, rows, empty):
+    """Every verdict, loss and surviving text against the sentences of the rules."""
+    texts = quality_texts() + [r[1] for r in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.kept, r.lost_chars, r.clean_text) for r in quality.quality(df, with_text=True).collect()}
+    assert got == {i: verdict(t) for i, t in enumerate(texts)} and {k for k, _, _ in got.values()} == {True, False}
+
+
+def test_common_lines(spark):
+    """A footer under different lines is boilerplate; the lines of copies and of near copies aren't."""
+    prose = lambda i, n: [f"sentence number {i * 100 + k} stands here by itself without a copy." for k in range(n)]
+    texts = ["\n".join([*prose(i, 6), "Our footer line says nothing new.", *(["and its end."] if i % 2 else [])]) for i in range(40)]
+    texts += ["\n".join(prose(999, 8))] * 60  # copies
+    texts += ["\n".join([*(x := prose(555, 8))[: i % 8], f"changed {i} only here.", *x[i % 8 + 1 :]]) for i in range(120)]  # near copies
+    texts += ["rare line.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rules = quality.Rules(common_docs=20)
+    strip = lambda t: [x.strip() for x in (t or "").split("\n") if x.strip()]
+    where, around = {}, {}
+    for t in texts:
+        lines = strip(t)
+        for k, x in enumerate(lines):
+            where.setdefault(x, set()).add(t)
+            around.setdefault(x, set()).add((lines[k - 1] if k else None, lines[k + 1] if k + 1 < len(lines) else None))
+    want = {x for x in where if len(where[x]) >= 20 and len(around[x]) >= 0.5 * len(where[x])}
+    assert quality.common_lines(df, rules) == {quality.line_hash(x) for x in want} and "Our footer line says nothing new." in want and len(want) <= 2
+    got = {r.doc_id: r.clean_text for r in quality.quality(df, rules, with_text=True).collect()}
+    assert got == {i: verdict(t, want)[2] for i, t in enumerate(texts)}
+    assert quality.common_lines(df.limit(0), rules) == frozenset()
+
+
 def test_quality(docs, rows, empty):
     got = quality.quality(docs).collect()
     want = sorted(figures(r[1]) for r in rows)
