@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done, docs = docs, common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_cut(done)  # the stage after it reads the new one
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,9 @@
 """Every registered query against its SQL, over the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -39,8 +42,25 @@ def test_query(spark, duck, name):
     assert sorted(map(key, rows)) == sorted(map(key, want))
 
 
-def test_without_corpus_operators(spark):
+def _names(folder, before=""):
+    """The queries' names that a copy of the repository gives."""
+    code = f"import sys; sys.path[0] = {str(folder)!r}; {before}import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=folder, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+    return set(out.stdout.split())
+
+
+def test_without_corpus_operators(spark, tmp_path):
+    """The other queries are there without the corpus operators' folders and file, and without a library of theirs."""
     import __spark_entry__ as e
 
-    assert set(QUERIES) <= set(e.queries())
     assert e.entry(spark).columns == ["id", "ranking_score"]
+    root = Path(__file__).parents[1]
+    shutil.copytree(root / "parcelspark", tmp_path / "parcelspark", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if (root / "parcelspark/llm").exists() and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        assert _names(tmp_path) == set(e.queries()) and "pipeline" in e.queries()
+        assert set(QUERIES) < _names(tmp_path, "sys.modules['tiktoken'] = None; ") < set(e.queries())
+        (tmp_path / "corpus_pipeline.py").unlink()
+        shutil.rmtree(tmp_path / "parcelspark/llm")
+    assert _names(tmp_path) == set(QUERIES)
