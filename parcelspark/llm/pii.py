@@ -242,15 +242,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts without a span, and null ones, stay as they are.
     """
     others = [c for c in docs.columns if c != text_col]
-    # The other columns travel as one struct, so that none can clash with a name used here.
-    packed = docs.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("__row"), F.col(text_col).alias("__t"), F.col(text_col).isNull().alias("__null"))
-    df, own = find(packed, ["__row", "__null"], "__t"), ["__row", "__null", "__text"]
+    # The other columns travel under names of their own, so that none can clash with one used here.
+    own = {c: f"__o{i}" for i, c in enumerate(others)}
+    packed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col(text_col).alias("__t"), F.col(text_col).isNull().alias("__null"))
+    df, kept = find(packed, [*own.values(), "__null"], "__t"), [*own.values(), "__null", "__text"]
     by_start = F.array_sort(F.transform(F.concat("__base", "__more"), lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), p["kind"].alias("kind"))))
-    df = step(df, own, F.when(F.size("__base") + F.size("__more") > 0, by_start).alias("__spans"))
+    df = step(df, kept, F.when(F.size("__base") + F.size("__more") > 0, by_start).alias("__spans"))
     df = step(df, df.columns, F.transform("__spans", lambda p: -p["e"]).alias("__ends"), F.when(F.col("__spans").isNotNull(), cut_text(F.col("__text"))).alias("__pieces"))
     df = levels(df, ["__ends"], larger)
     upto = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: prefix("__ends", i, larger))
-    df = step(df, [*own, "__spans", "__pieces"], F.when(F.col("__spans").isNotNull(), upto).alias("__upto"))
+    df = step(df, [*kept, "__spans", "__pieces"], F.when(F.col("__spans").isNotNull(), upto).alias("__upto"))
     span = lambda i: F.get(F.col("__spans"), i)
     done = lambda i: F.get(F.col("__upto"), i)
     first = F.filter(F.sequence(F.lit(0), F.size("__spans") - 1), lambda i: span(i)["s"] >= done(i))
@@ -258,8 +259,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     tail = part(F.col("__pieces"), done(F.size("__spans")), F.length("__text").cast("long"))
     new = F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(out, ""), tail))
     text = F.when(F.col("__null"), F.lit(None)).when(F.col("__spans").isNull(), F.col("__text")).otherwise(new)
-    df = step(df, ["__row"], F.col("__spans").isNull().alias("__same"), text.alias("__new"))
-    cols = {c: F.col(f"__row.c{i}") for i, c in enumerate(others)} | {text_col: F.col("__new")}
+    df = step(df, list(own.values()), F.col("__spans").isNull().alias("__same"), text.alias("__new"))
+    cols = {c: F.col(n) for c, n in own.items()} | {text_col: F.col("__new")}
     if "n_chars" in others:
         cols["n_chars"] = F.when(F.col("__same"), cols["n_chars"]).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)
     return df.select(*[cols[c].alias(c) for c in docs.columns])

@@ -198,7 +198,8 @@ def common_lines(texts: DataFrame, rules: Rules = Rules()) -> frozenset[int]:
     least = max(rules.common_docs, int(-(-rules.common_share * docs // 1)))
     # Few lines come often at all: the others are left out before anything is counted by text.
     often = lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h")
-    some = cut(lines.join(often, "h", "left_semi"), "often")
+    # At most the lines of a document on average / common_share hashes.
+    some = cut(lines.join(F.broadcast(often), "h", "left_semi"), "often")
     by_text = some.groupBy("h", "d").agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     around = some.groupBy("h", "around").agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("around"))
     found = by_text.join(around, "h").where(F.col("around") >= rules.common_around * F.col("texts")).select("h").collect()

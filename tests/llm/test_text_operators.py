@@ -115,6 +115,17 @@ def test_pii_spans_and_redaction(spark, monkeypatch, fan, piece):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {i: redacted(t) for i, t in enumerate(texts)}
 
 
+def test_redaction_of_a_written_table(spark, tmp_path):
+    """Read back from Parquet, written in full, by single columns and by a filter on the new text."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "mail a@b.co", "en", "s", 11), (2, None, None, None, None), (3, "none", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(path)
+    out = pii.redact(spark.read.parquet(path))
+    out.write.parquet(f"{path}-out")
+    got = spark.read.parquet(f"{path}-out")
+    assert sorted(map(tuple, got.select("doc_id", "text", "n_chars").collect())) == [(1, "mail [EMAIL]", 12), (2, None, None), (3, "none", 4)]
+    assert got.schema == spark.read.parquet(path).schema and [r.lang for r in out.where("text like '%EMAIL%'").select("lang").collect()] == ["en"]
+
+
 def test_pii_long_texts(spark):
     """Texts on which matching or cutting from the beginning would take hours: each kind's runs, and many spans."""
     spans, ssn = "é a@b.co 1.2.3.4 " * 40_000, "ssn 123-45-6789 é " * 20_000
