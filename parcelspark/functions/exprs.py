@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession, Window
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -135,16 +135,6 @@ def norm_cdf(z: Column) -> Column:
     return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
 
 
-def percentile_rank(value: Column, *partition: Column | str) -> Column:
-    """Percent rank with tied values sharing the mean of their ranks, nulls left out, 2 decimals (G1)."""
-    present = value.isNotNull()
-    ordered = Window.partitionBy(*partition, present).orderBy(value)
-    ties = Window.partitionBy(*partition, value)
-    every = Window.partitionBy(*partition, present)
-    rank = F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    return F.when(present, F.bround(rank / F.count(F.lit(1)).over(every) * 100, 2))
-
-
 def minutes(km: Column, per_km: int = 12) -> Column:
     """Minutes for a distance: 12 per km on foot, 3 by car."""
     return F.bround(km * per_km, 0)
@@ -158,28 +148,33 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded, r"\W+", "_"), r"^_+|_+$", "")
 
 
+# How a street begins and ends in registers, and what takes its place; {city} is the city or its province.
+STREET_PATTERNS = (
+    (r"^\d{{5}}\s+", ""),
+    (r"^(?:{city})\b\s*-?\s*", ""),
+    (r"\s*-?\s*\b(?:{city})$", ""),
+    (r"^\d+\s+", ""),
+    (r"^[:\-,. ]+", ""),
+    (r"^(?:C\.?SO|C/S|C\s+SO|CORS|COROS)\b", "CORSO"),
+    (r"^(?:V\.?IA|V/A|V\s+IA)\b", "VIA"),
+    (r"^(?:P\.?ZZA|P/Z)\b", "PIAZZA"),
+    (r"(?:[ ,]|CIVICO|N\.?)\s*\d+[A-Z\s/-]*$", ""),
+    (r"^[ ,]+|[ ,]+$", ""),
+)
+HOUSE_NUMBER = r"(?:[ ,]|CIVICO|N\.?)\s*(\d+[A-Z\s/-]*)$"
+
+
 def clean_street(street: Column, city: str = "TORINO", province: str = "TO") -> Column:
     """A street name in lower case without postcode, city, junk and house number, its type spelled out."""
     x = F.upper(F.trim(street))
-    for pattern, by in (
-        (r"^\d{5}\s+", ""),
-        (rf"^(?:{city}|{province})\b\s*-?\s*", ""),
-        (rf"\s*-?\s*\b(?:{city}|{province})$", ""),
-        (r"^\d+\s+", ""),
-        (r"^[:\-,. ]+", ""),
-        (r"^(?:C\.?SO|C/S|C\s+SO|CORS|COROS)\b", "CORSO"),
-        (r"^(?:V\.?IA|V/A|V\s+IA)\b", "VIA"),
-        (r"^(?:P\.?ZZA|P/Z)\b", "PIAZZA"),
-        (r"(?:[ ,]|CIVICO|N\.?)\s*\d+[A-Z\s/-]*$", ""),
-        (r"^[ ,]+|[ ,]+$", ""),
-    ):
-        x = F.regexp_replace(x, pattern, by)
+    for pattern, by in STREET_PATTERNS:
+        x = F.regexp_replace(x, pattern.format(city=f"{city}|{province}"), by)
     return F.lower(x)
 
 
 def house_number(street: Column, given: Column | None = None) -> Column:
     """The given number unless it is none (snc), else the one at the end of the street."""
-    found = F.lower(F.trim(F.regexp_extract(F.upper(street), r"(?:[ ,]|CIVICO|N\.?)\s*(\d+[A-Z\s/-]*)$", 1)))
+    found = F.lower(F.trim(F.regexp_extract(F.upper(street), HOUSE_NUMBER, 1)))
     found = F.nullif(found, F.lit(""))
     if given is None:
         return found
@@ -187,20 +182,52 @@ def house_number(street: Column, given: Column | None = None) -> Column:
     return F.coalesce(F.when((own != "snc") & (own != ""), own), found)
 
 
+# The three spellings of a cadastral identifier, in the order in which they are tried.
+CADASTRAL_PATTERNS = (
+    r"(?i)F\s*(\d+)\s+P\s*(\d+)\s+S\s*(\d+)",
+    r"(?i)foglio\s*(\d+).*?part.*?(\d+).*?sub.*?(\d+)",
+    r"(\d{1,5})\s*[/-]\s*(\d{1,6})\s*[/-]\s*(\d{1,4})",
+)
+
+
+def cadastral_parts(text: Column) -> Column:
+    """(sheet, parcel, subaltern) as an array of texts, by the first spelling that the text holds (J7); null if none."""
+    return F.coalesce(*[F.when(text.rlike(p), F.array(*[F.regexp_extract(text, p, i) for i in (1, 2, 3)])) for p in CADASTRAL_PATTERNS])
+
+
 def cadastral_id(text: Column) -> Column:
-    """Sheet/parcel/subaltern from a description, by the first of three spellings that fits."""
-    patterns = (
-        r"(?i)foglio[:\s]*(\d+)\D+particella[:\s]*(\d+)\D+sub(?:alterno)?[:.\s]*(\d+)",
-        r"(?i)\bfg\.?\s*(\d+)\D+(?:part|mapp?)\.?\s*(\d+)\D+sub\.?\s*(\d+)",
-        r"(?i)\bf\.?\s*(\d+)\D+(?:p|n)\.?\s*(\d+)\D+s\.?\s*(\d+)",
-    )
-    return F.coalesce(*[F.when(text.rlike(p), F.concat_ws("/", *[F.regexp_extract(text, p, i) for i in (1, 2, 3)])) for p in patterns])
+    """sheet/parcel/subaltern."""
+    return F.array_join(cadastral_parts(text), "/")
+
+
+# What stands before a place's name, of which the first that fits goes, and then, one after the other, articles.
+PLACE_PREFIXES = ("vicino a", "vicino", "presso", "nei pressi di", "in zona", "area di", "distretto di", "intorno a", "davanti a", "fronte")
+PLACE_ARTICLES = ("l'", "lo", "la", "il", "a", "di")
 
 
 def place_name(x: Column) -> Column:
-    """A place without leading prepositions, articles and words such as near."""
-    prefix = r"(?i)^\s*(?:(?:near|close to|next to|around|in|at|vicino|presso|zona|nei pressi)\s+)*(?:(?:the|il|lo|la|i|gli|le|l'|a|al|alla|allo|di|del|della|dello)\s+|l')*"
-    return F.trim(F.regexp_replace(x, prefix, ""))
+    """A place's name in lower case without what leads to it, and the articles after that."""
+    name, prefix = F.lower(F.trim(x)), f"^(?:{'|'.join(PLACE_PREFIXES)})"
+    bare = F.trim(F.regexp_replace(name, prefix, ""))
+    for article in PLACE_ARTICLES:
+        bare = F.trim(F.regexp_replace(bare, f"^{article}", ""))
+    return F.when(name.rlike(prefix), bare).otherwise(name)
+
+
+# A payback time in running text.
+PAYBACK = r"(?i)(\d+(?:[.,]\d+)?)\s*(?:anni|anno)\s*(?:di)?\s*(?:ritorno|payback)"
+
+
+def payback_years(given: Column, full_text: Column) -> Column:
+    """The payback time that is stated, else the first that the text speaks of, with a decimal point."""
+    found = F.nullif(F.regexp_extract(full_text, PAYBACK, 1), F.lit(""))
+    return F.coalesce(given, F.replace(found, F.lit(","), F.lit(".")))
+
+
+def interventions(text: Column, first: int = 3) -> Column:
+    """The first few parts of a list in text, parted by lines, semicolons, bullets and hyphens, those of over two characters."""
+    parts = F.filter(F.split(text, r"[\r\n;•\-]+"), lambda x: F.length(F.trim(x)) > 2)
+    return F.coalesce(F.slice(F.transform(parts, lambda x: F.btrim(x, F.lit(" .:;"))), 1, first), F.array().cast("array<string>"))
 
 
 def list_of(x: Column) -> Column:

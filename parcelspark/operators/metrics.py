@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
+
+from parcelspark.operators.stats import quantiles, with_mean_rank
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -14,9 +20,16 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def set_f1(a: Column, b: Column) -> Column:
-    both, sizes = F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(sizes == 0, F.lit(1.0)).otherwise(2 * both / sizes)
+def set_scores(expected: Column, found: Column) -> Column:
+    """A struct (precision, recall, f1) of a found set against the expected one, 3 decimals; all 0 without an expected one."""
+    both, e, f = F.size(F.array_intersect(expected, found)), F.size(F.array_distinct(expected)), F.size(F.array_distinct(found))
+    ratio = lambda n: F.when((e > 0) & (n > 0), both / n).otherwise(0.0)
+    f1 = F.when(both > 0, 2 * both / (e + f)).otherwise(0.0)
+    return F.struct(F.bround(ratio(f), 3).alias("precision"), F.bround(ratio(e), 3).alias("recall"), F.bround(f1, 3).alias("f1"))
+
+
+def set_f1(expected: Column, found: Column) -> Column:
+    return set_scores(expected, found)["f1"]
 
 
 def pairs_within(df: DataFrame, group: str, key: str, items: str) -> DataFrame:
@@ -71,31 +84,52 @@ def activation(queries: DataFrame, expected: str, found: str) -> DataFrame:
     return queries.agg(F.avg((e == g).cast("int")).alias("perfect_rate"), F.avg(iou(F.col(expected), F.col(found))).alias("jaccard"), F.avg(set_f1(F.col(expected), F.col(found))).alias("f1"))
 
 
-def phrases_in(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: str = "phrase", key: str = "id", words: int = 3) -> DataFrame:
-    """(id, phrase_id) where a text contains a phrase, in lower case: joined by a hash that any text with the phrase must
-    hold, then tested.
+def phrases_in(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: str = "phrase", key: str = "id", block_chars: int = 1 << 20) -> DataFrame:
+    """(id, phrase_id) where a text contains a phrase, in lower case, anywhere; the empty phrase is in every text.
 
-    Between its first and last word a phrase's words are whole words of the text, and the first `words` of them are the
-    key. A phrase of one or two words may begin and end within words of the text, so its key is the first letters (up to
-    three) of its longest word, at any place of the text's words; a blank one meets every text. The texts list only the
-    kinds of keys that the phrases have.
+    Phrases are the query set: they are taken in blocks of about block_chars characters, so that what a worker holds is
+    bounded, and each block passes once over the texts, in which one automaton finds all its phrases at once. A null
+    text or phrase has no row; repeated rows of either give repeated rows.
     """
-    split = lambda c: F.split(F.lower(c), r"\s+")
-    size = F.size("__w")
-    p = phrases.select("phrase_id", F.lower(phrase).alias("__p"), split(F.trim(phrase)).alias("__w")).where("__p is not null")
-    longest = F.array_max(F.transform("__w", lambda w: F.struct(F.length(w).alias("z"), w.alias("w"))))["w"]
-    p = p.withColumn("__n", F.when(size > 2, F.least(size - 2, F.lit(words))).otherwise(0))
-    p = p.withColumn("__k", F.xxhash64(F.when(F.col("__n") > 0, F.array_join(F.slice("__w", 2, F.greatest("__n", F.lit(1))), " ")).otherwise(F.substring(longest, 1, 3)), "__n"))
-    kinds = p.agg(F.collect_set("__n").alias("__kinds"))
-    t = texts.select(F.col(key).alias("id"), F.lower(text).alias("__t"), split(F.col(text)).alias("__tw"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__tw") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__tw", i, n), " "), F.lit(n)))
-    starts = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.substring(w, i, z))))
-    letters = F.transform(F.array_distinct(F.flatten(F.transform(F.array_distinct("__tw"), starts))), lambda g: F.xxhash64(g, F.lit(0)))
-    none = F.array().cast("array<bigint>")
-    listed = [F.when(F.array_contains("__kinds", n), runs(n) if n else letters).otherwise(none) for n in range(words + 1)]
-    keys = t.crossJoin(F.broadcast(kinds)).select("id", F.explode(F.array_distinct(F.concat(*listed))).alias("__k"))
-    hit = keys.join(p.select("phrase_id", "__p", "__k"), "__k").select("id", "phrase_id", "__p").distinct()
-    return hit.join(t.select("id", "__t"), "id").where(F.contains("__t", "__p")).select("id", "phrase_id")
+    rows = phrases.select("phrase_id", F.lower(phrase).alias("__p")).where("__p is not null")
+    chars = rows.agg(F.sum(F.length("__p") + 1)).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    given = texts.select(F.col(key).alias("id"), F.lower(text).alias("__t")).where("__t is not null")
+    kind = phrases.schema["phrase_id"].dataType
+    schema = StructType([StructField("id", given.schema["id"].dataType), StructField("phrase_id", kind)])
+    out = []
+    for block in range(blocks):
+        some = rows.where(F.pmod(F.xxhash64("phrase_id", "__p"), F.lit(blocks)) == block).collect()  # about block_chars characters
+        found: dict[str, list] = {}
+        for r in some:
+            found.setdefault(r["__p"], []).append(r["phrase_id"])
+        if found:
+            out.append(given.mapInArrow(_finder(found, to_arrow_type(kind)), schema))
+    return reduce(lambda a, b: a.unionByName(b), out) if out else texts.sparkSession.createDataFrame([], schema)
+
+
+def _finder(found: dict[str, list], kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each text the phrases in it, by an Aho-Corasick automaton that each task builds once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in found:
+            if p:
+                automaton.add_word(p, p)
+        automaton.make_automaton()
+        always = found.get("", [])
+        for b in batches:
+            at, ids = [], []
+            for i, t in enumerate(b.column(1)):
+                hits = {p for _, p in automaton.iter(t.as_py())} if len(automaton) else ()
+                own = [x for p in hits for x in found[p]] + always
+                at += [i] * len(own)
+                ids += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(ids, kind)], ["id", "phrase_id"])
+
+    return run
 
 
 def gold_recall(expected: DataFrame, captured: DataFrame, query: str = "query_id") -> DataFrame:
@@ -110,30 +144,34 @@ def recall_totals(per_query: DataFrame) -> DataFrame:
 
 
 def latency(df: DataFrame, ms: str, by: list[str] | None = None) -> DataFrame:
-    return (df.groupBy(*by) if by else df.groupBy()).agg(F.avg(ms).alias("mean_ms"), F.median(ms).alias("median_ms"), F.count(ms).alias("n"))
+    """(by, mean_ms, median_ms, n) of a column of milliseconds; groups without a value are left out."""
+    rows = df.select(*(by or []), F.col(ms).cast("double").alias("__ms")).where("__ms is not null")
+    plain = rows.groupBy(*(by or [])).agg(F.avg("__ms").alias("mean_ms"), F.count("*").alias("n"))
+    middle = quantiles(rows, by or [], "__ms", {"median_ms": 0.5})
+    if not by:
+        return plain.join(F.broadcast(middle)).select("mean_ms", "median_ms", "n")  # one row
+    m = middle.toDF(*[f"__{c}" for c in by], "median_ms")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return plain.join(m, on).select(*by, "mean_ms", "median_ms", "n")
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, n, rho): Spearman's correlation within each group, ties sharing their mean rank."""
-
-    def rank(c: str) -> Column:
-        own = F.rank().over(Window.partitionBy(*by).orderBy(c))
-        return own + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
-
-    present = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return present.select(*by, rank(x).alias("__x"), rank(y).alias("__y")).groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"))
+    rows = df.select(*by, F.col(x).cast("double").alias("__vx"), F.col(y).cast("double").alias("__vy")).where("__vx is not null and __vy is not null")
+    ranked = with_mean_rank(with_mean_rank(rows, by, "__vx", "__x"), by, "__vy", "__y")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"))
 
 
 def out_of_domain(literals: DataFrame, stats: DataFrame) -> DataFrame:
-    """(column, value, ood, distance, tightness) of query literals against their column's range.
+    """(column, value, ood, distance, tightness) of query literals against their column's range, which counts as 1 at least.
 
-    distance: how far outside, as a share of the range; tightness: how far inside, from 0 at an edge to 1 in the middle.
+    distance: how far outside, as a share of the range; tightness: the place within the range, from 0 to 1, and below or
+    above that outside.
     """
-    j = literals.join(F.broadcast(stats), "column")
-    span = F.nullif(F.col("max") - F.col("min"), F.lit(0.0))
+    j = literals.join(F.broadcast(stats), "column")  # one row for each column
+    span = F.greatest(F.col("max") - F.col("min"), F.lit(1.0))
     off = F.greatest(F.col("min") - F.col("value"), F.col("value") - F.col("max"), F.lit(0.0))
-    inside = F.least(F.col("value") - F.col("min"), F.col("max") - F.col("value")) / span * 2
-    return j.select("column", "value", (off > 0).alias("ood"), F.coalesce(off / span, F.lit(0.0)).alias("distance"), F.when(off > 0, 0.0).otherwise(F.coalesce(inside, F.lit(1.0))).alias("tightness"))
+    return j.select("column", "value", (off > 0).alias("ood"), (off / span).alias("distance"), ((F.col("value") - F.col("min")) / span).alias("tightness"))
 
 
 def ood_summary(rows: DataFrame) -> DataFrame:

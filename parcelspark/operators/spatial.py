@@ -5,37 +5,51 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.functions.exprs import EARTH_KM, haversine_km, minutes, percentile_rank
+from parcelspark.functions.exprs import EARTH_KM, haversine_km, minutes
+from parcelspark.operators.stats import percentile_rank
 
 DECAY_KM = {"neighbourhood": 0.340, "district": 0.680, "city": 1.360}
 URBAN = 1.5
 REACH_KM = 5.0
 
 
-def cells(lat: Column, lon: Column, radius_km: float, top_lat: float) -> tuple[Column, Column]:
-    """The grid cell of a point: no two points within the radius are more than one cell apart on either axis."""
-    dlat = math.degrees(radius_km / EARTH_KM) * 1.0001
-    dlon = dlat / max(math.cos(math.radians(min(top_lat + dlat, 89.0))), 0.01)
-    return F.floor(lat / dlat).cast("long"), F.floor(lon / dlon).cast("long")
+def band_cells(band: Column, radius_km: float) -> Column:
+    """The number of cells around the earth in a band of latitude: none is narrower than the longitudes between two points
+    within the radius, of which one lies in the band and the other in it or the next; near a pole there is one."""
+    half, tall = radius_km / EARTH_KM / 2, radius_km / EARTH_KM * 1.0001
+    edge = F.least(F.greatest(F.abs((band - 1) * tall), F.abs((band + 2) * tall)), F.lit(math.pi / 2))
+    ratio = F.lit(math.sin(min(half, math.pi / 2))) / F.greatest(F.cos(edge), F.lit(1e-12))
+    return F.when(ratio >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(math.pi) / F.asin(ratio) * (1 - 1e-9)))).cast("long")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_km: float, top_lat: float = 60.0, lat: str = "latitude", lon: str = "longitude", right_lat: str = "lat", right_lon: str = "lon") -> DataFrame:
-    """Pairs within radius_km, with distance_km: right points are listed in their own cell and the eight around it, then
-    joined by cell, then tested. top_lat is the largest absolute latitude of the data (cells get wider towards poles).
+def band_of(lat: Column, radius_km: float) -> Column:
+    return F.floor(F.radians(lat) / (radius_km / EARTH_KM * 1.0001)).cast("long")
+
+
+def cell_in(lon: Column, cells: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * cells).cast("long"), cells - 1)
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius_km: float, lat: str = "latitude", lon: str = "longitude", right_lat: str = "lat", right_lon: str = "lon") -> DataFrame:
+    """Pairs within radius_km, with distance_km: right points are listed in the cells around them, in their own band of
+    latitude and the next on both sides, then joined by cell, then tested. Each band has as many cells as fit its latitude,
+    the last next to the first, so that it holds at poles and at the date line.
 
     The side that is listed nine times should be the smaller. A hot cell is a skewed join key, which AQE splits.
     """
-    a = left.withColumns(dict(zip(("__i", "__j"), cells(F.col(lat), F.col(lon), radius_km, top_lat), strict=True)))
-    i, j = cells(F.col(right_lat), F.col(right_lon), radius_km, top_lat)
-    steps = F.array(*[F.struct(F.lit(x).alias("di"), F.lit(y).alias("dj")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    b = right.withColumns({"__ci": i, "__cj": j}).withColumn("__step", F.explode(steps))
-    b = b.withColumns({"__i": F.col("__ci") + F.col("__step.di"), "__j": F.col("__cj") + F.col("__step.dj")}).drop("__ci", "__cj", "__step")
-    joined = a.join(b, ["__i", "__j"]).withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon)))
-    return joined.where(F.col("distance_km") <= radius_km).drop("__i", "__j")
+    own = band_of(F.col(lat), radius_km)
+    a = left.withColumn("__band", own).withColumn("__cell", cell_in(F.col(lon), band_cells(F.col("__band"), radius_km)))
+    b = right.withColumn("__band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band_of(F.col(right_lat), radius_km) + d)))
+    b = b.withColumn("__cells", band_cells(F.col("__band"), radius_km))
+    around = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(cell_in(F.col(right_lon), F.col("__cells")) + d, F.col("__cells")))
+    b = b.withColumn("__cell", F.explode(F.array_distinct(around))).drop("__cells")
+    joined = a.join(b, ["__band", "__cell"]).withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon)))
+    return joined.where(F.col("distance_km") <= radius_km).drop("__band", "__cell")
 
 
 @dataclass(frozen=True)
@@ -59,11 +73,20 @@ def nearest_place(df: DataFrame, places: Sequence[Place], lat: str = "latitude",
     return out.withColumns({"nearest_place": F.col("__n.name"), "distance_km": F.bround(km, 2), "walk_min": minutes(km, 12), "drive_min": minutes(km, 3)}).drop("__n")
 
 
-def nearest_row(df: DataFrame, points: DataFrame, reach_km: float, key: str = "id", point_key: str = "poi_id", top_lat: float = 60.0) -> DataFrame:
-    """(key, point, distance_km): the nearest point of a table within reach of each row, ties to the smaller point key."""
-    near = radius_join(df.select(key, "latitude", "longitude"), points.select(point_key, "lat", "lon"), reach_km, top_lat)
-    best = near.groupBy(key).agg(F.min(F.struct("distance_km", point_key)).alias("b"))
-    return best.select(key, F.col(f"b.{point_key}").alias(point_key), F.col("b.distance_km").alias("distance_km"))
+def nearest_row(df: DataFrame, points: DataFrame, reach_km: float, key: str = "id", point_key: str = "poi_id", rings: int = 3, grows: float = 4.0) -> DataFrame:
+    """(key, point, distance_km): the nearest point of a table within reach of each row, ties to the smaller point key.
+
+    Rows look around in growing rings: the first is reach / grows^(rings - 1), and a row that found a point there has its
+    nearest one, so few rows meet the many points within the whole reach. Keys are distinct.
+    """
+    rest, found = df.select(key, "latitude", "longitude"), []
+    there = points.select(point_key, "lat", "lon")
+    for i in range(rings):
+        near = radius_join(rest, there, reach_km / grows ** (rings - 1 - i))
+        best = near.groupBy(key).agg(F.min(F.struct("distance_km", point_key)).alias("b"))
+        found.append(best.select(key, F.col(f"b.{point_key}").alias(point_key), F.col("b.distance_km").alias("distance_km")))
+        rest = rest.join(best.select(key), key, "left_anti")
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
@@ -135,24 +158,35 @@ def inherited_category(members: DataFrame) -> DataFrame:
     return got.where(F.col("category") == F.col("__other")).select("parent", "category")
 
 
-def amenity_scores(estates: DataFrame, pois: DataFrame, amenity_class: Column, reach_km: float = REACH_KM, top_lat: float = 60.0) -> DataFrame:
-    """(id, category, raw): decayed presence summed for each amenity, then averaged over all amenities of the category.
+#: Beyond so many of its lengths, cubed in the exponent, a decay is less than a double adds to 1.
+DECAY_REACH = 37.0 ** (1 / 3)
+
+
+def amenity_scores(estates: DataFrame, pois: DataFrame, amenity_class: Column, reach_km: float = REACH_KM) -> DataFrame:
+    """(id, category, raw): decayed presence within reach, summed for each amenity, then averaged over all amenities of the
+    category. Every estate has a row for every category, 0 where nothing is near or its place is unknown.
 
-    pois: category, amenity, poi_id, lat, lon. amenity_class: a column over pois, neighbourhood, district or city.
+    pois: category, amenity, poi_id, lat, lon. amenity_class: a column over pois, neighbourhood, district or city. Points
+    of one kind at one place are one with a number, and a kind is looked for only as far as its decay is not nothing.
     """
     scale = F.lit(DECAY_KM["city"])
     for name in ("district", "neighbourhood"):
         scale = F.when(amenity_class == name, F.lit(DECAY_KM[name])).otherwise(scale)
-    pois = pois.withColumn("__s", scale * URBAN)
     size = pois.groupBy("category").agg(F.countDistinct("amenity").alias("__n"))
-    near = radius_join(estates.select("id", "latitude", "longitude"), pois, reach_km, top_lat)
-    total = near.groupBy("id", "category").agg(F.sum(F.exp(-F.pow(F.col("distance_km") / F.col("__s"), 3))).alias("__t"))
-    return total.join(size, "category").select("id", "category", (F.col("__t") / F.col("__n")).alias("raw"))
+    places = pois.select("category", "lat", "lon", (scale * URBAN).alias("__s")).groupBy("category", "__s", "lat", "lon").agg(F.count("*").alias("__many"))
+    located = estates.select("id", "latitude", "longitude").where("latitude is not null and longitude is not null")
+    sums = []
+    for km in DECAY_KM.values():
+        near = radius_join(located, places.where(F.col("__s") == km * URBAN), min(reach_km, km * URBAN * DECAY_REACH))
+        sums.append(near.select("id", "category", (F.col("__many") * F.exp(-F.pow(F.col("distance_km") / F.col("__s"), 3))).alias("__t")))
+    total = reduce(lambda a, b: a.unionByName(b), sums).groupBy("id", "category").agg(F.sum("__t").alias("__t"))
+    every = estates.select("id").join(F.broadcast(size))  # one row for each category
+    return every.join(total, ["id", "category"], "left").select("id", "category", (F.coalesce("__t", F.lit(0.0)) / F.col("__n")).alias("raw"))
 
 
 def amenity_percentiles(scores: DataFrame) -> DataFrame:
     """scores with the percentile of raw within its category."""
-    return scores.withColumn("percentile", percentile_rank(F.col("raw"), "category"))
+    return percentile_rank(scores, ["category"], "raw")
 
 
 def marker_clusters(df: DataFrame, zoom: int, pixels: int = 75) -> DataFrame:

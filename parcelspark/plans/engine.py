@@ -109,21 +109,32 @@ class Conjunct:
 class Relaxed:
     levels: tuple[str, ...]  # for each conjunct: asked, low, medium, high or dropped
     rows: int
-    condition: Column | None
+    condition: Column  # true where every conjunct has been dropped
 
 
 LEVELS = ("low", "medium", "high")
 
 
-def mask_counts(df: DataFrame, bits: Sequence[Column], most_bits: int = 20) -> dict[int, int]:
-    """Rows by the set of conditions they meet: one scan and one grouping answer every combination of conditions.
+def condition_counts(df: DataFrame, tests: Sequence[Column]) -> DataFrame:
+    """(met, n): rows by the numbers of the conditions that they meet, in order. One scan and one grouping answer every
+    combination of any number of conditions; a null condition isn't met."""
+    met = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)])) if tests else F.array().cast("array<int>")
+    return df.select(met.alias("met")).groupBy("met").agg(F.count("*").alias("n"))
 
-    The driver gets at most 2^bits rows, whatever the input; more than most_bits conditions are refused.
-    """
-    if len(bits) > most_bits:
-        raise ValueError(f"over {most_bits} conditions")
-    mask = reduce(lambda a, b: a + b, [F.when(b, F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(bits)], F.lit(0))
-    return {r["mask"]: r["n"] for r in df.select(mask.alias("mask")).groupBy("mask").agg(F.count("*").alias("n")).collect()}
+
+def counter(counts: DataFrame, most: int = 100_000) -> Callable[[Iterable[int]], int]:
+    """A function from condition numbers to the rows that meet them all. Up to `most` combinations are counted here, more
+    of them where they are."""
+    got = counts.limit(most + 1).collect()
+    if len(got) <= most:
+        local = [(frozenset(r["met"]), r["n"]) for r in got]
+        return lambda want: sum(n for met, n in local if met.issuperset(want))
+
+    def remote(want: Iterable[int]) -> int:
+        wanted = F.array(*[F.lit(i) for i in want]).cast("array<int>")
+        return counts.where(F.size(F.array_except(wanted, F.col("met"))) == 0).agg(F.sum("n")).first()[0] or 0
+
+    return remote
 
 
 def relax(df: DataFrame, conjuncts: Sequence[Conjunct], enforce: bool = True, enough: int = ENOUGH_ROWS) -> Relaxed:
@@ -132,40 +143,27 @@ def relax(df: DataFrame, conjuncts: Sequence[Conjunct], enforce: bool = True, en
     A trial is accepted at `enough` rows and ends the search, else kept if it is better than the first count. With
     `enforce` hard conjuncts are never touched. All trials are answered by one pass over the rows.
     """
-    bits: list[Column] = [c.test for c in conjuncts]
+    tests: list[Column] = [c.test for c in conjuncts]
     at: dict[tuple[int, str], int] = {(i, "asked"): i for i in range(len(conjuncts))}
     for i, c in enumerate(conjuncts):
         for level, test in c.variants:
-            at[i, level] = len(bits)
-            bits.append(test)
-    counts = mask_counts(df, bits)
-
-    def rows(levels: Sequence[str]) -> int:
-        want = sum(1 << at[i, level] for i, level in enumerate(levels) if level != "dropped")
-        return sum(n for mask, n in counts.items() if mask & want == want)
-
-    current = ["asked"] * len(conjuncts)
-    first = rows(current)
-
-    def done() -> Relaxed:
-        kept = [bits[at[i, level]] for i, level in enumerate(current) if level != "dropped"]
-        return Relaxed(tuple(current), rows(current), reduce(lambda a, b: a & b, kept) if kept else None)
-
-    if first >= enough:
-        return done()
-    free = [i for i in range(len(conjuncts) - 1, -1, -1) if not (enforce and conjuncts[i].hard)]
-    for level in (*LEVELS, "dropped"):
-        for i in free:
-            if level != "dropped" and (i, level) not in at:
-                continue
-            trial = [*current]
-            trial[i] = level
-            n = rows(trial)
-            if n >= enough or n > first:
-                current = trial
-            if n >= enough:
-                return done()
-    return done()
+            at[i, level] = len(tests)
+            tests.append(test)
+    counts = condition_counts(df, tests).persist()
+    count = counter(counts)
+    wanted = lambda levels: [at[i, level] for i, level in enumerate(levels) if level != "dropped"]
+    current, free = ["asked"] * len(conjuncts), [i for i in range(len(conjuncts) - 1, -1, -1) if not (enforce and conjuncts[i].hard)]
+    trials = [(level, i) for level in (*LEVELS, "dropped") for i in free if level == "dropped" or (i, level) in at]
+    first = rows = count(wanted(current))
+    for level, i in trials:
+        if rows >= enough:
+            break
+        trial = [*current[:i], level, *current[i + 1 :]]
+        n = count(wanted(trial))
+        if n >= enough or n > first:
+            current, rows = trial, n
+    counts.unpersist()
+    return Relaxed(tuple(current), rows, reduce(lambda a, b: a & b, [tests[i] for i in wanted(current)], F.lit(True)))
 
 
 # Fallbacks

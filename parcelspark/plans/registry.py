@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -264,6 +265,22 @@ def _(spark, sf):
     return spatial.nearest_row(estates(spark, sf), pois(spark, sf), 5.0).withColumn("distance_km", F.round("distance_km", 4))
 
 
+FAR_LAT, FAR_LON = "CAST({k} * 37 % 2000 AS DOUBLE) / 1000 * {sign} + {base}", "CASE WHEN {k} % 2 = 0 THEN 179.95 + CAST({k} * 91 % 50 AS DOUBLE) / 1000 ELSE -179.95 - CAST({k} * 91 % 50 AS DOUBLE) / 1000 END"
+FAR_A = [f"CAST(p_partkey AS BIGINT) AS id, {FAR_LAT.format(k='p_partkey', sign=s, base=b)} AS latitude, {FAR_LON.format(k='p_partkey')} AS longitude" for s, b in ((1, 66), (1, 87.9), (-1, -78))]
+FAR_B = [f"CAST(s_suppkey AS BIGINT) AS poi_id, {FAR_LAT.format(k='s_suppkey', sign=s, base=b)} AS lat, {FAR_LON.format(k='s_suppkey')} AS lon" for s, b in ((1, 66), (1, 87.9), (-1, -78))]
+
+
+@query(
+    "radius_high_latitude",
+    f"WITH a AS ({' UNION ALL '.join(f'SELECT {c} FROM part' for c in FAR_A)}), b AS ({' UNION ALL '.join(f'SELECT {c} FROM supplier' for c in FAR_B)}) SELECT id, poi_id, round(latitude, 3) AS latitude, round({distance_sql('a.latitude', 'a.longitude', 'b.lat', 'b.lon')}, 4) AS distance_km FROM a, b WHERE {distance_sql('a.latitude', 'a.longitude', 'b.lat', 'b.lon')} <= 2.5",
+)
+def _(spark, sf):
+    """Near poles and across the date line."""
+    of = lambda name, cols: functools.reduce(lambda x, y: x.unionByName(y), [table(spark, sf, name).selectExpr(f"inline(array(struct({c})))") for c in cols])
+    near = spatial.radius_join(of("part", FAR_A), of("supplier", FAR_B), 2.5)
+    return near.select("id", "poi_id", F.round("latitude", 3).alias("latitude"), F.round("distance_km", 4).alias("distance_km"))
+
+
 PLACES = (spatial.Place("north", 45.08, 7.66, 2.0), spatial.Place("south", 45.02, 7.62, 1.5))
 D1, D2 = distance_sql("latitude", "longitude", "45.08", "7.66"), distance_sql("latitude", "longitude", "45.02", "7.62")
 
@@ -278,7 +295,7 @@ SCALE = "CASE amenity WHEN 'stop' THEN 0.34 WHEN 'shop' THEN 0.34 WHEN 'park' TH
 
 @query(
     "amenity_decay",
-    f"{EP}, d AS (SELECT e.id, p.category, {PAIR} AS km, {SCALE} AS s FROM estates e, pois p), n AS (SELECT category, count(DISTINCT amenity) AS n FROM pois GROUP BY 1) SELECT id, d.category, round(sum(exp(-pow(km / s, 3))) / any_value(n.n), 4) AS raw FROM d JOIN n ON d.category = n.category WHERE km <= 5 GROUP BY 1, 2",
+    f"{EP}, d AS (SELECT e.id, p.category, {PAIR} AS km, {SCALE} AS s FROM estates e, pois p), n AS (SELECT category, count(DISTINCT amenity) AS n FROM pois GROUP BY 1), t AS (SELECT id, category, sum(exp(-pow(km / s, 3))) AS t FROM d WHERE km <= 5 GROUP BY 1, 2) SELECT e.id, n.category, round(coalesce(t.t, 0) / n.n, 4) AS raw FROM estates e CROSS JOIN n LEFT JOIN t ON t.id = e.id AND t.category = n.category",
 )
 def _(spark, sf):
     kind = F.when(F.col("amenity").isin("stop", "shop"), "neighbourhood").when(F.col("amenity") == "park", "district").otherwise("city")
@@ -290,7 +307,7 @@ def _(spark, sf):
     f"{E} SELECT id, round_even((rank() OVER (PARTITION BY property_type ORDER BY mobility) + (count(*) OVER (PARTITION BY property_type, mobility) - 1) / 2.0) / count(*) OVER (PARTITION BY property_type) * 100, 2) AS percentile FROM estates",
 )
 def _(spark, sf):
-    return estates(spark, sf).select("id", X.percentile_rank(F.col("mobility"), "property_type").alias("percentile"))
+    return stats.percentile_rank(estates(spark, sf).select("id", "property_type", "mobility"), ["property_type"], "mobility").select("id", "percentile")
 
 
 @query(
@@ -430,30 +447,49 @@ def _(spark, sf):
     return got.select("l_orderkey", "l_linenumber", "l_partkey", F.col("energy_percentile").cast("int").alias("energy_percentile"), "energy_cost")
 
 
-PLANT = "CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'Heat pump' WHEN 1 THEN 'condensing boiler' WHEN 2 THEN 'boiler' END"
-POINTS_A = f"CASE WHEN {PLANT} = 'Heat pump' THEN 5 WHEN {PLANT} = 'condensing boiler' THEN 3 ELSE 1 END"
+def cycle(values: list[str | None], div: int = 1) -> str:
+    """One of some texts by the id, as SQL that both dialects read."""
+    at = f"CAST(floor(CAST(id AS BIGINT) / {div}.0) AS BIGINT) % {len(values)}"
+    return f"CASE {at} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values)) + " END"
+
+
+EPC_PLANTS = ["Heat pump air", "DISTRICT HEATING", "Condensing boiler", "solid biomass", "Standard boiler", "geotermico", None]
+EPC_ENVELOPES = ["Good", "very good", "neutral", "Poor", None]
+EPC_RENEWABLES = ["Yes", "Sì", "Si", "true", "yes", "No", "no", "False", None]
+EXPERT_CLASSES = ["A4", "A", " a1 ", "A+", "B", "C", "d", "E", "F", None]
+EXPERT_PLANTS = ["Pompa di calore", "impianto geotermico", "teleriscaldamento", "caldaia a condensazione", "stufa a pellet", "legna", "cippato", "Heat pump", "caldaia", None]
+EXPERT_WINTERS = ["Smiling face", "faccina sorridente", "Basita", "NEUTRAL", "amazed", "alta", "good", None]
+EXPERT_RENEWABLES = ["Sì", "si", "Yes", "no", "", "nessuna", "solare", None]
+
+
+def _said(spark: SparkSession, sf: str, columns: dict[str, str]) -> DataFrame:
+    """Estates with descriptions by turns, the same in Spark and in SQL."""
+    return estates(spark, sf).withColumns({k: F.expr(v) for k, v in columns.items()})
+
+
+SAID_A = {"plant": cycle(EPC_PLANTS), "envelope": cycle(EPC_ENVELOPES, 7), "renewables": cycle(EPC_RENEWABLES, 35), "said_class": cycle(EXPERT_CLASSES, 3)}
+SAID_B = {"said_class": cycle(EXPERT_CLASSES), "plant": cycle(EXPERT_PLANTS, 3), "winter": cycle(EXPERT_WINTERS, 7), "renewables": cycle(EXPERT_RENEWABLES, 2)}
 
 
 @query(
     "epc_points_a",
-    f"{E} SELECT id, CAST({POINTS_A} AS INT) AS energy_score_plant, CAST({POINTS_A} + CASE WHEN energy_class LIKE 'A%' THEN 5 WHEN energy_class IN ('B', 'C', 'D', 'E') THEN 3 ELSE 1 END + CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 1 END + CASE WHEN house_number IS NOT NULL AND house_number NOT IN ('0', '') THEN 5 ELSE 1 END AS INT) AS energy_score_total FROM estates",
+    f"{E}, s AS (SELECT id, {', '.join(f'{v} AS {k}' for k, v in SAID_A.items())} FROM estates), p AS (SELECT id, CASE WHEN contains(lower(plant), 'heat pump') OR contains(lower(plant), 'district heating') THEN 5 WHEN contains(lower(plant), 'condensing') OR contains(lower(plant), 'biomass') THEN 3 ELSE 1 END AS plant, "
+    "CASE WHEN contains(lower(envelope), 'good') THEN 5 WHEN contains(lower(envelope), 'neutral') THEN 3 ELSE 1 END AS envelope, CASE WHEN renewables IN ('Yes', 'Sì', 'Si', 'true') THEN 5 ELSE 1 END AS renewables, CASE WHEN upper(trim(said_class)) LIKE 'A%' THEN 5 WHEN upper(trim(said_class)) IN ('B', 'C', 'D', 'E') THEN 3 ELSE 1 END AS class FROM s) "
+    "SELECT id, CAST(plant AS INT) AS energy_score_plant, CAST(envelope AS INT) AS energy_score_envelope, CAST(renewables AS INT) AS energy_score_renewables, CAST(plant + envelope + renewables + class AS INT) AS energy_score_total FROM p",
 )
 def _(spark, sf):
-    df = estates(spark, sf)
-    k = F.col("id").cast("long")
-    df = df.withColumns({"plant": F.when(k % 4 == 0, "Heat pump").when(k % 4 == 1, "condensing boiler").when(k % 4 == 2, "boiler"), "envelope": F.when(k % 3 == 0, "good").when(k % 3 == 1, "neutral").otherwise("poor")})
-    return rollup.energy_points(df, "plant", "envelope", "house_number").select("id", "energy_score_plant", "energy_score_total")
+    return rollup.energy_points(_said(spark, sf, SAID_A), "plant", "envelope", "renewables", "said_class").select("id", "energy_score_plant", "energy_score_envelope", "energy_score_renewables", "energy_score_total")
 
 
 @query(
     "epc_points_b",
-    f"{E}, p AS (SELECT id, CASE substr(energy_class, 1, 1) WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'C' THEN 3 WHEN 'D' THEN 3 WHEN 'E' THEN 2 ELSE 1 END + CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN 5 WHEN 1 THEN 4 ELSE 2 END + CASE CAST(id AS BIGINT) % 2 WHEN 0 THEN 5 ELSE 1 END + CASE WHEN house_number IS NULL THEN 2 ELSE 5 END AS t FROM estates) SELECT id, CAST(t AS INT) AS points, CAST(CASE WHEN t >= 18 THEN 5 WHEN t >= 15 THEN 4 WHEN t >= 12 THEN 3 WHEN t >= 9 THEN 2 ELSE 1 END AS INT) AS grade FROM p",
+    f"{E}, s AS (SELECT id, {', '.join(f'{v} AS {k}' for k, v in SAID_B.items())} FROM estates), p AS (SELECT id, CASE WHEN upper(trim(said_class)) IN ('A', 'A1', 'A2', 'A3', 'A4') THEN 5 WHEN upper(trim(said_class)) = 'B' THEN 4 WHEN upper(trim(said_class)) IN ('C', 'D') THEN 3 WHEN upper(trim(said_class)) = 'E' THEN 2 ELSE 1 END "
+    "+ CASE WHEN regexp_matches(lower(plant), 'pompa di calore|teleriscaldamento|geotermico') THEN 5 WHEN regexp_matches(lower(plant), 'condensazione|biomassa|cippato|legna|pellet') THEN 4 ELSE 2 END + CASE WHEN regexp_matches(lower(winter), 'smiling|sorridente') THEN 5 WHEN regexp_matches(lower(winter), 'basita|neutr|amazed') THEN 3 ELSE 1 END "
+    "+ CASE WHEN contains(lower(renewables), 'si') OR contains(lower(renewables), 'sì') OR contains(lower(renewables), 'yes') THEN 5 ELSE 2 END AS t FROM s) SELECT id, CAST(t AS INT) AS points, CAST(CASE WHEN t >= 18 THEN 5 WHEN t >= 15 THEN 4 WHEN t >= 12 THEN 3 WHEN t >= 9 THEN 2 ELSE 1 END AS INT) AS grade FROM p",
 )
 def _(spark, sf):
-    k = F.col("id").cast("long")
-    plant = F.when(k % 3 == 0, "Pompa di calore").when(k % 3 == 1, "caldaia a condensazione").otherwise("stufa")
-    points, grade = rollup.expert_points(F.col("energy_class"), plant, F.when(k % 2 == 0, "alta").otherwise("bassa"), F.col("house_number"))
-    return estates(spark, sf).select("id", points.alias("points"), grade.alias("grade"))
+    points, grade = rollup.expert_points(*[F.col(c) for c in ("said_class", "plant", "winter", "renewables")])
+    return _said(spark, sf, SAID_B).select("id", points.alias("points"), grade.alias("grade"))
 
 
 # Scoring
@@ -570,22 +606,48 @@ def _(spark, sf):
     f"{E} SELECT CAST((CASE WHEN property_type = 'ECONOMY' THEN 1 ELSE 0 END) + (CASE WHEN surface_area >= 480 THEN 2 ELSE 0 END) + (CASE WHEN mobility >= 95 THEN 4 ELSE 0 END) + (CASE WHEN surface_area >= 300 THEN 8 ELSE 0 END) AS INT) AS mask, count(*) AS n FROM estates GROUP BY 1",
 )
 def _(spark, sf):
-    bits = [F.col("property_type") == "ECONOMY", F.col("surface_area") >= 480, F.col("mobility") >= 95, F.col("surface_area") >= 300]
-    counts = engine.mask_counts(estates(spark, sf), bits)
-    return spark.createDataFrame(sorted(counts.items()), "mask int, n long")
-
-
-@query("relaxed_search", f"{E} SELECT {ALL} FROM estates WHERE property_type = 'ECONOMY'")
+    tests = [F.col("property_type") == "ECONOMY", F.col("surface_area") >= 480, F.col("mobility") >= 95, F.col("surface_area") >= 300]
+    mask = F.aggregate("met", F.lit(0), lambda a, i: a + F.pow(F.lit(2), i).cast("int"))
+    return engine.condition_counts(estates(spark, sf), tests).select(mask.alias("mask"), "n")
+
+
+# Eight conditions of three weaker levels each, the first of them hard: column, operator, thresholds from asked to high.
+RELAXED = (
+    ("mobility", ">=", (60, 55, 40, 20)), ("green", ">=", (70, 60, 40, 10)), ("sport", ">=", (80, 70, 50, 20)), ("education", ">=", (75, 65, 45, 15)),
+    ("healthcare", "<=", (20, 30, 50, 80)), ("commercial", ">=", (85, 75, 55, 25)), ("surface_area", ">=", (300, 250, 200, 100)),
+)
+ENOUGH = 40
+
+
+def relaxed_sql() -> str:
+    """The greedy search in SQL: every trial's rows are counted after the state before it, as a chain of one-row tables."""
+    test = lambda i, level: f"{RELAXED[i][0]} {RELAXED[i][1]} CASE {level} WHEN 0 THEN {RELAXED[i][2][0]} WHEN 1 THEN {RELAXED[i][2][1]} WHEN 2 THEN {RELAXED[i][2][2]} ELSE {RELAXED[i][2][3]} END"
+    n = len(RELAXED)
+    ok = lambda levels: " AND ".join(["(property_type = 'ECONOMY')", *[f"({levels[i]} = 4 OR {test(i, levels[i])})" for i in range(n)]])
+    steps = [f"s0 AS MATERIALIZED (SELECT {', '.join(f'0 AS c{i}' for i in range(n))}, count(*) AS n0, count(*) AS n FROM estates WHERE {ok(['0'] * n)})"]
+    k = 0
+    for level in (1, 2, 3, 4):
+        for i in range(n - 1, -1, -1):
+            to = [str(level) if j == i else f"s{k}.c{j}" for j in range(n)]
+            trial = f"(SELECT count(*) FROM estates WHERE {ok(to)})"
+            steps.append(f"t{k} AS MATERIALIZED (SELECT s{k}.*, {trial} AS t FROM s{k})")
+            take = f"n < {ENOUGH} AND (t >= {ENOUGH} OR t > n0)"
+            cols = ", ".join(f"CASE WHEN {take} THEN {level} ELSE c{j} END AS c{j}" if j == i else f"c{j}" for j in range(n))
+            steps.append(f"s{k + 1} AS MATERIALIZED (SELECT {cols}, n0, CASE WHEN {take} THEN t ELSE n END AS n FROM t{k})")
+            k += 1
+    end = ok([f"s{k}.c{j}" for j in range(n)])
+    return f"{E}, {', '.join(steps)} SELECT {ALL}, {', '.join(f'CAST(c{j} AS INT) AS level_{RELAXED[j][0]}' for j in range(n))} FROM estates, s{k} WHERE {end}"
+
+
+@query("relaxed_search", relaxed_sql())
 def _(spark, sf):
     df = estates(spark, sf)
-    c = F.col
-    parts = [
-        engine.Conjunct("type", c("property_type") == "ECONOMY", hard=True),
-        engine.Conjunct("mobility", c("mobility") >= 99, variants=(("low", c("mobility") >= 98), ("high", c("mobility") >= 60))),
-    ]
-    # Never enough: each level that finds more is taken, at last the drop, and the hard condition stays.
-    found = engine.relax(df, parts, enough=1 << 60)
-    return df.where(found.condition).select(*SHOWN)
+    test = lambda c, op, t: F.col(c) >= t if op == ">=" else F.col(c) <= t
+    parts = [engine.Conjunct("type", F.col("property_type") == "ECONOMY", hard=True)]
+    parts += [engine.Conjunct(c, test(c, op, t[0]), variants=tuple(zip(engine.LEVELS, (test(c, op, x) for x in t[1:]), strict=True))) for c, op, t in RELAXED]
+    found = engine.relax(df, parts, enough=ENOUGH)
+    at = ("asked", *engine.LEVELS, "dropped")
+    return df.where(found.condition).select(*SHOWN, *[F.lit(at.index(level)).alias(f"level_{c}") for (c, _, _), level in zip(RELAXED, found.levels[1:], strict=True)])
 
 
 # Constraint layer and evaluation
@@ -676,7 +738,7 @@ def _(spark, sf):
 
 @query(
     "ood_tightness",
-    f"{E}, s AS (SELECT min(surface_area) AS lo, max(surface_area) AS hi FROM estates), l AS (SELECT CAST(o_orderkey % 70 AS DOUBLE) * 10 AS value FROM orders) SELECT value, (value < lo OR value > hi) AS ood, round(greatest(lo - value, value - hi, 0) / (hi - lo), 4) AS distance, round(CASE WHEN value < lo OR value > hi THEN 0 ELSE least(value - lo, hi - value) / (hi - lo) * 2 END, 4) AS tightness FROM l, s",
+    f"{E}, s AS (SELECT min(surface_area) AS lo, max(surface_area) AS hi FROM estates), l AS (SELECT CAST(o_orderkey % 70 AS DOUBLE) * 10 AS value FROM orders) SELECT value, (value < lo OR value > hi) AS ood, round(CASE WHEN value < lo THEN lo - value WHEN value > hi THEN value - hi ELSE 0 END / greatest(hi - lo, 1), 4) AS distance, round((value - lo) / greatest(hi - lo, 1), 4) AS tightness FROM l, s",
 )
 def _(spark, sf):
     lits = table(spark, sf, "orders").select(F.lit("surface_area").alias("column"), ((F.col("o_orderkey") % 70).cast("double") * 10).alias("value"))

@@ -1,5 +1,7 @@
 """Severity, building, rendering, repair, validation, relaxation and fallbacks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,37 @@ def test_relaxation_keeps_hard_conditions(spark, enforce):
     assert df.where(got.condition).count() == got.rows
 
 
+def greedy(rows, conjuncts, enforce, enough):
+    """The search by its sentence, with every trial counted over the rows. conjuncts: (hard, [tests from asked on])."""
+    count = lambda levels: sum(all(k == 4 or tests[k](r) for k, (_, tests) in zip(levels, conjuncts, strict=True)) for r in rows)
+    now = [0] * len(conjuncts)
+    first = n = count(now)
+    for level in (1, 2, 3, 4):
+        for i in range(len(conjuncts) - 1, -1, -1):
+            if n >= enough or (enforce and conjuncts[i][0]) or (level < 4 and level not in range(len(conjuncts[i][1]))):
+                continue
+            trial = [*now[:i], level, *now[i + 1 :]]
+            if (m := count(trial)) >= enough or m > first:
+                now, n = trial, m
+    return now, n
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_relaxation_of_many_conditions(spark, monkeypatch, seed, most):
+    """Eight conditions of three levels each, counted here or where the rows are, against the search by its sentence."""
+    monkeypatch.setattr(engine, "counter", lambda counts, f=engine.counter: f(counts, most))
+    rng = random.Random(seed)
+    rows = [tuple(rng.randint(0, 99) for _ in range(8)) for _ in range(250)]
+    limits = [sorted(rng.sample(range(5, 95), 4), reverse=True) for _ in range(8)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(8)))
+    parts = [engine.Conjunct(f"c{i}", F.col(f"c{i}") >= t[0], hard=i in (0, 5), variants=tuple((level, F.col(f"c{i}") >= x) for level, x in zip(engine.LEVELS, t[1:], strict=True))) for i, t in enumerate(limits)]
+    enforce, enough = seed % 2 == 0, (10, 60, 150, 30)[seed]
+    got = engine.relax(df, parts, enforce, enough)
+    want, n = greedy(rows, [(i in (0, 5), [lambda r, i=i, x=x: r[i] >= x for x in t]) for i, t in enumerate(limits)], enforce, enough)
+    assert [("asked", *engine.LEVELS, "dropped").index(x) for x in got.levels] == want and got.rows == n == df.where(got.condition).count()
+
+
 def test_fallback_order(spark, frame):
     c = sample()
     rows, source = engine.deterministic(frame, c)

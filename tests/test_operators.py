@@ -1,6 +1,7 @@
 """Scorers, spatial joins, roll-ups, sources, sinks, metrics and streams on small frames."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,10 +51,15 @@ def test_addresses(spark):
     assert values(df, X.clean_street(F.col("v"))) == ["corso trapani", "via roma", "piazza castello", "via po"]
     assert values(df, X.house_number(F.col("v")))[:3] == ["133", "10 bis", None]
     assert values(df, X.house_number(F.col("v"), F.lit("snc")))[0] == "133"
-    t = spark.createDataFrame([("Foglio: 12 particella 34, sub 5",), ("fg. 1 part. 2 sub. 3",), ("none",)], "v string")
-    assert values(t, X.cadastral_id(F.col("v"))) == ["12/34/5", "1/2/3", None]
-    p = spark.createDataFrame([("near the Mole",), ("vicino alla stazione",)], "v string")
-    assert values(p, X.place_name(F.col("v"))) == ["Mole", "stazione"]
+    t = spark.createDataFrame([("Foglio 12 particella 34, sub 5",), ("F 12 P 345 S 6",), ("n. 12/345/6",), ("7 - 8 - 9 and f1 p2 s3",), ("F1 P2 S3 but 12/345/6",), ("none",)], "v string")
+    assert values(t, X.cadastral_id(F.col("v"))) == ["12/34/5", "12/345/6", "12/345/6", "1/2/3", "1/2/3", None]
+    names = {"Vicino al Mole": "l mole", "in zona Crocetta": "crocetta", "area di San Salvario": "san salvario", "davanti a l'università": "università", "fronte la stazione": "stazione", "distretto di  Nord": "nord", "intorno a il parco": "parco", "presso Politecnico": "politecnico", " Near the Mole ": "near the mole", "nei pressi di di qua": "qua"}
+    p = spark.createDataFrame([(k,) for k in names], "v string").coalesce(1)
+    assert values(p, X.place_name(F.col("v"))) == list(names.values())
+    texts = [(None, "costo; 12,5 anni di ritorno"), ("7", "3 anni payback"), (None, "nulla"), (None, "10 anno ritorno e 3 anni di ritorno")]
+    assert values(spark.createDataFrame(texts, "g string, t string").coalesce(1), X.payback_years(F.col("g"), F.col("t"))) == ["12.5", "7", None, "10"]
+    lists = [("Isolamento tetto;\nnuova caldaia • infissi - ok - pannelli",), ("a;bb;.",), (None,)]
+    assert values(spark.createDataFrame(lists, "t string").coalesce(1), X.interventions(F.col("t"))) == [["Isolamento tetto", "nuova caldaia", "infissi"], [], []]
 
 
 def test_within_box_matches_distance(spark):
@@ -95,18 +101,70 @@ def test_proximity_repeats_first(spark):
     assert values(scoring.proximity_score(df, needs), "proximity_score") == [100]
 
 
-def test_radius_join_against_all_pairs(spark):
-    a = spark.range(60).select(F.col("id").cast("string").alias("id"), (F.rand(1) * 2 + 44).alias("latitude"), (F.rand(2) * 2 + 7).alias("longitude")).cache()
-    b = spark.range(60).select(F.col("id").alias("poi_id"), (F.rand(3) * 2 + 44).alias("lat"), (F.rand(4) * 2 + 7).alias("lon")).cache()
-    got = {(r.id, r.poi_id) for r in spatial.radius_join(a, b, 20.0).collect()}
-    pts, others = a.collect(), b.collect()
-
-    def km(x, y):
-        p, q = math.radians(x.latitude), math.radians(y.lat)
-        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(y.lon - x.longitude) / 2) ** 2
-        return 12742 * math.asin(math.sqrt(h))
-
-    assert got == {(x.id, y.poi_id) for x in pts for y in others if km(x, y) <= 20}
+def great_circle(x, y):
+    p, q = math.radians(x[0]), math.radians(y[0])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(y[1] - x[1]) / 2) ** 2
+    return 12742 * math.asin(math.sqrt(min(1.0, h)))
+
+
+@pytest.mark.parametrize(("lat", "lon", "km"), [((44, 46), (7, 9), 20.0), ((65.5, 66.5), (20, 21), 2.0), ((-90, -88), (-180, 180), 60.0), ((88, 90), (-180, 180), 90.0), ((-1, 1), (179, 181), 15.0), ((50, 90), (-180, 180), 1500.0), ((-90, 90), (-180, 180), 9000.0)])
+def test_radius_join_against_all_pairs(spark, lat, lon, km):
+    """Every pair, also by the poles, over the date line and for radii of a third of the earth; and the nearest of each."""
+    rng = random.Random(7)
+    place = lambda: (rng.uniform(*lat), (rng.uniform(*lon) + 180) % 360 - 180)
+    pts, others = {str(i): place() for i in range(70)}, {i: place() for i in range(70)}
+    a = spark.createDataFrame([(k, *v) for k, v in pts.items()], "id string, latitude double, longitude double")
+    b = spark.createDataFrame([(k, *v) for k, v in others.items()], "poi_id int, lat double, lon double")
+    want = {(i, j) for i, x in pts.items() for j, y in others.items() if great_circle(x, y) <= km}
+    rows = [(r.id, r.poi_id) for r in spatial.radius_join(a, b, km).collect()]
+    assert len(rows) == len(want) and set(rows) == want and want
+    near = {i: min((great_circle(x, y), j) for j, y in others.items()) for i, x in pts.items()}
+    assert {(r.id, r.poi_id) for r in spatial.nearest_row(a, b, km).collect()} == {(i, j) for i, (d, j) in near.items() if d <= km}
+
+
+def test_ranks_and_quantiles(spark):
+    """Mean ranks and quantiles of groups against sorting them, with ties, nulls, a null group and one of a single row."""
+    rng = random.Random(3)
+    rows = [(g, float(rng.randint(0, 40)) if rng.random() > 0.1 else None, i) for i, g in enumerate(rng.choices(["a", "b", None], [6, 3, 1], k=400))] + [("one", 5.0, 999), ("none", None, 998)]
+    df = spark.createDataFrame(rows, "g string, v double, i int").repartition(5)
+    got = {r.i: r.rank for r in stats.with_mean_rank(df, ["g"], "v").collect()}
+    pct = {r.i: r.percentile for r in stats.percentile_rank(df, ["g"], "v").collect()}
+    q = {r.g: (r.low, r.mid, r.odd) for r in stats.quantiles(df, ["g"], "v", {"low": 0.25, "mid": 0.5, "odd": 0.37}).collect()}
+    for g in ("a", "b", None, "one", "none"):
+        own = sorted(v for h, v, _ in rows if h == g and v is not None)
+        for h, v, i in rows:
+            if h == g:
+                rank = None if v is None else sum(x < v for x in own) + (own.count(v) + 1) / 2
+                assert got[i] == rank and pct[i] == (None if v is None else pytest.approx(100 * rank / len(own), abs=0.0051))
+        if own:
+            at = lambda p, s=own: s[int(p * (len(s) - 1))] + (s[min(len(s) - 1, int(p * (len(s) - 1)) + 1)] - s[int(p * (len(s) - 1))]) * (p * (len(s) - 1) % 1)
+            assert q[g] == pytest.approx((at(0.25), at(0.5), at(0.37)))
+    assert set(q) == {"a", "b", None, "one"}
+    assert stats.quantiles(df, [], "v", {"m": 0.5}).first().m == sorted(v for _, v, _ in rows if v is not None)[len([v for _, v, _ in rows if v is not None]) // 2]
+    assert stats.value_counts(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_energy_points_of_every_kind(spark):
+    """Yes may be a word, a truth value or a number."""
+    base = spark.createDataFrame([("Heat pump", "Good", "A1")], "plant string, envelope string, energy_class string")
+    for value, points in ((F.lit("Yes"), 5), (F.lit("no"), 1), (F.lit(True), 5), (F.lit(False), 1), (F.lit(1), 5), (F.lit(1.0), 5), (F.lit(2), 1), (F.lit(None).cast("string"), 1), (F.lit("True"), 1)):
+        r = rollup.energy_points(base.withColumn("sun", value), "plant", "envelope", "sun").first()
+        assert (r.energy_score_renewables, r.energy_score_total) == (points, 15 + points)
+
+
+def test_running_numbers(spark):
+    """Numbers run on over groups, blocks of groups, and missing group numbers."""
+    rows = [(g, k) for g in (0, 1, 2, 5, 9, 10, 11, 30, -3) for k in range(abs(g) % 4 + 1)]
+    got = rollup.running_number(spark.createDataFrame(rows, "g int, k int").repartition(4), ["g", "k"], "n", "g", block=4).orderBy("n").collect()
+    assert [(r.g, r.k) for r in got] == sorted(rows) and [r.n for r in got] == list(range(1, len(rows) + 1))
+
+
+def test_rollup_of_other_columns(spark):
+    ddl = "id string, cadastral_sheet int, cadastral_parcel int, surface_area double, construction_period string, energy_score_plant int, energy_score_envelope int, energy_score_renewables int, latitude double, longitude double, property_type string, energy_class string, files array<string>, kwh double, carrier string"
+    rows = [("a", 1, 1, 10.0, "p", 1, 1, 1, 45.0, 7.0, "x", "A1", ["f2", "f1"], 9.0, "gas"), ("b", 1, 1, 30.0, "p", 3, 5, 1, 45.0, 7.0, "y", "B", ["f1", "f3"], 7.0, "oil"), ("c", 1, 1, 5.0, "q", 1, 1, 5, 45.0, 7.0, "x", "B", None, None, "gas")]
+    r = rollup.rollup_entities(spark.createDataFrame(rows, ddl), "files", ("kwh",), ("carrier",)).first()
+    assert (r.id, r.cadastral_units_count, r.surface_area, r.property_type, r.energy_class, r.construction_period) == ("M00001", 3, 45.0, "y", "B", "p")
+    assert (r.files, r.kwh, r.carrier, r.energy_score_total) == (["f1", "f2", "f3"], 7.0, "gas", 3 + 5 + 5 + 3)
 
 
 def test_osm_and_trees(spark):
@@ -179,7 +237,10 @@ def test_metrics(spark):
     assert (t.micro, t.macro) == (0.75, 0.75)
     texts = spark.createDataFrame([(1, "One big green house."), (2, "abig green"), (3, "")], "id int, text string")
     ph = spark.createDataFrame([(7, "big green house"), (8, "green"), (9, "One")], "phrase_id int, phrase string")
-    assert {tuple(r) for r in metrics.phrases_in(texts, ph).collect()} >= {(1, 7), (1, 8), (1, 9), (2, 8)}
+    assert {tuple(r) for r in metrics.phrases_in(texts, ph).collect()} == {(1, 7), (1, 8), (1, 9), (2, 8)}
+    sets = [(["a", "b"], ["b", "c", "d"]), ([], ["a"]), ([], []), (["a"], []), (["a", "a"], ["a"])]
+    got = spark.createDataFrame(sets, "e array<string>, f array<string>").coalesce(1).select(metrics.set_scores(F.col("e"), F.col("f")).alias("s")).collect()
+    assert [tuple(r.s) for r in got] == [(0.333, 0.5, 0.4), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0)]
 
 
 def test_phrases_in(spark):
@@ -190,6 +251,7 @@ def test_phrases_in(spark):
     p = spark.createDataFrame(list(enumerate(phrases)), "phrase_id int, phrase string")
     brute = lambda ps: sorted((i, j) for i, a in enumerate(texts) for j, b in enumerate(phrases) if a is not None and b is not None and j in ps and b.lower() in a.lower())
     assert sorted(map(tuple, metrics.phrases_in(t, p).collect())) == brute(range(len(phrases)))
+    assert sorted(map(tuple, metrics.phrases_in(t, p, block_chars=20).collect())) == brute(range(len(phrases)))  # many blocks
     for only in ([1], [0], [5, 11], [8]):
         assert sorted(map(tuple, metrics.phrases_in(t, p.where(F.col("phrase_id").isin(only))).collect())) == brute(only)
 
