@@ -241,10 +241,12 @@ def file_name(x: Column) -> Column:
     return F.regexp_extract(x, r"([^/\\]+)$", 1)
 
 
+# First characters of encoded images and their kinds; what is none of them counts as the first kind.
+IMAGE_KINDS = (("iVBOR", "image/png"), ("/9j/", "image/jpeg"), ("R0lGOD", "image/gif"))
+
+
 def mime_of_base64(x: Column) -> Column:
-    # First characters of encoded images.
-    kinds = (("/9j/", "image/jpeg"), ("iVBORw0KGgo", "image/png"), ("R0lGOD", "image/gif"), ("UklGR", "image/webp"), ("Qk", "image/bmp"), ("PHN2Zy", "image/svg+xml"))
-    return reduce(lambda acc, k: F.when(x.startswith(k[0]), F.lit(k[1])).otherwise(acc), reversed(kinds), F.lit("application/octet-stream"))
+    return reduce(lambda acc, k: F.when(x.startswith(k[0]), F.lit(k[1])).otherwise(acc), reversed(IMAGE_KINDS), F.lit(IMAGE_KINDS[0][1]))
 
 
 def json_object(x: Column) -> Column:

@@ -134,7 +134,7 @@ def energy_distribution(df: DataFrame, usage: str, kwh: str, surface: str, least
 
 
 def energy_percentile(df: DataFrame, usage: str, kwh: str, surface: str, price: float = 0.25) -> DataFrame:
-    """df with energy_percentile (K11), yearly cost, cost per square metre and percent difference from the usage's mean."""
+    """df with energy_percentile (K11), yearly cost, cost per square metre, the usage's mean and the percent difference from it."""
     dist = energy_distribution(df, usage, kwh, surface)
     own = dist.where("usage is not null").select(F.col("usage").alias("__u"), F.col("mean").alias("__m"), F.col("std").alias("__s"))
     every = dist.where("usage is null").select(F.col("mean").alias("__gm"), F.col("std").alias("__gs"))
@@ -144,5 +144,5 @@ def energy_percentile(df: DataFrame, usage: str, kwh: str, surface: str, price:
     std = F.when(F.col("__m").isNotNull(), F.col("__s")).otherwise(F.col("__gs"))
     low = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * (1 - norm_cdf((F.col("__x") - mean) / F.nullif(std, F.lit(0.0))))))
     score = F.when(F.col("__x").isNull() | (F.col("__x") <= 0), 0).when(F.coalesce(std, F.lit(0.0)) == 0, 50).otherwise(F.floor(low).cast("int"))
-    out = out.withColumns({"energy_percentile": score, "energy_cost": F.col(kwh) * price, "energy_cost_m2": F.col("__x") * price, "energy_diff_pct": F.bround((F.col("__x") - mean) / mean * 100, 1)})
+    out = out.withColumns({"energy_percentile": score, "energy_cost": F.col(kwh) * price, "energy_cost_m2": F.col("__x") * price, "energy_mean_m2": F.bround(mean, 1), "energy_diff_pct": F.bround((F.col("__x") - mean) / mean * 100, 1)})
     return out.drop("__x", "__u", "__m", "__s", "__gm", "__gs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from parcelspark.functions import exprs as X
 from parcelspark.operators import filters, finalise, metrics, rollup, scoring, spatial, stats
 from parcelspark.plans import constraints, engine
 from parcelspark.plans.tables import ESTATES_SQL, FEEDBACK_SQL, NEAR, POIS_SQL, distance_sql, estates, feedback, pois, table
-from parcelspark.sources import readers
+from parcelspark.sources import certificates, readers
 from parcelspark.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -831,10 +832,91 @@ def _(spark, sf):
 @query("markup_extract", "SELECT doc_id, lang || '-' || source AS ape, CAST(n_chars AS DOUBLE) AS surface_area FROM documents")
 def _(spark, sf):
     d = table(spark, sf, "documents")
-    xml = F.concat(F.lit("junk<n:ape xmlns:n='u'><n:codiceIdentificativo> "), "lang", F.lit("-"), "source", F.lit(" </n:codiceIdentificativo><superficieUtile>"), F.col("n_chars").cast("string"), F.lit(",0</superficieUtile></n:ape>"))
+    tags = "<n:datiAttestato><n:codiceIdentificativo> "
+    xml = F.concat(F.lit(f"junk<n:ape xmlns:n='u'>{tags}"), "lang", F.lit("-"), "source", F.lit(" </n:codiceIdentificativo></n:datiAttestato><datiGenerali><datiIdentificativi><superficieUtileRiscaldata>"), F.col("n_chars").cast("string"), F.lit(",0</superficieUtileRiscaldata></datiIdentificativi></datiGenerali></n:ape>"))
     rows = d.select("doc_id", readers.decoded(xml.cast("binary")).alias("xml"))
-    got = readers.shred(rows, {k: readers.FIELDS[k] for k in ("epc_id", "surface_area")})
-    return got.select("doc_id", F.col("epc_id").alias("ape"), "surface_area")
+    got = certificates.values(rows, {k: certificates.PATHS[k] for k in ("epc_id", "surface_area")}, "xml")
+    return got.select("doc_id", F.col("epc_id").alias("ape"), X.number(F.col("surface_area")).alias("surface_area"))
+
+
+def _turns(values: list[str | None], by: int = 1) -> str:
+    """One of some texts by the part's key."""
+    return f"CASE CAST(floor(p_partkey / {by}.0) AS BIGINT) % {len(values)} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values)) + " END"
+
+
+#: What the made certificates hold, the same for XML and for SQL; null: the element isn't there.
+EPC = {
+    "address": _turns(["Via Po", None, " Corso Re "]), "address2": _turns(["Via B", "Via C"]), "civic": _turns([None, "7"]), "civic2": _turns(["9", None, "10"]), "surface": "CAST(p_size AS VARCHAR(9)) || ',5'", "day": _turns(["03/02/2019", "2020-11-30", "31/12/2018", "none", None]),
+    "dpr": _turns([str(i) for i in range(17)]), "class": _turns(["A1", "B", "f", None, " A4 ", "G"], 3), "sheet": _turns(["12", None, "7"]), "sub1": _turns(["003", "0", None, "12"]), "sub2": _turns(["3", "00", "5", None, "12"]), "comune": _turns(["L219", "A1", None]),
+    "winter": _turns(["0", "1", "2", "9", None], 2), "plant": _turns(["0", "1", "4", "15", "19", "34", "35", "77", None]), "plant2": _turns(["4", None]), "text": _turns(["legna", None, "Condensing"], 5), "heat": _turns(["true", "false", "TRUE", None]), "sim": _turns([None, None, "x"]),
+    "cool": _turns(["TRUE", "false", None], 2), "lift": _turns(["true", None], 3), "gas": _turns(["10,5", "0", None, "x", "100"], 2), "grid": _turns([None, "1000", "55.5", "104.37"]), "sun": _turns(["0", None, "3,5", "0"]), "pay": _turns(["12", None, None], 2),
+}
+EPC_XML = (
+    "<n:ape xmlns:n='u'><n:datiGenerali>{address:indirizzo}{dpr:classificazioneDPR412}<n:datiIdentificativi>{civic:numeroCivico}{surface:superficieUtileRiscaldata}</n:datiIdentificativi>"
+    "<n:serviziEnergeticiPresenti>{heat:climatizzazioneInvernale}{cool:climatizzazioneEstiva}{lift:trasportoPersoneCose}</n:serviziEnergeticiPresenti></n:datiGenerali><n:datiCalcolo><n:datiGenerali>{address2:indirizzo}{civic2:civico}</n:datiGenerali></n:datiCalcolo>{day:dataEmissione}<n:prestazioneGlobale><n:prestazioneEnergeticaGlobale><n:classificazione>{class:classeEnergetica}</n:classificazione></n:prestazioneEnergeticaGlobale>"
+    "<n:prestazioneEnergeticaFabbricato>{winter:inverno}</n:prestazioneEnergeticaFabbricato></n:prestazioneGlobale><n:datiCatastali>{comune:codiceCatastale}{sheet:foglio}<n:subalterni>{sub1:subDA}{sub2:subA}</n:subalterni></n:datiCatastali><n:datiCatastali><n:foglio>99</n:foglio></n:datiCatastali>"
+    "<n:datiImpianti><n:climatizzazioneInvernale>{sim:impiantoSimulato}<n:impianto>{plant:tipoImpianto}{text:descrizioneImpianto}</n:impianto><n:impianto><n:tipoImpianto>1</n:tipoImpianto></n:impianto></n:climatizzazioneInvernale></n:datiImpianti><n:impianti><n:impiantoAcquaCaldaSanitaria><n:impianto>{plant2:tipoImpianto}</n:impianto><n:annoInstallazione>1999</n:annoInstallazione></n:impiantoAcquaCaldaSanitaria></n:impianti>"
+    "<n:prestazioneImpianti><n:gasNaturale>{gas:consumoAnnuo}</n:gasNaturale><n:energiaElettricaRete>{grid:consumoAnnuo}</n:energiaElettricaRete><n:solareFotovoltaico>{sun:consumoAnnuo}</n:solareFotovoltaico></n:prestazioneImpianti><n:raccomandazioni>{pay:tempoRitornoInvestimento} cappotto; infissi, 8,5 anni di ritorno</n:raccomandazioni></n:ape>"
+)
+
+
+def _certificates(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, xml): a certificate for each part, one in 50 of them cut off."""
+    rows = table(spark, sf, "part").selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in EPC.items()])
+    parts = [F.lit("<?xml version='1.0'?>")]
+    for piece in re.split(r"(\{\w+:\w+\})", EPC_XML):
+        held = re.fullmatch(r"\{(\w+):(\w+)\}", piece)
+        parts.append(F.when(F.col(held[1]).isNull(), "").otherwise(F.concat(F.lit(f"<n:{held[2]}>"), F.col(held[1]), F.lit(f"</n:{held[2]}>"))) if held else F.lit(piece))
+    xml = F.concat(*parts)
+    return rows.select(F.concat("p_partkey", F.lit(".xml")).alias("file"), F.when(F.col("p_partkey") % 50 == 0, F.substring(xml, 1, 500)).otherwise(xml).alias("xml"))
+
+
+def _say(column: str, labels: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + " END"
+
+
+EPC_SQL = f"WITH h AS (SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in EPC.items())} FROM part), c AS (SELECT p_partkey, {', '.join(f'CASE WHEN p_partkey % 50 <> 0 THEN trim({k}) END AS {k}' for k in EPC)} FROM h), "
+EPC_SQL += (
+    "n AS (SELECT *, TRY_CAST(replace(gas, ',', '.') AS DOUBLE) * 9.94 AS k_gas, TRY_CAST(grid AS DOUBLE) AS k_grid, TRY_CAST(replace(sun, ',', '.') AS DOUBLE) AS k_sun, nullif(ltrim(sub1, '0'), '') AS s1, nullif(ltrim(sub2, '0'), '') AS s2, "
+    f"{_say('plant', certificates.PLANT_LABELS)} AS kind, {_say('plant', certificates.DETAIL_PLANT_LABELS)} AS kind2 FROM c), m AS (SELECT *, CASE WHEN sub1 IS NOT NULL THEN coalesce(s1, '0') END AS a, CASE WHEN sub2 IS NOT NULL THEN coalesce(s2, '0') END AS b FROM n), "
+    "f AS (SELECT *, CASE WHEN a = b THEN a ELSE nullif(concat_ws(',', a, b), '') END AS sub, coalesce(kind, text) AS plant_text FROM m)"
+)
+
+
+@query(
+    "certificate_shred",
+    f"{EPC_SQL} SELECT p_partkey || '.xml' AS file, coalesce(comune, 'T0') || '_' || coalesce(sheet, 'None') || '_None_' || coalesce(sub, CAST(p_partkey AS VARCHAR)) AS id, coalesce(address, address2) AS address, coalesce(civic, civic2) AS house_number, TRY_CAST(replace(surface, ',', '.') AS DOUBLE) AS surface_area, sheet AS cadastral_sheet, sub AS cadastral_subaltern, coalesce(comune, 'T0') AS comune_code, "
+    "CASE day WHEN '03/02/2019' THEN '2019-02-03' WHEN '31/12/2018' THEN '2018-12-31' WHEN '2020-11-30' THEN day END AS day, class AS energy_class, "
+    + _say("dpr", certificates.USE_LABELS)
+    + " AS property_type, "
+    + _say("winter", certificates.ENVELOPE_LABELS)
+    + " AS envelope, plant_text AS heating_system_type, CASE WHEN p_partkey % 50 <> 0 THEN '1999' END AS dhw_system_year, CASE WHEN plant2 = '4' THEN 'Heat pump' END AS dhw_system_type, "
+    "concat_ws(',', CASE WHEN heat = 'true' AND sim IS NULL THEN 'Heating' END, CASE WHEN lower(cool) = 'true' THEN 'Cooling' END, CASE WHEN lift = 'true' THEN 'Elevators/Transport' END) AS services, "
+    "CASE WHEN greatest(k_gas, k_grid, k_sun) IS NULL THEN NULL WHEN k_grid = greatest(k_gas, k_grid, k_sun) THEN 'Electricity from grid' WHEN k_gas = greatest(k_gas, k_grid, k_sun) THEN 'Natural gas' ELSE 'Solar photovoltaic' END AS main_energy_carrier, CASE WHEN k_sun > 0 THEN 'Yes' ELSE 'No' END AS renewable_sources, "
+    "CAST(CASE WHEN contains(lower(plant_text), 'heat pump') OR contains(lower(plant_text), 'district heating') THEN 5 WHEN contains(lower(plant_text), 'condensing') THEN 3 ELSE 1 END + CASE winter WHEN '0' THEN 5 WHEN '1' THEN 3 ELSE 1 END + CASE WHEN k_sun > 0 THEN 5 ELSE 1 END + CASE WHEN upper(class) LIKE 'A%' THEN 5 WHEN class = 'B' THEN 3 ELSE 1 END AS INT) AS energy_score_total FROM f",
+)
+def _(spark, sf):
+    got = certificates.shred(_certificates(spark, sf), "T0")
+    return got.select(
+        F.get("ape_file_list", 0).alias("file"), "id", "address", "house_number", "surface_area", "cadastral_sheet", "cadastral_subaltern", "comune_code", F.date_format("effective_date", "yyyy-MM-dd").alias("day"), "energy_class", "property_type",
+        F.col("envelope_winter_quality").alias("envelope"), "heating_system_type", "dhw_system_year", "dhw_system_type", F.array_join("services_present", ",").alias("services"), "main_energy_carrier", "renewable_sources", "energy_score_total",
+    )
+
+
+@query(
+    "certificate_detail",
+    f"{EPC_SQL} SELECT p_partkey || '.xml' AS file, coalesce(address, address2) AS address, sheet, comune AS cadastral_code, sub1 AS sub_da, sub2 AS sub_a, coalesce("
+    + _say("winter", certificates.FACE_LABELS)
+    + ", winter) AS winter_quality, coalesce(kind2, text, plant, CASE WHEN p_partkey % 50 <> 0 THEN '1' END) AS heating_system_desc, CASE WHEN p_partkey % 50 <> 0 THEN '1999' END AS dhw_system_year, "
+    "(SELECT string_agg(n || ':' || CAST(CAST(round_even(v * 100, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY v DESC, i) FROM (VALUES (0, 'Grid electricity', k_grid), (1, 'Natural gas', k_gas), (2, 'Photovoltaic solar', k_sun)) t(i, n, v) WHERE v > 0) AS vectors, CASE WHEN p_partkey % 50 <> 0 THEN coalesce(pay, '8.5') END AS payback_period, "
+    "CASE WHEN p_partkey % 50 <> 0 THEN coalesce(pay || ' ', '') || 'cappotto' || '|infissi, 8,5 anni di ritorno' ELSE '' END AS interventions, concat_ws(',', CASE WHEN heat = 'true' AND sim IS NULL THEN 'Heating' END, CASE WHEN lower(cool) = 'true' THEN 'Cooling' END, CASE WHEN lift = 'true' THEN 'Lifts/Transport' END) AS services FROM f",
+)
+def _(spark, sf):
+    d = certificates.detail(_certificates(spark, sf))
+    vectors = F.array_join(F.transform("top_vectors", lambda x: F.concat(x["carrier"], F.lit(":"), F.bround(x["kwh"] * 100).cast("long").cast("string"))), ",")
+    return d.select(
+        "file", "address", "sheet", "cadastral_code", "sub_da", "sub_a", "winter_quality", "heating_system_desc", "dhw_system_year", F.nullif(vectors, F.lit("")).alias("vectors"), "payback_period", F.array_join("suggested_interventions", "|").alias("interventions"), F.array_join("present_services", ",").alias("services"),
+    )
 
 
 @query("query_combinations", "WITH a AS (SELECT unnest(['office', 'home']) AS a), b AS (SELECT unnest(['near metro', 'in centre', NULL]) AS b), c AS (SELECT unnest(['class A', 'class B', NULL]) AS c) SELECT concat_ws(' ', a, b, c) AS text FROM a, b, c")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from parcelspark.functions import exprs as X
 from parcelspark.operators.spatial import flatten_pois
+from parcelspark.sources.certificates import wrapped
 
 
 def estates(spark: SparkSession, path: str) -> DataFrame:
@@ -77,60 +78,9 @@ def xml_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select(X.file_name(F.col("path")).alias("file"), decoded(F.col("content")).alias("xml"))
 
 
-def local(*names: str) -> str:
-    """An XPath by local names, whatever the prefixes."""
-    return "//" + "//".join(f"*[local-name()='{n}']" for n in names)
-
-
-def first_text(xml: Column, paths: Sequence[Sequence[str]]) -> Column:
-    """The first non-empty text among elements named by paths of local names."""
-    return F.coalesce(*[F.nullif(F.trim(F.xpath_string(xml, F.lit(local(*p)))), F.lit("")) for p in paths])
-
-
-# Where a certificate holds each field, in order of preference.
-FIELDS: dict[str, tuple[tuple[str, ...], ...]] = {
-    "epc_id": (("codiceIdentificativo",), ("codiceCertificato",), ("idApe",)),
-    "comune_code": (("codiceComune",), ("comuneCatastale",)),
-    "address": (("indirizzo", "descrizione"), ("indirizzo",)),
-    "house_number": (("numeroCivico",), ("civico",)),
-    "cadastral_sheet": (("foglio",),),
-    "cadastral_parcel": (("particella",), ("mappale",)),
-    "cadastral_subaltern": (("subalterno",),),
-    "surface_area": (("superficieUtileRiscaldata",), ("superficieUtile",), ("superficie",)),
-    "energy_class": (("classeEnergetica",), ("classe",)),
-    "epglnren": (("epglnren",), ("EPglnren",)),
-    "epglren": (("epglren",), ("EPglren",)),
-    "co2_emissions": (("emissioniCO2",), ("co2",)),
-    "property_type": (("destinazioneUso",), ("tipologia",)),
-    "construction_period": (("annoCostruzione",), ("epocaCostruzione",)),
-    "effective_date": (("dataEmissione",), ("dataDecorrenza",)),
-    "assessor_name": (("certificatore", "nome"), ("nome",)),
-    "assessor_surname": (("certificatore", "cognome"), ("cognome",)),
-    "latitude": (("latitudine",), ("lat",)),
-    "longitude": (("longitudine",), ("lon",)),
-}
-NUMBERS = ("surface_area", "epglnren", "epglren", "co2_emissions", "latitude", "longitude")
-
-
-def shred(df: DataFrame, fields: dict[str, tuple[tuple[str, ...], ...]] = FIELDS, xml: str = "xml") -> DataFrame:
-    """A column for each field of a certificate: numbers with decimal commas, whole cadastral numbers, day-first dates, services as an array."""
-    cols = []
-    for name, paths in fields.items():
-        c = first_text(F.col(xml), paths)
-        if name in NUMBERS:
-            c = X.number(c)
-        elif name.startswith("cadastral_"):
-            c = X.whole(c).cast("int")
-        elif name.endswith("_date"):
-            c = X.day_first(c)
-        cols.append(c.alias(name))
-    services = F.array_distinct(F.xpath(F.col(xml), F.lit(local("servizio") + "/text()"))).alias("services")
-    return df.select(*[c for c in df.columns if c != xml], *cols, services)
-
-
 def image_of(xml: Column, least: int = 100) -> Column:
-    """(mime, data) of the first text long enough to be an encoded image."""
-    texts = F.filter(F.xpath(xml, F.lit("//*/text()")), lambda t: (F.length(t) > least) & t.rlike(r"^[A-Za-z0-9+/=\s]+$"))
+    """(mime, data) of the first text long enough to be an encoded image; null also where the document isn't well-formed."""
+    texts = F.filter(F.xpath(F.coalesce(wrapped(xml), F.lit("<certificate/>")), F.lit("//*/text()")), lambda t: (F.length(t) > least) & t.rlike(r"^[A-Za-z0-9+/=\s]+$"))
     data = F.try_element_at(texts, F.lit(1))
     return F.when(data.isNotNull(), F.struct(X.mime_of_base64(data).alias("mime"), data.alias("data")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions import exprs as X
 from parcelspark.operators import filters, finalise, metrics, rollup, scoring, spatial, stats
-from parcelspark.sources import readers, sinks
+from parcelspark.sources import certificates, readers, sinks
 from parcelspark.streaming import events
 
 
@@ -193,9 +193,16 @@ def test_files(spark, tmp_path):
     pop = readers.population(readers.csv_after_preamble(spark, str(tmp_path / "pre.csv")), "zone")
     assert [(r.zone, r.ages) for r in pop.collect()] == [("a", {"0-4": 1.0, "5+": 2.0})]
     (tmp_path / "xml").mkdir()
-    (tmp_path / "xml/a.xml").write_bytes("junk<n:a xmlns:n='u'><n:foglio>12.0</n:foglio><n:superficie>80,5</n:superficie><n:servizio>H</n:servizio></n:a>".encode("utf-16"))
-    r = readers.shred(readers.xml_files(spark, str(tmp_path / "xml"))).first()
-    assert (r.file, r.cadastral_sheet, r.surface_area, r.services) == ("a.xml", 12, 80.5, ["H"])
+    whole = "junk<?xml version='1.0'?><n:a xmlns:n='u'><n:datiCatastali><n:foglio>12</n:foglio><n:subalterni><n:subDA>004</n:subDA><n:subA>9</n:subA></n:subalterni></n:datiCatastali><n:datiGenerali><n:datiIdentificativi><n:superficieUtileRiscaldata>80,5</n:superficieUtileRiscaldata></n:datiIdentificativi></n:datiGenerali></n:a>"
+    (tmp_path / "xml/a.xml").write_bytes(whole.encode("utf-16"))
+    (tmp_path / "xml/b.xml").write_text("<a><b></a>")
+    r, broken = certificates.shred(readers.xml_files(spark, str(tmp_path / "xml")), "L219").orderBy("ape_file_list").collect()
+    assert (r.ape_file_list, r.cadastral_sheet, r.cadastral_subaltern, r.surface_area, r.services_present, r.id) == (["a.xml"], "12", "4,9", 80.5, [], "L219_12_None_4,9")
+    assert (broken.id, broken.surface_area, broken.energy_score_total) == ("L219_None_None_b", None, 4)
+    done = certificates.finished(certificates.of_comune(certificates.shred(readers.xml_files(spark, str(tmp_path / "xml")), "L219"), "L219"))
+    assert done.columns[:5] == ["id", "is_meta_estate", "cadastral_units_count", "id_list", "ape_file_list"] and not set(certificates.TECHNICAL) & set(done.columns) and done.count() == 2
+    view = certificates.detail_view(certificates.detail(readers.xml_files(spark, str(tmp_path / "xml"))), "a.xml").first()
+    assert (view.sheet, view.sub_da, view.sub_a, view.heating_service, view.energy_score, view.energy_raw_score) == ("12", "004", "9", False, 0, 1)
     img = spark.createDataFrame([("<a><b>iVBORw0KGgo" + "A" * 120 + "</b></a>",), ("<a/>",)], "x string")
     assert [v and v["mime"] for v in values(img, readers.image_of(F.col("x")))] == ["image/png", None]
     assert sinks.dataset(df, str(tmp_path / "d")) and not sinks.dataset(df, str(tmp_path / "d"))
