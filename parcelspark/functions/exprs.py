@@ -230,6 +230,12 @@ def interventions(text: Column, first: int = 3) -> Column:
     return F.coalesce(F.slice(F.transform(parts, lambda x: F.btrim(x, F.lit(" .:;"))), 1, first), F.array().cast("array<string>"))
 
 
+def places_in(x: Column) -> Column:
+    """The places of a text that parts them by semicolons, without empty ones and those that say there is none."""
+    parts = F.transform(F.split(x, ";"), lambda p: F.btrim(p, F.lit(" \t\r\n")))
+    return F.filter(parts, lambda p: (p != "") & ~F.contains(F.upper(p), F.lit("NESSUN LUOGO")))
+
+
 def list_of(x: Column) -> Column:
     """An array from a list written as text: ['a', 'b'], ["a"], or a, b."""
     inner = F.regexp_replace(F.trim(x), r"^\[|\]$", "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions import exprs as X
-from parcelspark.schema import has, resolve
+from parcelspark.schema import ENERGY_CLASSES, has, resolve
 
 
 @dataclass(frozen=True)
@@ -76,11 +76,98 @@ def apply_filters(df: DataFrame, f: Filters) -> DataFrame:
     return out.join(f.run_ids.select("id").distinct(), "id", "left_semi") if f.run_ids is not None else out
 
 
+def contains_any(column: Column, values: Sequence[str]) -> Column:
+    """Whether a text holds one of some values, in any case; null holds none."""
+    return any_of([F.contains(F.lower(F.coalesce(column, F.lit(""))), F.lit(v.lower())) for v in values])
+
+
+@dataclass(frozen=True)
+class MapFilters:
+    """The filters of the map. Unlike those of the filter API, a missing surface counts as 0, usage and constraint are parts
+    of texts, and there are the legal nature, certificates and tiers."""
+
+    energy_classes: Sequence[str] = ()
+    min_surface: float | None = None
+    max_surface: float | None = None
+    construction_periods: Sequence[str] = ()
+    property_types: Sequence[str] = ()
+    usage: Sequence[str] = ()
+    constraints: Sequence[str] = ()
+    is_meta_building: bool | None = None
+    legal_nature: str | None = None
+    has_certificate: bool | None = None
+    tiers: Sequence[int] = ()  # (3,) for top picks, (2, 3) for results
+
+
+def apply_map_filters(df: DataFrame, f: MapFilters) -> DataFrame:
+    """Markers that pass every filter set; a marker without the value asked for doesn't."""
+    c, surface = F.col, F.coalesce(F.col("surface_area"), F.lit(0.0))
+    tests = [surface >= f.min_surface] * (f.min_surface is not None) + [surface <= f.max_surface] * (f.max_surface is not None)
+    if f.energy_classes:
+        tests.append(any_of([F.upper("energy_class").startswith(x) for x in f.energy_classes]))
+    tests += [c("construction_period").isin(*f.construction_periods)] * bool(f.construction_periods) + [c("property_type").isin(*f.property_types)] * bool(f.property_types)
+    tests += [contains_any(c("description"), f.usage)] if f.usage else []
+    tests += [contains_any(c("cultural_constraint"), f.constraints)] if f.constraints else []
+    if f.is_meta_building is not None:
+        tests.append(F.coalesce(c("is_meta_estate"), F.lit(False)) == f.is_meta_building)
+    if f.legal_nature:
+        tests.append(F.upper("legal_nature") == f.legal_nature.upper())
+    if f.has_certificate is not None:
+        tests.append((F.coalesce(F.size("energy_files") > 0, F.lit(False)) | F.coalesce(c("energy_class") != "", F.lit(False))) == f.has_certificate)
+    tests += [c("tier").isin(*f.tiers)] if f.tiers else []
+    return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+
+
+def sort_markers(df: DataFrame, by: str) -> DataFrame:
+    """Markers by score or surface (largest first, missing as 0), energy (best class first, missing as the worst, unknown
+    ones before all) or address (missing as empty); ties by id."""
+    place = F.array_position(F.array(*[F.lit(x) for x in ENERGY_CLASSES]), F.coalesce(F.nullif("energy_class", F.lit("")), F.lit(ENERGY_CLASSES[-1])))
+    orders = {
+        "score": F.coalesce("ranking_score", F.lit(0.0)).desc() if "ranking_score" in df.columns else None,
+        "surface": F.coalesce("surface_area", F.lit(0.0)).desc(),
+        "energy": place.asc(),
+        "address": F.coalesce("address", F.lit("")).asc() if "address" in df.columns else None,
+    }
+    return df.orderBy(orders[by], "id") if orders.get(by) is not None else df
+
+
+def by_length(df: DataFrame, column: str) -> DataFrame:
+    """Texts by their length, ties by the text."""
+    return df.orderBy(F.length(column), column)
+
+
+def newest_first(df: DataFrame, timestamp: str, key: str) -> DataFrame:
+    """Rows by a timestamp in text, newest first and missing last; ties by key."""
+    return df.orderBy(F.coalesce(F.col(timestamp).cast("string"), F.lit("")).desc(), key)
+
+
+def owned(runs: DataFrame, user_id: int | None) -> DataFrame:
+    """Runs that a user may see: their own, and those without an owner; without a user all."""
+    return runs if user_id is None else runs.where(F.col("user_id").isNull() | (F.col("user_id") == user_id))
+
+
+def user_by(users: DataFrame, column: str, value: str) -> DataFrame:
+    """At most one user with a name or e-mail."""
+    return users.where(F.col(column) == value).orderBy("user_id").limit(1)
+
+
+def taken(users: DataFrame, username: str, email: str, besides: int | None = None) -> tuple[bool, bool]:
+    """Whether a user name and an e-mail belong to someone, besides one user: one pass over the users."""
+    others = users if besides is None else users.where(F.col("user_id") != besides)
+    r = others.agg(F.max((F.col("username") == username).cast("int")), F.max((F.col("email") == email).cast("int"))).first()
+    return bool(r[0]), bool(r[1])
+
+
 def by_id(df: DataFrame, value: str, column: str = "id") -> DataFrame:
     """Point lookup: an equality that the scan's statistics and dictionaries prune by."""
     return df.where(F.col(column) == value).limit(1)
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """One row: the number of rows before paging."""
+    return df.agg(F.count("*").alias("total"))
+
+
 def page(df: DataFrame, offset: int, size: int, order: Sequence[str | Column] = ("id",)) -> DataFrame:
     """Rows offset .. offset + size in a total order, with has_more on each: one row more is asked for."""
     rows = df.orderBy(*order).offset(offset).limit(size + 1)
@@ -110,14 +197,39 @@ def markers_lite(df: DataFrame, limit: int = 1000, filters: Filters = Filters())
     return rows.select(*cols, F.lit(1).alias("tier")).dropna(subset=["lat", "lng"])
 
 
+# The plain fields of the full markers, of which a table may lack some, and the columns that hold them.
+FULL_MARKER: tuple[tuple[str, str], ...] = (
+    ("surface_area", "surface_area"), ("construction_year", "construction_period"), ("energy_class", "energy_class"), ("score", "score"), ("price", "price"), ("description", "description"),
+    ("rooms", "rooms"), ("bathrooms", "bathrooms"), ("floor", "floor"), ("is_evaluated", "is_evaluated"), ("is_meta_building", "is_meta_estate"), ("annual_rent", "annual_rent"),
+    ("third_party_tenure_type", "third_party_tenure_type"), ("start_date", "start_date"), ("cadastral_units_count", "cadastral_units_count"), ("id_list", "id_list"), ("property_type", "property_type"),
+    ("legal_nature", "legal_nature"), ("cultural_constraint", "cultural_constraint"), ("purpose", "purpose"), ("omi_zone", "omi_zone"), ("cadastral_sheet", "cadastral_sheet"), ("cadastral_parcel", "cadastral_parcel"),
+    ("energy_files", "energy_files"), ("sub_properties", "sub_properties"),
+)
+FULL_ENERGY = {"total": "total", "class_score": "class", "plant_score": "plant", "envelope_score": "envelope", "renewables_score": "renewables"}
+FULL_PROXIMITY = {"healthcare": "healthcare", "mobility": "mobility", "greenery": "green", "education": "education", "commerce": "commercial", "sport": "sport"}
+
+
+def markers_full(df: DataFrame, limit: int = 1000, filters: Filters = Filters(), city: str = "Torino") -> DataFrame:
+    """Full map markers: filtered, the first `limit` by id, then those with coordinates; plain fields by column, address,
+    city, energy and proximity scores as of nested buildings. Fields that the table lacks are null."""
+    rows = apply_filters(df, filters).orderBy("id").limit(limit)
+    names = [resolve(c, rows.columns) for _, c in FULL_MARKER]
+    plain = [(F.col(n) if n else F.lit(None).cast("string")).alias(out) for (out, _), n in zip(FULL_MARKER, names, strict=True)]
+    b = building_columns(rows, city)
+    whole = lambda c, fields: F.when(c.isNotNull(), F.struct(*[c[x].alias(n) for n, x in fields.items()]))
+    cols = [F.col("id").cast("string").alias("id"), b["coordinates"]["lat"].alias("lat"), b["coordinates"]["lng"].alias("lng"), b["address"].alias("address"), b["city"].alias("city"), *plain]
+    out = rows.select(*cols, whole(b["energy_scores"], FULL_ENERGY).alias("energy_scores"), whole(b["proximity_scores"], FULL_PROXIMITY).alias("proximity_scores"))
+    return out.dropna(subset=["lat", "lng"])
+
+
 def first_of(df: DataFrame, names: Sequence[str]) -> Column:
     """The first non-null value of those columns that the table has."""
     there = [F.col(n) for n in names if has(df, n)]
     return F.coalesce(*there) if there else F.lit(None)
 
 
-def building_struct(df: DataFrame, city: str = "Torino") -> DataFrame:
-    """Rows as nested buildings: coordinates, energy scores (only where one is there), proximity scores, address."""
+def building_columns(df: DataFrame, city: str = "Torino") -> dict[str, Column]:
+    """The fields of a nested building: coordinates, energy scores (only where one is there), proximity scores, address."""
     get = lambda *names: first_of(df, [x for n in names for x in (n, *_variants(n))])
     parts = ["class", "plant", "envelope", "renewables"]
     scores = {p: X.number(get(f"energy_score_{p}").cast("string")) for p in parts}
@@ -127,16 +239,21 @@ def building_struct(df: DataFrame, city: str = "Torino") -> DataFrame:
     address = F.when(number.isNotNull(), F.concat_ws(", ", get("address").cast("string"), number)).otherwise(get("address").cast("string"))
     near = F.struct(*[X.number(get(n).cast("string")).alias(n) for n in ("commercial", "education", "mobility", "healthcare", "sport", "green")])
     comune = get("comune_code").cast("string")
-    return df.select(
-        F.col("id").cast("string").alias("id"),
-        F.struct(X.number(get("latitude").cast("string")).alias("lat"), X.number(get("longitude").cast("string")).alias("lng")).alias("coordinates"),
-        address.alias("address"),
-        F.when(comune == "L219", F.lit(city)).otherwise(comune).alias("city"),
-        get("property_type").cast("string").alias("property_type"),
-        X.number(get("surface_area").cast("string")).alias("surface_area"),
-        energy.alias("energy_scores"),
-        near.alias("proximity_scores"),
-    )
+    return {
+        "id": F.col("id").cast("string"),
+        "coordinates": F.struct(X.number(get("latitude").cast("string")).alias("lat"), X.number(get("longitude").cast("string")).alias("lng")),
+        "address": address,
+        "city": F.when(comune == "L219", F.lit(city)).otherwise(comune),
+        "property_type": get("property_type").cast("string"),
+        "surface_area": X.number(get("surface_area").cast("string")),
+        "energy_scores": energy,
+        "proximity_scores": near,
+    }
+
+
+def building_struct(df: DataFrame, city: str = "Torino") -> DataFrame:
+    """Rows as nested buildings."""
+    return df.select(*[c.alias(n) for n, c in building_columns(df, city).items()])
 
 
 def _variants(name: str) -> tuple[str, ...]:

@@ -246,6 +246,93 @@ def total_score(df: DataFrame, weights: Mapping[str, float], explain: bool = Fal
     return out
 
 
+# Explanations
+
+
+@dataclass(frozen=True)
+class Part:
+    """A partial score in an explanation: the column it is of, the score, its weight, and the range it is scaled by."""
+
+    column: str
+    score: Column
+    weight: float
+    range: Range | None = None
+    whole_table: bool = True  # whether the range is of the whole table
+
+
+def part_text(df: DataFrame, p: Part) -> Column:
+    """How a partial score came about: by its place within a range, whichever end it counts from, else by its value."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("N/D"))
+    value, score = F.col(p.column), F.bround(p.score, 1).cast("string")
+    plain = F.concat(F.lit(f"{p.column}("), shown(value), F.lit("): "), score)
+    if p.range is None:
+        text = plain if df.schema[p.column].dataType.typeName() != "string" else F.concat(plain, F.lit(" (Match)"))
+    else:
+        low, high = p.range.low, p.range.high
+        where = " [Global Ref]" if p.whole_table else " [Local Range]"
+        v = X.number(value, 0.0)
+        if high <= low:
+            text = F.concat(F.lit(f"{p.column}("), shown(value), F.lit(f"): 100{where}"))
+        else:
+            up, down = 100 * (v - low) / (high - low), 100 * (high - v) / (high - low)
+            rise = F.concat(F.lit(f"{p.column}: 100*("), v.cast("string"), F.lit(f"-{low})/({high}-{low})="), score, F.lit(where))
+            fall = F.concat(F.lit(f"{p.column}: 100*({high}-"), v.cast("string"), F.lit(f")/({high}-{low})="), score, F.lit(where))
+            other = F.concat(F.lit(f"{p.column}("), v.cast("string"), F.lit(f") [Min {low}, Max {high}]: "), score, F.lit(where))
+            text = F.when(F.abs(F.bround(up, 1) - p.score) < 1, rise).when(F.abs(F.bround(down, 1) - p.score) < 1, fall).otherwise(other)
+    return F.concat(text, F.lit(f" * Weight({p.weight:.3f})"))
+
+
+def summed(lines: Sequence[Column], name: str = "Sum") -> Column:
+    """Parts of an explanation as lines: one by itself, several within a sum."""
+    if len(lines) == 1:
+        return F.array(lines[0])
+    inner = [F.concat(F.lit("  "), x, F.lit("," if i < len(lines) - 1 else "")) for i, x in enumerate(lines)]
+    return F.array(F.lit(f"{name}("), *inner, F.lit(")"))
+
+
+def need_parts(df: DataFrame, needs: Sequence[Need], stats: Mapping[str, Range] | None = None, harmonic_weights: bool = False) -> list[Part]:
+    """The partial scores of requirements, as the energy and regulatory scorers weigh them (alike), or the proximity scorer."""
+    stats = stats or {}
+    usable = [(resolve(n.column, df.columns), s, n) for n in needs if (s := need_score(df, n, stats)) is not None]
+    weights = harmonic(len(usable)) if harmonic_weights else [1 / len(usable)] * len(usable) if usable else []
+    return [Part(name, score, w, stats.get(name)) for (name, score, _), w in zip(usable, weights, strict=True)]
+
+
+def explained(df: DataFrame, dimension: str, parts: Sequence[Part]) -> DataFrame:
+    """df with <dimension>_formula: the lines that say how its score came about."""
+    lines = [part_text(df, p) for p in parts]
+    return df.withColumn(f"{dimension}_formula", summed(lines) if lines else F.array(F.lit("Score(N/D)")))
+
+
+def explained_location(df: DataFrame, places: Sequence[Place]) -> DataFrame:
+    """df (scored by location_score) with location_formula: the decay with its length, or why the score is 0."""
+    scale = F.lit(None).cast("double")
+    for p in places:
+        radius = round(p.radius_km, 2) if p.radius_km > 0 else 3.0
+        scale = F.when(F.col("nearest_place") == p.name, radius / (-math.log(0.2)) ** (1 / 3)).otherwise(scale)
+    km = F.format_string("%.2f", F.col("distance_km"))
+    text = F.when(F.col("distance_km").isNull(), F.lit("no place -> 0")).when(F.col("location_score") > 0, F.concat(F.lit("100 * exp(-("), km, F.lit("/"), F.format_string("%.2f", scale), F.lit(")^3)"))).otherwise(F.concat(F.lit("too far ("), km, F.lit("km) -> 0")))
+    return df.withColumn("location_formula", F.array(text))
+
+
+def explained_building(df: DataFrame, typologies: Sequence[str], column: str = "property_type") -> DataFrame:
+    """df with building_formula: the place of the typology in the list of preferences, the first that fits, or no match."""
+    v, place = F.lower(F.trim(column)), F.lit(None).cast("int")
+    clean = [t.strip().strip("'\"").lower() for t in typologies]
+    for i, p in reversed(list(enumerate(clean, 1))):
+        place = F.when(F.contains(v, F.lit(p)) | F.contains(F.lit(p), v), i).otherwise(place)
+    for i, p in reversed(list(enumerate(clean, 1))):
+        place = F.when(v == p, i).otherwise(place)
+    return df.withColumn("building_formula", F.array(F.when(place.isNull() | (v == ""), "0 (No match)").otherwise(F.concat(F.lit("100 / Position("), place.cast("string"), F.lit(")")))))
+
+
+def explained_total(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """df with ranking_steps: each dimension's score and weight within the sum, missing scores as 0."""
+    score = lambda d: F.bround(F.coalesce(F.col(f"{d}_score"), F.lit(0.0)).cast("double"), 1).cast("string") if f"{d}_score" in df.columns else F.lit("0.0")
+    lines = [F.concat(F.lit(f"{d}_score("), score(d), F.lit(f") * Weight({weights.get(d, 0.0)})")) for d in DIMENSIONS]
+    return df.withColumn("ranking_steps", summed(lines, "RankingSum"))
+
+
 def ranked(df: DataFrame) -> DataFrame:
     """Best first: score, then nearness, then id."""
     near = [F.col("distance_km").asc_nulls_last()] if "distance_km" in df.columns else []

@@ -105,16 +105,18 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
 def zone_of(df: DataFrame, zones: DataFrame, cell_deg: float = 0.05, lat: str = "latitude", lon: str = "longitude", key: str = "id") -> DataFrame:
     """df with `zone`: the first (by zone_index) polygon that holds the point, null if none.
 
-    zones: zone_index, zone, ring. A polygon is listed under each grid cell of its box, points look up their own cell,
+    zones: zone_index, zone, ring, and maybe holes (an array of rings). A polygon is listed under each grid cell of its box, points look up their own cell,
     then the ring is tested; so any number of zones joins by equality.
     """
     lons, lats = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
     span = lambda xs: F.sequence(F.floor(F.array_min(xs) / cell_deg), F.floor(F.array_max(xs) / cell_deg))
-    listed = zones.where(F.size("ring") >= 3).select("zone_index", "zone", "ring", F.explode(span(lons)).alias("__x"), lats.alias("__lats"))
-    listed = listed.select("zone_index", "zone", "ring", "__x", F.explode(span(F.col("__lats"))).alias("__y"))
+    zones = zones if "holes" in zones.columns else zones.withColumn("holes", F.array().cast("array<array<struct<lon:double,lat:double>>>"))
+    listed = zones.where(F.size("ring") >= 3).select("zone_index", "zone", "ring", "holes", F.explode(span(lons)).alias("__x"), lats.alias("__lats"))
+    listed = listed.select("zone_index", "zone", "ring", "holes", "__x", F.explode(span(F.col("__lats"))).alias("__y"))
     points = df.select(F.col(key).alias("__k"), F.col(lon).alias("__lon"), F.col(lat).alias("__lat"))
     points = points.withColumns({"__x": F.floor(F.col("__lon") / cell_deg), "__y": F.floor(F.col("__lat") / cell_deg)})
-    hit = points.join(listed, ["__x", "__y"]).where(in_ring(F.col("__lon"), F.col("__lat"), F.col("ring")))
+    inside = lambda ring: in_ring(F.col("__lon"), F.col("__lat"), ring)
+    hit = points.join(listed, ["__x", "__y"]).where(inside(F.col("ring")) & ~F.coalesce(F.exists("holes", inside), F.lit(False)))
     first = hit.groupBy("__k").agg(F.min_by("zone", "zone_index").alias("zone"))
     return df.join(first, df[key] == F.col("__k"), "left").drop("__k")
 

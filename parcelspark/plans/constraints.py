@@ -264,6 +264,46 @@ def conjuncts(spark: SparkSession, sql: str) -> list[Any]:
     return out
 
 
+def condition_tree(spark: SparkSession, sql: str, hide: tuple[str, ...] = ("latitude", "longitude", "haversine_km")) -> list[dict]:
+    """The conditions of a WHERE clause as the parser groups them: entries (operator, content) or (operator, children), the
+    first of a group without an operator. A range is one condition; conditions on places are hidden, and so are groups
+    that hold nothing else."""
+
+    def geo(e: Any) -> bool:
+        return any(canonical(c) in hide for c in _attributes(e)) or any(h in e.sql().lower() for h in hide)
+
+    def parts(e: Any, kind: str) -> list[Any]:
+        return parts(e.left(), kind) + parts(e.right(), kind) if _kind(e) == kind and not is_range(e) else [e]
+
+    def is_range(e: Any) -> bool:
+        return _kind(e) == "And" and _kind(e.left()) == "GreaterThanOrEqual" and _kind(e.right()) == "LessThanOrEqual" and e.left().left().sql() == e.right().left().sql()
+
+    def text(e: Any) -> str:
+        if is_range(e):
+            given = [e.left().left(), e.left().right(), e.right().right()]
+        elif re.match(r"between\(", e.sql(), re.IGNORECASE) and e.children().size() == 3:
+            given = [e.children().apply(i) for i in range(3)]
+        else:
+            return e.sql()
+        return "{} BETWEEN {} AND {}".format(*(x.sql() for x in given))
+
+    def group_of(e: Any) -> list[dict]:
+        kind = _kind(e) if _kind(e) in ("And", "Or") and not is_range(e) else None
+        out: list[dict] = []
+        for x in parts(e, kind) if kind else [e]:
+            if _kind(x) in ("And", "Or") and not is_range(x):
+                if children := group_of(x):
+                    out.append({"operator": kind.upper() if out else None, "children": children})
+            elif not geo(x):
+                out.append({"operator": kind.upper() if out and kind else None, "content": text(x)})
+        return out
+
+    plan = parse(spark, sql)
+    if plan is None:
+        return []
+    return [row for p in _plans(plan) if _kind(p) == "Filter" for row in group_of(p.condition())]
+
+
 def conjunct_rows(spark: SparkSession, sql: str) -> list[dict]:
     """(text, columns, kind) of each conjunct: geo where a distance or coordinate is tested."""
     rows = []
@@ -296,6 +336,59 @@ def repair_columns(spark: SparkSession, sql: str, columns: Iterable[str], aliase
     return sql, renamed, sorted(c for c in missing if c not in renamed)
 
 
+def formatted(requirements: Sequence[Mapping[str, Any]], none: str = "No specific requirements identified.") -> str:
+    """Requirements as `column operator value`, parted by semicolons: texts in quotes, lists in brackets unless of one value.
+    Those without a column, an operator or a value are left out; keys may be English or Italian."""
+    quoted = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    out = []
+    for r in requirements:
+        column, op, value = (next((r[k] for k in keys if k in r), None) for keys in (("target_column", "colonna_target"), ("operator", "operatore"), ("value", "valore")))
+        if column and op and value is not None:
+            several = isinstance(value, list) and len(value) != 1
+            text = "(" + ", ".join(map(quoted, value)) + ")" if several else quoted(value[0] if isinstance(value, list) else value)
+            out.append(f"{column} {op} {text}")
+    return "; ".join(out) or none
+
+
+# The sections of a planner's answer and the fields of its filters, in English and Italian.
+PLAN_SECTIONS = {"location": "localizzazione", "regulatory": "normativa", "energy": "energia", "building": "tipologia", "proximity": "servizi"}
+PLAN_FILTERS = ("parameters", "filters", "requirements", "parametri")
+
+
+def planned(answer: Mapping[str, Any]) -> tuple[str, dict[str, float], list[dict], list[dict]]:
+    """(query, weights, payloads, places) of a planner's single answer: weights of 0.2 where it gives none, a payload for each
+    section that it found, with what its filters say or a safe stand-in, and a place from coordinates."""
+    both = lambda obj, name: obj.get(name, obj.get(PLAN_SECTIONS[name]))
+    query = (answer.get("sql") or {}).get("query") or ""
+    given = (answer.get("layer2") or {}).get("weights") or {}
+    weights = {d: 0.2 if both(given, d) is None else float(both(given, d)) for d in PLAN_SECTIONS}
+    found, payloads, places = (answer.get("layer1") or {}).get("analysis") or {}, [], []
+    for name in ("building", "energy", "proximity", "regulatory", "location"):
+        section = both(found, name)
+        if not isinstance(section, Mapping) or not section.get("found"):
+            continue
+        asked = next((section[k] for k in PLAN_FILTERS if section.get(k)), {})
+        asked = asked if isinstance(asked, Mapping) else {}
+        parsed: dict[str, Any] = {"found": True}
+        if name == "building":
+            kinds = asked.get("tipologia_bene_immobile") or ["Apartment"]
+            parsed |= {"typologies": [kinds] if isinstance(kinds, str) else list(kinds), "requirements": [{"column": "superficie_di_riferimento_mq"}]}
+        elif name == "energy":
+            parsed["requirements"] = [{"column": "classe_energetica_ape"}]
+        elif name == "proximity":
+            parsed["requirements"] = [{"amenity": a} for a in asked.get("amenity_proximity") or ["healthcare"]]
+        elif name == "regulatory":
+            parsed["requirements"] = [{"notes": asked.get("use_destination") or "Regulatory analysis"}]
+        else:
+            at = asked.get("coordinate") if isinstance(asked.get("coordinate"), Mapping) else {}
+            lat, lon = asked.get("latitude") or asked.get("latitudine") or at.get("lat"), asked.get("longitude") or asked.get("longitudine") or at.get("lon")
+            if lat and lon:
+                places.append({"name": "planned place", "lat": lat, "lon": lon, "radius_km": asked.get("radius_km", asked.get("raggio_km", DEFAULT_RADIUS_KM))})
+            continue
+        payloads.append({"source_agent": name, "parsed": parsed})
+    return query, weights, payloads, places
+
+
 @dataclass
 class Report:
     parsed: bool = True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parcelspark.functions import exprs as X
+from parcelspark.operators.finalise import add_columns
 from parcelspark.operators.spatial import flatten_pois
 from parcelspark.sources.certificates import wrapped
 
@@ -88,20 +90,93 @@ def image_of(xml: Column, least: int = 100) -> Column:
 # POIs, zones, places
 
 
+# Names of POI categories and what they are here.
+CATEGORY_NAMES = {
+    "sanità": "healthcare", "sanita": "healthcare", "healthcare": "healthcare", "mobilità": "mobility", "mobilita": "mobility", "mobility": "mobility", "verde": "green", "green": "green",
+    "sport": "sport", "commerciale": "commercial", "commercial": "commercial", "educazione": "education", "education": "education",
+}
+# Amenities of the shortest reach, and of the middle one; all others have the longest.
+NEIGHBOURHOOD = (
+    "pharmacy defibrillator bus_stop tram_stop bicycle_parking taxi subway_entrance charging_station playground garden grass park fitness_centre pitch supermarket bakery greengrocer newsagent kiosk "
+    "convenience tobacco laundry hairdresser butcher pastry ice_cream deli stationery grocery vending_machine kindergarten school community_centre"
+).split()
+DISTRICT = (
+    "doctor dentist clinic physiotherapist veterinary optometrist psychotherapist physiotherapist-osteopathy alternative parking bicycle_rental car_sharing recreation_ground scrub swimming_pool "
+    "sports_centre bowling_alley clothes shoes florist hardware chemist pet books gift optician beauty mobile_phone jewelry toys electronics bicycle travel_agency dry_cleaning photo video confectionery "
+    "alcohol wine cheese dairy seafood pasta spices tea coffee coffee_roasting herbalist tattoo massage spa copyshop shoe_repair tailor sewing fabric bag fashion_accessories cosmetics variety_store "
+    "second_hand video_games sports nutrition_supplements perfumery watches baby_goods houseware repair mobile_phone_accessories party religion locksmith art frame ticket food general pet_grooming "
+    "library music_school driving_school"
+).split()
+
+
+def amenity_class(amenity: Column) -> Column:
+    """neighbourhood, district or city: how far people go for an amenity."""
+    return F.when(amenity.isin(NEIGHBOURHOOD), "neighbourhood").when(amenity.isin(DISTRICT), "district").otherwise("city")
+
+
 def pois(spark: SparkSession, path: str) -> DataFrame:
-    """(category, amenity, id, lat, lon) of a nested JSON file."""
+    """(category, amenity, id, lat, lon, reach) of a nested JSON file, categories by their names here."""
     shape = "map<string, map<string, array<struct<id: bigint, lat: double, lon: double>>>>"
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(flatten_pois(F.from_json("value", shape))).alias("p")).select(F.lower(F.trim("p.category")).alias("category"), "p.amenity", "p.id", "p.lat", "p.lon")
+    names = F.create_map(*[F.lit(x) for kv in CATEGORY_NAMES.items() for x in kv])
+    rows = text.select(F.explode(flatten_pois(F.from_json("value", shape))).alias("p"))
+    return rows.select(F.coalesce(F.try_element_at(names, F.lower(F.trim("p.category"))), F.lower(F.trim("p.category"))).alias("category"), "p.amenity", "p.id", "p.lat", "p.lon", amenity_class(F.col("p.amenity")).alias("reach"))
+
+
+#: Reference systems of GeoJSON files: degrees, by any of their names, and the map projection in metres.
+DEGREES, METRES = re.compile(r"CRS84|EPSG:+4326$"), re.compile(r"EPSG:+(?:3857|900913)$")
 
 
 def zones(spark: SparkSession, path: str, name: str = "zone") -> DataFrame:
-    """(zone_index, zone, ring) of the outer rings of a GeoJSON file in WGS84."""
-    shape = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-    text = spark.read.text(path, wholetext=True)
-    f = text.select(F.posexplode(F.from_json("value", shape)["features"]).alias("zone_index", "f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.get(F.col("f.geometry.coordinates"), 0), lambda p: F.struct(F.get(p, 0).alias("lon"), F.get(p, 1).alias("lat")))
-    return f.select("zone_index", F.element_at("f.properties", name).alias("zone"), ring.alias("ring"))
+    """(zone_index, zone, ring, holes) of the polygons of a GeoJSON file in degrees, one row for each part of a multipolygon.
+    A file in map metres (EPSG 3857) is turned into degrees; one in another reference system is refused."""
+    shape = "crs struct<properties: struct<name: string>>, features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("g"))
+    systems = [r[0] for r in text.select("g.crs.properties.name").distinct().limit(2).collect()]
+    if len(systems) > 1 or (systems and systems[0] and not DEGREES.search(systems[0]) and not METRES.search(systems[0])):
+        raise ValueError(f"reference system {systems} isn't supported")
+    metres = bool(systems and systems[0] and METRES.search(systems[0]))
+    f = text.select(F.posexplode("g.features").alias("zone_index", "f"))
+    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    parts = F.when(kind == "Polygon", F.array(F.from_json(raw, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(raw, "array<array<array<array<double>>>>"))
+    f = f.select("zone_index", F.element_at("f.properties", name).alias("zone"), F.explode(parts).alias("rings"))
+    half = 20037508.342789244  # half of the earth's circumference in metres
+
+    def point(p: Column) -> Column:
+        x, y = F.get(p, 0), F.get(p, 1)
+        if metres:
+            x, y = x / half * 180, F.degrees(2 * F.atan(F.exp(y / half * F.lit(3.141592653589793))) - F.lit(1.5707963267948966))
+        return F.struct(x.alias("lon"), y.alias("lat"))
+
+    rings = F.transform("rings", lambda r: F.transform(r, point))
+    return f.select("zone_index", "zone", rings.alias("r")).select("zone_index", "zone", F.get("r", 0).alias("ring"), F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))).alias("holes"))
+
+
+# The stored tables of users, runs and feedback.
+STORED = {
+    "users": "user_id long, username string, email string, created_at timestamp",
+    "runs": "run_id string, user_id long, query string, status string, created_at timestamp, results_count int, final_sql string",
+    "feedback": "feedback_id long, run_id string, agent_name string, building_id string, rating int, comment string, user_id long, created_at timestamp",
+}
+
+
+def stored(spark: SparkSession, source: str, name: str, partitions: int = 8) -> DataFrame:
+    """A stored table of a folder of Parquet tables or of a database (a jdbc: address), with columns that an older store lacks
+    as null. A table that isn't there is empty. From a database it is read in parts by its first column, if that is a number."""
+    ddl = [c.strip().split(" ") for c in STORED[name].split(",")]
+    if source.startswith("jdbc:"):
+        key, kind = ddl[0]
+        bounds = spark.read.jdbc(source, f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {name}) b").first() if kind == "long" else None
+        split = {"column": key, "lowerBound": bounds["lo"], "upperBound": bounds["hi"] + 1, "numPartitions": partitions} if bounds and bounds["lo"] is not None else {}
+        df = spark.read.jdbc(source, name, **split)
+    else:
+        try:
+            df = spark.read.parquet(f"{source}/{name}.parquet")
+        except PySparkException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], STORED[name])
+    return add_columns(df, dict(ddl))
 
 
 def gazetteer(df: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from parcelspark.operators.finalise import feedback_export
 from parcelspark.operators.spatial import poi_tree
@@ -24,14 +26,30 @@ def pois_json(pois: DataFrame, path: str) -> None:
     poi_tree(pois).select(F.to_json("tree").alias("value")).write.mode("overwrite").text(path)
 
 
+def safe(c: Column, kind: DataType) -> Column:
+    """A value without NaN and infinities, at any depth: null stands in for them. Times come out in ISO form as JSON does it."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if not any(isinstance(k, (DoubleType, FloatType)) for k in leaves(kind)):
+        return c
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: safe(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda k, v: safe(v, kind.valueType))
+    return F.when(c.isNotNull(), F.struct(*[safe(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+
+
+def leaves(kind: DataType) -> list[DataType]:
+    if isinstance(kind, ArrayType):
+        return leaves(kind.elementType)
+    if isinstance(kind, MapType):
+        return leaves(kind.valueType)
+    return [x for f in kind.fields for x in leaves(f.dataType)] if isinstance(kind, StructType) else [kind]
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """df with NaN and infinities as null, so that it is valid JSON."""
-    out = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.col(f"`{f.name}`")
-            out[f.name] = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
-    return df.withColumns(out) if out else df
+    """df with NaN and infinities as null at any depth, so that it is valid JSON."""
+    return df.select(*[safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -55,6 +73,28 @@ def newest(names: list[str], keep: int = 10) -> tuple[list[str], list[str]]:
     return order[:keep], order[keep:]
 
 
+def keep_newest(spark: SparkSession, folder: str, keep: int = 10) -> list[str]:
+    """Delete all but the newest run files of a folder, by name; returns the names deleted. A folder that isn't there has none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    there = {s.getPath().getName(): s.getPath() for s in fs.listStatus(path)}
+    dropped = newest([n for n in there if not n.startswith((".", "_"))], keep)[1]
+    for n in dropped:
+        fs.delete(there[n], True)
+    return dropped
+
+
+def latex(df: DataFrame, caption: str, limit: int = 1000) -> str:
+    """A bounded table as a LaTeX table: numbers to 3 decimals, special characters escaped."""
+    escaped = lambda t: re.sub(r"([&%$#_{}])", r"\\\1", t.replace("\\", r"\textbackslash "))
+    cell = lambda v: "--" if v is None else f"{v:.3f}" if isinstance(v, float) else escaped(str(v))
+    rows = [" & ".join(map(cell, r)) + r" \\" for r in df.limit(limit).collect()]
+    head = " & ".join(map(escaped, df.columns)) + r" \\"
+    return "\n".join([r"\begin{table}", rf"\caption{{{escaped(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", head, r"\midrule", *rows, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
     """A bounded table as Markdown."""
     rows = df.limit(limit).collect()
