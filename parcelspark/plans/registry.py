@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 from parcelspark.functions import exprs as X
 from parcelspark.operators import filters, finalise, metrics, rollup, scoring, spatial, stats
 from parcelspark.plans import constraints, engine
+from parcelspark.plans.catalog import ORACLE_SQL, QUERIES, query
 from parcelspark.plans.tables import ESTATES_SQL, FEEDBACK_SQL, NEAR, POIS_SQL, distance_sql, estates, feedback, pois, table
 from parcelspark.sources import certificates, readers
 from parcelspark.streaming import events as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-Query = Callable[[SparkSession, str], DataFrame]
-
 E = "WITH " + ESTATES_SQL
 EP = f"WITH {ESTATES_SQL}, {POIS_SQL}"
 CENTRE = (45.03, 7.65)
@@ -28,16 +25,6 @@ ALL = "id, property_type, energy_class, surface_area, latitude, longitude"
 SHOWN = ALL.split(", ")
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def k1(v: str, t: float, op: str, exclusive: bool = False) -> str:
     """continuous_score as SQL, for positive thresholds."""
     strict = exclusive or op in (">", "<")
@@ -952,3 +939,8 @@ def _(spark, sf):
 @query("events_latest", "SELECT user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def _(spark, sf):
     return stream.latest(table(spark, sf, "events"))
+
+
+from parcelspark.plans import more_queries  # noqa: E402  they add themselves
+
+__all__ = ["ORACLE_SQL", "QUERIES", "more_queries"]
