@@ -33,10 +33,14 @@ def set_f1(expected: Column, found: Column) -> Column:
 
 
 def pairs_within(df: DataFrame, group: str, key: str, items: str) -> DataFrame:
-    """(group, a, b, iou) of each pair of sets within a group (trials of a query: few)."""
-    a = df.select(group, F.col(key).alias("a"), F.col(items).alias("__x"))
-    b = df.select(group, F.col(key).alias("b"), F.col(items).alias("__y"))
-    return a.join(b, group).where("a < b").select(group, "a", "b", iou(F.col("__x"), F.col("__y")).alias("iou"))
+    """(group, a, b, iou) of each pair of sets within a group (trials of a query: few). Sets are counted once each, so that
+    a pair costs one intersection. The result has as many rows as pairs, which a hot group's join shares among tasks."""
+    own = df.select(group, key, F.array_distinct(items).alias("__x")).withColumn("__n", F.size("__x"))
+    a = own.toDF(group, "a", "__x", "__n")
+    b = own.toDF(group, "b", "__y", "__m")
+    both = F.size(F.array_intersect("__x", "__y"))
+    pairs = a.join(b, group).where("a < b").select(group, "a", "b", both.alias("__b"), (F.col("__n") + F.col("__m")).alias("__s"))
+    return pairs.select(group, "a", "b", F.when(F.col("__s") == 0, 1.0).otherwise(F.col("__b") / (F.col("__s") - F.col("__b"))).alias("iou"))
 
 
 def overlap_pairs(df: DataFrame, key: str, item: str) -> DataFrame:

@@ -128,10 +128,10 @@ def flatten_pois(tree: Column) -> Column:
 
 
 def poi_tree(pois: DataFrame) -> DataFrame:
-    """The other way: one row, category -> amenity -> points, for a JSON file."""
+    """The other way: (category, tree), a category -> amenity -> points map of one category in each row, for JSON files."""
     points = pois.groupBy("category", "amenity").agg(F.array_sort(F.collect_list(F.struct("id", "lat", "lon"))).alias("points"))
     amenities = points.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("amenity", "points")))).alias("amenities"))
-    return amenities.agg(F.map_from_entries(F.collect_list(F.struct("category", "amenities"))).alias("tree"))  # maps have no order
+    return amenities.select("category", F.create_map("category", "amenities").alias("tree"))
 
 
 def relocate(pois: DataFrame, category: str, amenity: str, to: str) -> DataFrame:

@@ -23,7 +23,8 @@ def dataset(df: DataFrame, path: str, skip_existing: bool = True) -> bool:
 
 
 def pois_json(pois: DataFrame, path: str) -> None:
-    poi_tree(pois).select(F.to_json("tree").alias("value")).write.mode("overwrite").text(path)
+    """A folder with a nested JSON file for each category, so that no task holds more than one; readers.pois reads it."""
+    poi_tree(pois).select(F.to_json("tree").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def safe(c: Column, kind: DataType) -> Column:

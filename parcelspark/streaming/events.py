@@ -25,8 +25,13 @@ def latest(events: DataFrame, key: str = "user_id") -> DataFrame:
     return got.select(key, F.col("m.event_type").alias("event_type"), F.col("m.ts").alias("ts"))
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there, and give its result table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there, and give its result table, which each batch writes as Parquet: anew in complete mode,
+    else beside the others, by its number, so that a batch that is run again replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -179,7 +179,7 @@ def test_osm_and_trees(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "pois.json").write_text('{"Green ": {"park": [{"id": 1, "lat": 45.0, "lon": 7.0}]}}')
     p = readers.pois(spark, str(tmp_path / "pois.json"))
-    assert [tuple(r) for r in p.collect()] == [("green", "park", 1, 45.0, 7.0)]
+    assert [tuple(r) for r in p.collect()] == [("green", "park", 1, 45.0, 7.0, "neighbourhood")]
     sinks.pois_json(p, str(tmp_path / "out"))
     assert readers.pois(spark, str(tmp_path / "out")).count() == 1
     (tmp_path / "z.geojson").write_text('{"features": [{"properties": {"zone": "Z"}, "geometry": {"type": "Polygon", "coordinates": [[[7, 45], [8, 45], [8, 46], [7, 46]]]}}]}')
@@ -289,5 +289,5 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     batch.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
     s = events.hourly(events.read(spark, str(tmp_path / "in"), batch.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 1), "2 hours")
-    got = events.run_once(s.select("hour", "event_type", "n"), "hourly_test", str(tmp_path / "cp"))
+    got = events.run_once(s.select("hour", "event_type", "n"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, events.hourly(batch).select("hour", "event_type", "n").collect()))
