@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -255,10 +255,40 @@ def mime_of_base64(x: Column) -> Column:
     return reduce(lambda acc, k: F.when(x.startswith(k[0]), F.lit(k[1])).otherwise(acc), reversed(IMAGE_KINDS), F.lit(IMAGE_KINDS[0][1]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _mended(x: Column) -> Column:
+    """A text that is nearly JSON with its usual faults mended: escaped quotes around everything, Python's words and single
+    quotes, commas before a closing bracket, brackets left open at the end."""
+
+    def words(t: Column) -> Column:
+        for pattern, by in ((r"([:\[,{]\s*)'((?:[^'\"\\]|\\.)*)'(?=\s*[,\]}:])", '$1"$2"'), (r"([:\[,]\s*)True\b", "$1true"), (r"([:\[,]\s*)False\b", "$1false"), (r"([:\[,]\s*)None\b", "$1null"), (r",(?=\s*[}\]])", "")):
+            t = F.regexp_replace(t, pattern, by)
+        return t
+
+    missing = lambda t, o, c: F.greatest(F.regexp_count(t, F.lit(o)) - F.regexp_count(t, F.lit(c)), F.lit(0))
+    closed = lambda t: F.concat(t, F.repeat(F.lit("]"), missing(t, r"\[", r"\]")), F.repeat(F.lit("}"), missing(t, r"\{", r"\}")))
+    quoted = lambda t: F.when(t.rlike(r'(?<!\\)"'), t).otherwise(F.replace(t, F.lit('\\"'), F.lit('"')))
+    return let(x, lambda t: let(words(quoted(t)), closed))
+
+
+def json_value(x: Column) -> Column:
+    """The outermost object or list of a model's answer as a variant, after thoughts and outside a fence, if need be with
+    its usual faults mended; null if it isn't JSON (J16)."""
+    bare = F.trim(F.regexp_replace(x, r"(?s)<think>.*?</think>", ""))
+    inside = lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)```(?:json)?(.*?)```", 1), F.lit("")), t)
+    whole = lambda t: F.nullif(F.regexp_extract(t, r"(?s)([{\[].*[}\]])", 1), F.lit(""))
+    open_end = lambda t: F.nullif(F.regexp_extract(t, r"(?s)([{\[].*)", 1), F.lit(""))
+    tries = lambda t: F.coalesce(F.try_parse_json(whole(t)), F.try_parse_json(_mended(whole(t))), F.try_parse_json(_mended(open_end(t))))
+    return let(bare, lambda t: let(inside(t), tries))
+
+
 def json_object(x: Column) -> Column:
-    """The outermost {...} of a model's answer as a variant, after thoughts and fences; null if it isn't JSON."""
-    bare = F.regexp_replace(F.regexp_replace(x, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    return F.try_parse_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
+    """The same, where it is an object."""
+    return let(json_value(x), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def top_carriers(consumption: Column, heat_value: Column, n: int = 5) -> Column:

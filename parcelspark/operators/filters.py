@@ -277,6 +277,18 @@ def since_days(df: DataFrame, column: str, days: int, now: Column | None = None)
     return df.where(F.col(column) >= (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def dated_in_zone(df: DataFrame, date: str = "effective_date", zone: str = "omi_zone") -> DataFrame:
+    """Rows with a date and a zone that isn't empty."""
+    return df.where(F.col(date).isNotNull() & (F.trim(zone) != ""))
+
+
+def feedback_of(feedback: DataFrame, agent: str | None = None, building: str | None = None) -> DataFrame:
+    """Feedback on an agent, on a building, or, without either, on a run as a whole."""
+    if agent is not None:
+        return feedback.where(F.col("agent_name") == agent)
+    return feedback.where(F.col("building_id") == building if building is not None else F.col("agent_name").isNull() & F.col("building_id").isNull())
+
+
 def valid_energy(df: DataFrame, kwh: str, surface: str) -> DataFrame:
     """Rows whose use per square metre lies strictly between 0 and 1000."""
     use = F.col(kwh) / F.nullif(F.col(surface), F.lit(0.0))

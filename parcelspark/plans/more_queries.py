@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions import exprs as X
-from parcelspark.operators import evaluation, filters, finalise, scoring, spatial, stats
+from parcelspark.operators import evaluation, filters, finalise, metrics, scoring, spatial, stats
 from parcelspark.plans import constraints, engine
 from parcelspark.plans.catalog import query, scratch
 from parcelspark.plans.tables import ESTATES_SQL, FEEDBACK_SQL, POIS_SQL, estates, feedback, pois, table
@@ -79,6 +79,36 @@ def _(spark, sf):
     return spark.createDataFrame(list(readers.schema_of(table(spark, sf, "customer")).items()), "name string, kind string")
 
 
+@query("trace_payloads", "SELECT user_id AS run, event_type AS agent, arg_min(event_id, event_id) AS output FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2")
+def _(spark, sf):
+    path = scratch(spark, "traces")
+    k = F.col("event_id")
+    sinks.traces(table(spark, sf, "events").select(F.col("user_id").alias("run"), k.alias("position"), F.col("event_type").alias("agent"), F.when(k % 3 != 0, k).alias("output")), path)
+    got = spark.read.schema("run long, steps array<struct<position: long, agent: string, output: long>>").json(path)
+    return readers.trace_payloads(got.select("run", F.inline("steps")))
+
+
+@query(
+    "regional_extracts",
+    "SELECT region, count(*) AS n FROM (SELECT 'amsterdam' AS region FROM customer WHERE 990 + c_custkey % 150 BETWEEN 1000 AND 1109 UNION ALL SELECT 'dublin' FROM customer WHERE c_custkey % 4 IN (0, 1, 2) UNION ALL SELECT 'london' FROM customer WHERE c_custkey % 3 IN (0, 1) UNION ALL SELECT 'liege' FROM customer WHERE c_custkey % 3 IN (0, 1)) GROUP BY 1",
+)
+def _(spark, sf):
+    c = table(spark, sf, "customer")
+    df = c.select(
+        F.concat((990 + F.col("c_custkey") % 150).cast("string"), F.lit("AB")).alias("postcode"), F.expr(turns("c_custkey", ["Dublin 4", "Dublin 6W", " Co. Dublin", "Co. Cork"])).alias("county"),
+        F.expr(turns("c_custkey", ["London", " LONDON ", "Leeds"])).alias("posttown"), F.expr(turns("c_custkey", ["Liège", "LIEGE", "Namur"])).alias("commune"),
+    )
+    each = [readers.regional(df, r).groupBy(F.lit(r).alias("region")).agg(F.count("*").alias("n")) for r in ("amsterdam", "dublin", "london", "liege")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+@query("feedback_kinds", f"WITH {FEEDBACK_SQL} SELECT 'agent' AS kind, count(*) AS n FROM feedback WHERE agent_name = 'agent3' UNION ALL SELECT 'building', count(*) FROM feedback WHERE building_id = 'b7' UNION ALL SELECT 'run', count(*) FROM feedback WHERE agent_name IS NULL AND building_id IS NULL")
+def _(spark, sf):
+    f = feedback(spark, sf)
+    n = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return n(filters.feedback_of(f, agent="agent3"), "agent").unionByName(n(filters.feedback_of(f, building="b7"), "building")).unionByName(n(filters.feedback_of(f), "run"))
+
+
 # Text
 
 STREETS = ["10128 TORINO - C.SO Trapani 133", "VIA Roma 10 bis", "P.zza Castello", "Corso Re Umberto, 5 TO", " : via Po"]
@@ -285,9 +315,24 @@ def _(spark, sf):
     return filters.search_text(table(spark, sf, "orders"), "HIGH", ["o_orderpriority"]).select("o_orderkey").unionByName(filters.search_text(table(spark, sf, "orders"), "77", ["o_orderkey"]).select("o_orderkey")).distinct()
 
 
+@query("dated_in_zone", f"{E} SELECT id FROM estates WHERE CAST(id AS BIGINT) % 3 <> 0 AND CAST(id AS BIGINT) % 5 IN (1, 2, 3)")
+def _(spark, sf):
+    k = F.col("id").cast("long")
+    df = estates(spark, sf).withColumns({"effective_date": F.when(k % 3 != 0, F.current_date()), "omi_zone": F.when(k % 5 == 0, " ").when(k % 5 != 4, "C1")})
+    return filters.dated_in_zone(df).select("id")
+
+
 # Evaluation
 
 
+@query("recall_totals", "WITH e AS (SELECT DISTINCT l_orderkey AS q, l_linenumber AS c, l_returnflag AS o FROM lineitem), f AS (SELECT DISTINCT l_orderkey AS q, l_linenumber AS c, l_returnflag AS o FROM lineitem WHERE l_quantity > 20), r AS (SELECT e.q, count(*) AS n, count(f.q) AS k FROM e LEFT JOIN f USING (q, c, o) GROUP BY 1) SELECT round(sum(k) / sum(n), 6) AS micro, round(avg(k / n), 6) AS macro FROM r")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem")
+    rows = lambda d: d.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("column"), F.col("l_returnflag").alias("operator")).distinct()
+    got = metrics.recall_totals(metrics.gold_recall(rows(li), rows(li.where("l_quantity > 20"))))
+    return got.select(F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
+
+
 @query(
     "judge_means",
     "WITH j AS (SELECT *, l_tax > 0.03 AS a, l_discount > 0.05 AS r FROM lineitem), m AS (SELECT count(DISTINCT l_orderkey) AS samples, " + ", ".join(f"round(avg(CASE WHEN l_linenumber % 2 = {p} THEN CASE WHEN {c} THEN 1.0 ELSE 0.0 END END), 3) AS {n}" for n, c, p in (("accuracy_pros", "a", 1), ("accuracy_cons", "a", 0), ("relevance_pros", "r", 1), ("relevance_cons", "r", 0))) + " FROM j) SELECT samples, accuracy_pros, accuracy_cons, relevance_pros, relevance_cons FROM m",

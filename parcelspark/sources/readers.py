@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parcelspark.functions import exprs as X
+from parcelspark.operators.filters import newest_first
 from parcelspark.operators.finalise import add_columns
 from parcelspark.operators.spatial import flatten_pois
 from parcelspark.sources.certificates import wrapped
@@ -276,11 +277,37 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("file", X.file_name(F.input_file_name())).where(~F.col("file").contains("_tr"))
 
 
-def demo_rows(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    """Rows of a stored demo with id and coordinates, at most n (1 to 200)."""
+def demo_rows(spark: SparkSession, folder: str, n: int = 50) -> DataFrame:
+    """Rows of a stored demo with id and coordinates, at most n (1 to 200), with the demo's query and, from the first place
+    of its metadata, the city; without metadata the query is the folder's name."""
     df = semicolon_csv(spark, f"{folder}/results.csv")
-    got = df.where(F.col("id").isNotNull() & X.number(F.col("latitude")).isNotNull() & X.number(F.col("longitude")).isNotNull())
-    return got.orderBy("id").limit(min(max(n, 1), 200))
+    got = df.where((F.col("id") != "") & X.number(F.col("latitude")).isNotNull() & X.number(F.col("longitude")).isNotNull())
+    name = f"Demo: {folder.rstrip('/').rsplit('/', 1)[-1]}"
+    meta = demo_metadata(spark, folder)
+    query = meta["query"] if meta and meta["query"] else name
+    place = meta["place"] if meta else None
+    city = place.rsplit(",", 1)[-1].strip() if place and "," in place else None
+    return got.orderBy("id").limit(min(max(n, 1), 200)).withColumns({"demo_query": F.lit(query), "demo_city": F.lit(city).cast("string")})
+
+
+def demo_metadata(spark: SparkSession, folder: str) -> dict | None:
+    """query, timestamp, results_count and the first place of a demo; None without a file that can be read."""
+    shape = "query string, timestamp string, results_count int, location_data array<array<string>>"
+    try:
+        row = spark.read.text(f"{folder}/metadata.json", wholetext=True).select(F.from_json("value", shape).alias("m")).select("m.query", "m.timestamp", "m.results_count", F.get(F.get("m.location_data", 0), 0).alias("place")).first()
+    except PySparkException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return row.asDict() if row else None
+
+
+def demos(spark: SparkSession, folder: str) -> DataFrame:
+    """(demo_id, query, timestamp, results_count) of the folders that hold metadata, the newest first, those without a time last."""
+    shape = "query string, timestamp string, results_count int"
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(folder, wholetext=True)
+    rows = rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/metadata\.json$", 1).alias("demo_id"), F.from_json("value", shape).alias("m"))
+    return newest_first(rows.select("demo_id", "m.*"), "timestamp", "demo_id")
 
 
 def rule_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -59,6 +59,13 @@ def json_lines(df: DataFrame, path: str) -> None:
     safe.select(F.to_json(F.struct(*safe.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def traces(steps: DataFrame, path: str, run: str = "run", order: str = "position") -> None:
+    """A trace of each run as a JSON line: the run and its steps in order, with all fields, in a file for each part."""
+    fields = [c for c in steps.columns if c != run]
+    rows = json_safe(steps).groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in fields if c != order]))).alias("steps"))
+    rows.select(F.to_json(F.struct(run, "steps"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append to a store whose newest row of a key holds (see operators.finalise.latest)."""
     df.write.mode("append").parquet(path)

@@ -243,3 +243,26 @@ def test_sinks(spark, tmp_path):
     assert sinks.keep_newest(spark, str(tmp_path / "none")) == []
     text = sinks.latex(spark.createDataFrame([("a_b", 0.12345), (None, 1.0)], "name string, f1 double"), "T & U")
     assert r"a\_b & 0.123 \\" in text and "-- & 1.000" in text and r"\caption{T \& U}" in text
+
+
+def test_json_of_answers(spark):
+    """Thoughts, fences, Python words, single quotes, commas too many and brackets too few."""
+    texts = {
+        '<think>{"no": 1}</think>```json\n{"k": 1}\n``` and {x}': {"k": 1}, "Sure: {'k': 'it', 'b': True, 'n': None}": {"k": "it", "b": True, "n": None}, '{"k": [1, 2,], }': {"k": [1, 2]},
+        '{"k": [1, 2': {"k": [1, 2]}, '{\\"k\\": 3}': {"k": 3}, "no json": None, '{"k": "don\'t", "b": False}': {"k": "don't", "b": False}, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [v and json.loads(v) for v in column(df, F.to_json(X.json_object(F.col("t"))))] == list(texts.values())
+    lists = spark.createDataFrame([("here: [1, 2]",), ('{"a": [1]}',)], "t string").coalesce(1)
+    assert [json.loads(v) for v in column(lists, F.to_json(X.json_value(F.col("t"))))] == [[1, 2], {"a": [1]}] and column(lists, F.to_json(X.json_object(F.col("t"))))[0] is None
+
+
+def test_demos(spark, tmp_path):
+    for name, meta in (("one", {"query": "q1", "timestamp": "2024-02-01", "location_data": [["Porta Nuova, Torino", 45.0, 7.0]]}), ("two", {"timestamp": "2024-03-01"}), ("three", {})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata.json").write_text(json.dumps(meta, indent=1))
+        (tmp_path / name / "results.csv").write_text("id;latitude;longitude\n2;45,1;7.1\n1;45.0;7.0\n;1;1\n3;x;7\n")
+    assert column(readers.demos(spark, str(tmp_path)), "demo_id") == ["two", "one", "three"]
+    got = [(r.id, r.demo_query, r.demo_city) for r in readers.demo_rows(spark, str(tmp_path / "one")).collect()]
+    assert got == [("1", "q1", "Torino"), ("2", "q1", "Torino")]
+    assert [(r.id, r.demo_query, r.demo_city) for r in readers.demo_rows(spark, str(tmp_path / "two"), 1).collect()] == [("1", "Demo: two", None)]
