@@ -132,23 +132,31 @@ def larger(a: Column, x: Column) -> Column:
     return F.greatest(a, x)
 
 
-def levels(df: DataFrame, names: list[str], op: Callable[[Column, Column], Column] = add) -> DataFrame:
-    """df with `name`_1 .. beside each array column `name` of longs: runs of FAN values of the level below, taken together
-    by op (add or larger; 0 changes nothing). Null where the column is."""
-    for k in range(1, LEVELS):
-        below = lambda n, k=k: f"{n}_{k - 1}" if k > 1 else n
-        runs = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(c) - 1, F.lit(0)) / FAN).cast("int")), lambda r: F.aggregate(F.slice(c, r * FAN + 1, FAN), F.lit(0).cast("long"), op))
-        df = step(df, df.columns, *[F.when(F.col(below(n)).isNotNull(), runs(F.col(below(n)))).alias(f"{n}_{k}") for n in names])
-    return df
-
-
-def prefix(name: str, i: Column, op: Callable[[Column, Column], Column] = add) -> Column:
-    """op over the first i values of an array column that `levels` has been given: at most FAN values of each level."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def levels(values: Column, op: Callable[[Column, Column], Column] = add) -> Column:
+    """A struct of an array of longs (l0) and, level by level, of runs of FAN values of the one below (l1 ..), taken together
+    by op (add or larger; 0 changes nothing)."""
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(c) - 1, F.lit(0)) / FAN).cast("int")), lambda r: F.aggregate(F.slice(c, r * FAN + 1, FAN), F.lit(0).cast("long"), op))
+
+    def build(done: list[Column]) -> Column:
+        if len(done) == LEVELS:
+            return F.struct(*[c.alias(f"l{k}") for k, c in enumerate(done)])
+        return let(runs(done[-1]), lambda c: build([*done, c]))
+
+    return let(values, lambda c: build([c]))
+
+
+def prefix(sums: Column, i: Column, op: Callable[[Column, Column], Column] = add) -> Column:
+    """op over the first i values that `levels` has been given: at most FAN values of each level."""
     out = F.lit(0).cast("long")
     for k in range(LEVELS):
-        c, high = F.col(f"{name}_{k}" if k else name), F.floor(i / FAN**k).cast("int")
+        high = F.floor(i / FAN**k).cast("int")
         low = F.floor(i / FAN ** (k + 1)).cast("int") * FAN if k < LEVELS - 1 else F.lit(0)
-        out = F.aggregate(F.slice(c, low + 1, high - low), out, op)
+        out = F.aggregate(F.slice(sums[f"l{k}"], low + 1, high - low), out, op)
     return out
 
 
@@ -182,15 +190,15 @@ def find(docs: DataFrame, id_cols: list[str], text_col: str = "text", scoring: S
     # The length of each match and of the gap after it: a match begins after the first gap and all such before it.
     def lens(k: Kind) -> Column:
         both = F.transform(m[k.name], lambda x, i: (F.length(x) + F.length(F.get(F.col(f"__g_{k.name}"), i + 1))).cast("long"))
-        return F.when(F.col(f"__g_{k.name}").isNotNull(), both).alias(f"__l_{k.name}")
+        return F.when(F.col(f"__g_{k.name}").isNotNull(), levels(both)).alias(f"__l_{k.name}")
 
     first = [F.length(F.get(F.col(f"__g_{k.name}"), 0)).cast("long").alias(f"__f_{k.name}") for k in kinds]
-    df = levels(step(df, [*own, *m.values()], *first, *map(lens, kinds)), [f"__l_{k.name}" for k in kinds])
+    df = step(df, [*own, *m.values()], *first, *map(lens, kinds))
 
     def places(k: Kind) -> Column:
         get = lambda i: F.get(F.col(m[k.name]), i)
         passed = F.filter(F.sequence(F.lit(0), F.size(m[k.name]) - 1), lambda i: k.check(get(i)))
-        begun = F.transform(passed, lambda i: F.struct((F.col(f"__f_{k.name}") + prefix(f"__l_{k.name}", i)).alias("s"), F.length(get(i)).alias("n")))
+        begun = F.transform(passed, lambda i: F.struct((F.col(f"__f_{k.name}") + prefix(F.col(f"__l_{k.name}"), i)).alias("s"), F.length(get(i)).alias("n")))
         named = F.transform(begun, lambda x: F.struct(F.lit(k.name).alias("kind"), x["s"].alias("s"), (x["s"] + x["n"]).alias("e")))
         return F.when(F.col(f"__l_{k.name}").isNotNull(), named).otherwise(F.array().cast(SPANS))
 
@@ -210,12 +218,13 @@ def find(docs: DataFrame, id_cols: list[str], text_col: str = "text", scoring: S
     order = lambda spans, base: F.transform(spans, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.lit(base).alias("base"), p["kind"].alias("kind")))
     every = F.array_sort(F.concat(order(F.col("__base"), True), order(F.col("__sure"), False)))
     df = step(df, df.columns, F.when((F.size("__sure") > 0) & (F.size("__base") > 0), every).alias("__all"))
-    df = levels(step(df, df.columns, F.transform("__all", lambda p: F.when(p["base"], p["e"]).otherwise(F.lit(0).cast("long"))).alias("__ends")), ["__ends"], larger)
+    ends = F.transform("__all", lambda p: F.when(p["base"], p["e"]).otherwise(F.lit(0).cast("long")))
+    df = step(df, df.columns, F.when(F.col("__all").isNotNull(), levels(ends, larger)).alias("__ends"))
 
     def free(p: Column, i: Column) -> Column:
         # As many spans of each kind begin within a span as it has characters, at most.
         within = F.slice("__all", i + 2, ((p["e"] - p["s"]) * len(kinds)).cast("int"))
-        return ~p["base"] & (prefix("__ends", i, larger) <= p["s"]) & ~F.exists(within, lambda q: q["base"] & (q["s"] < p["e"]))
+        return ~p["base"] & (prefix(F.col("__ends"), i, larger) <= p["s"]) & ~F.exists(within, lambda q: q["base"] & (q["s"] < p["e"]))
 
     left = F.transform(F.filter("__all", free), lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
     df = step(df, [*own, "__base"], F.when(F.col("__all").isNull(), F.col("__sure")).otherwise(left).alias("__left"))
@@ -248,9 +257,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df, kept = find(packed, [*own.values(), "__null"], "__t"), [*own.values(), "__null", "__text"]
     by_start = F.array_sort(F.transform(F.concat("__base", "__more"), lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), p["kind"].alias("kind"))))
     df = step(df, kept, F.when(F.size("__base") + F.size("__more") > 0, by_start).alias("__spans"))
-    df = step(df, df.columns, F.transform("__spans", lambda p: -p["e"]).alias("__ends"), F.when(F.col("__spans").isNotNull(), cut_text(F.col("__text"))).alias("__pieces"))
-    df = levels(df, ["__ends"], larger)
-    upto = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: prefix("__ends", i, larger))
+    ends, some = F.transform("__spans", lambda p: -p["e"]), F.col("__spans").isNotNull()
+    df = step(df, df.columns, F.when(some, levels(ends, larger)).alias("__ends"), F.when(some, cut_text(F.col("__text"))).alias("__pieces"))
+    upto = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: prefix(F.col("__ends"), i, larger))
     df = step(df, [*kept, "__spans", "__pieces"], F.when(F.col("__spans").isNotNull(), upto).alias("__upto"))
     span = lambda i: F.get(F.col("__spans"), i)
     done = lambda i: F.get(F.col("__upto"), i)
