@@ -25,6 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.llm.common import slices
+
 LEAF_CHARS = 4096
 LEAF_BYTES = 256
 SEAM_CHARS = 64
@@ -150,11 +152,9 @@ def encode_docs(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(path, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):  # bounds the ids held at once
-                part = b.slice(at, 500)
-                rows = [one(codec, t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
+        for b in slices(batches):
+            rows = [one(codec, t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
 
     ddl = f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return docs.mapInArrow(run, ddl)

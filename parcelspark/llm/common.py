@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,13 @@ def drop_cut(*frames: DataFrame) -> None:
             fs.delete(p, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows: what Python makes of a batch is held until its end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file; TOKENIZER_DIR may name another folder."""
     own = os.environ.get("TOKENIZER_DIR")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm.common import cut, prefix_sums
+from parcelspark.llm.common import slices as batch_slices
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -234,7 +235,7 @@ def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batch_slices(batches):
             n = b.num_columns
             parts = [slices(t.as_py(), [(x["low"], x["high"]) for x in w.as_py()], z.as_py()) for t, z, w in zip(b.column(at), b.column(n - 2), b.column(n - 1), strict=True)]
             columns = list(b.columns)[: n - 2]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import SPACES, cut, drop_cut
+from parcelspark.llm.common import SPACES, cut, drop_cut, slices
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -62,7 +62,7 @@ class Rules:
     common_share: float = 0.005  # of all documents: lines in so many different ones are boilerplate
     common_docs: int = 25  # and in so many at least
     common_around: float = 0.5  # if they stand between different lines in so large a share of them
-    lost_share: float = 0.5  # a document that loses more of its word characters is rejected
+    lost_share: float = 0.7  # a document that loses more of its word characters is rejected
 
 
 def line_hash(body: str) -> int:
@@ -221,7 +221,7 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t.as_py(), rules, common) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], [id_col, *names])
 
@@ -236,7 +236,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t.as_py(), rules, common) for t in b.column(at)]
             columns = list(b.columns)
             columns[at] = pa.array([r["clean_text"] for r in rows], pa.string())

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from parcelspark.llm.common import components, cut, drop_cut
+from parcelspark.llm.common import components, cut, drop_cut, slices
 
 MAX_BITS = 2
 SHINGLE_WORDS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             values = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), values], ["id", "fp"])
 
@@ -153,7 +153,7 @@ def keep_one(docs: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
         own = f"_{own}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             values = pa.array([fingerprint(t.as_py()) for t in b.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, values], [*names, own])
 

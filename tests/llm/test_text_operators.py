@@ -356,7 +356,7 @@ def verdict(text, common=()):
     lost = sum(len(re.sub(WHITE, "", lines[i])) for i in gone)
     n, chars, _, _, again = figures(text)
     base = n < 20 or 100 * again > 30 * n
-    return not base and lost <= 0.5 * chars, lost, "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return not base and lost <= 0.7 * chars, lost, "\n".join(x for i, x in enumerate(lines) if i not in gone)
 
 
 LINES = [
