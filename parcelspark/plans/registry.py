@@ -599,18 +599,24 @@ def _(spark, sf):
     return engine.condition_counts(estates(spark, sf), tests).select(mask.alias("mask"), "n")
 
 
-# Eight conditions of three weaker levels each, the first of them hard: column, operator, thresholds from asked to high.
-RELAXED = (
+Conditions = tuple[tuple[str, str, tuple[int, int, int, int]], ...]
+# Conditions of three weaker levels each beside a hard one: column, operator, thresholds from asked to high. The first eight
+# find too little at any level, so that most are dropped; the second find enough at some level, which one depends on the size.
+RELAXED_FAR: Conditions = (
     ("mobility", ">=", (60, 55, 40, 20)), ("green", ">=", (70, 60, 40, 10)), ("sport", ">=", (80, 70, 50, 20)), ("education", ">=", (75, 65, 45, 15)),
     ("healthcare", "<=", (20, 30, 50, 80)), ("commercial", ">=", (85, 75, 55, 25)), ("surface_area", ">=", (300, 250, 200, 100)),
 )
-ENOUGH = 40
+RELAXED_NEAR: Conditions = (("mobility", ">=", (99, 97, 90, 60)), ("surface_area", ">=", (480, 470, 440, 300)))
 
 
-def relaxed_sql() -> str:
+def relaxed_sql(asked: Conditions, enough: int) -> str:
     """The greedy search in SQL: every trial's rows are counted after the state before it, as a chain of one-row tables."""
-    test = lambda i, level: f"{RELAXED[i][0]} {RELAXED[i][1]} CASE {level} WHEN 0 THEN {RELAXED[i][2][0]} WHEN 1 THEN {RELAXED[i][2][1]} WHEN 2 THEN {RELAXED[i][2][2]} ELSE {RELAXED[i][2][3]} END"
-    n = len(RELAXED)
+
+    def test(i: int, level: str) -> str:
+        column, op, limits = asked[i]
+        return f"{column} {op} CASE {level} " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(limits)) + " END"
+
+    n = len(asked)
     ok = lambda levels: " AND ".join(["(property_type = 'ECONOMY')", *[f"({levels[i]} = 4 OR {test(i, levels[i])})" for i in range(n)]])
     steps = [f"s0 AS MATERIALIZED (SELECT {', '.join(f'0 AS c{i}' for i in range(n))}, count(*) AS n0, count(*) AS n FROM estates WHERE {ok(['0'] * n)})"]
     k = 0
@@ -619,23 +625,32 @@ def relaxed_sql() -> str:
             to = [str(level) if j == i else f"s{k}.c{j}" for j in range(n)]
             trial = f"(SELECT count(*) FROM estates WHERE {ok(to)})"
             steps.append(f"t{k} AS MATERIALIZED (SELECT s{k}.*, {trial} AS t FROM s{k})")
-            take = f"n < {ENOUGH} AND (t >= {ENOUGH} OR t > n0)"
+            take = f"n < {enough} AND (t >= {enough} OR t > n0)"
             cols = ", ".join(f"CASE WHEN {take} THEN {level} ELSE c{j} END AS c{j}" if j == i else f"c{j}" for j in range(n))
             steps.append(f"s{k + 1} AS MATERIALIZED (SELECT {cols}, n0, CASE WHEN {take} THEN t ELSE n END AS n FROM t{k})")
             k += 1
     end = ok([f"s{k}.c{j}" for j in range(n)])
-    return f"{E}, {', '.join(steps)} SELECT {ALL}, {', '.join(f'CAST(c{j} AS INT) AS level_{RELAXED[j][0]}' for j in range(n))} FROM estates, s{k} WHERE {end}"
+    return f"{E}, {', '.join(steps)} SELECT {ALL}, {', '.join(f'CAST(c{j} AS INT) AS level_{asked[j][0]}' for j in range(n))} FROM estates, s{k} WHERE {end}"
 
 
-@query("relaxed_search", relaxed_sql())
-def _(spark, sf):
+def _relaxed(spark: SparkSession, sf: str, asked: Conditions, enough: int) -> DataFrame:
     df = estates(spark, sf)
     test = lambda c, op, t: F.col(c) >= t if op == ">=" else F.col(c) <= t
     parts = [engine.Conjunct("type", F.col("property_type") == "ECONOMY", hard=True)]
-    parts += [engine.Conjunct(c, test(c, op, t[0]), variants=tuple(zip(engine.LEVELS, (test(c, op, x) for x in t[1:]), strict=True))) for c, op, t in RELAXED]
-    found = engine.relax(df, parts, enough=ENOUGH)
+    parts += [engine.Conjunct(c, test(c, op, t[0]), variants=tuple(zip(engine.LEVELS, (test(c, op, x) for x in t[1:]), strict=True))) for c, op, t in asked]
+    found = engine.relax(df, parts, enough=enough)
     at = ("asked", *engine.LEVELS, "dropped")
-    return df.where(found.condition).select(*SHOWN, *[F.lit(at.index(level)).alias(f"level_{c}") for (c, _, _), level in zip(RELAXED, found.levels[1:], strict=True)])
+    return df.where(found.condition).select(*SHOWN, *[F.lit(at.index(level)).alias(f"level_{c}") for (c, _, _), level in zip(asked, found.levels[1:], strict=True)])
+
+
+@query("relaxed_search", relaxed_sql(RELAXED_FAR, 40))
+def _(spark, sf):
+    return _relaxed(spark, sf, RELAXED_FAR, 40)
+
+
+@query("relaxed_to_a_level", relaxed_sql(RELAXED_NEAR, engine.ENOUGH_ROWS))
+def _(spark, sf):
+    return _relaxed(spark, sf, RELAXED_NEAR, engine.ENOUGH_ROWS)
 
 
 # Constraint layer and evaluation
