@@ -192,11 +192,6 @@ def _(spark, sf):
     return got.select("type", "id", F.round(F.col("lat") + 0.00000371, 4).alias("lat"))  # moved off the places where rounding turns
 
 
-@query("marker_clusters_counted", f"{E} SELECT CAST(floor((longitude + 180) / 360 * (256 * 8192.0 / 75)) AS BIGINT) AS cell_x, count(*) AS n FROM estates GROUP BY 1")
-def _(spark, sf):
-    return spatial.marker_clusters(estates(spark, sf), 13).groupBy("cell_x").agg(F.sum("n").alias("n"))
-
-
 @query("poi_relocated", f"WITH {POIS_SQL} SELECT CASE WHEN category = 'green' AND amenity = 'stop' THEN 'mobility' ELSE category END AS category, count(*) AS n FROM pois GROUP BY 1")
 def _(spark, sf):
     return spatial.relocate(pois(spark, sf), "green", "stop", "mobility").groupBy("category").agg(F.count("*").alias("n"))

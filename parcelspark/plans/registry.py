@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -935,9 +934,13 @@ def _(spark, sf):
     return metrics.edges_by_line(s, part="part")
 
 
-@query("marker_clusters")
+@query(
+    "marker_clusters",
+    f"{E}, p AS (SELECT latitude, longitude, (longitude + 180) / 360 AS x, 0.5 - ln((1 + sin(radians(latitude))) / (1 - sin(radians(latitude)))) / (4 * pi()) AS y, 256 * 8192.0 / 75 AS scale FROM estates) SELECT CAST(floor(x * scale) AS BIGINT) AS cell_x, CAST(floor(y * scale) AS BIGINT) AS cell_y, count(*) AS n, round(avg(latitude), 5) AS lat, round(avg(longitude), 5) AS lon FROM p GROUP BY 1, 2",
+)
 def _(spark, sf):
-    return spatial.marker_clusters(estates(spark, sf), 13)
+    got = spatial.marker_clusters(estates(spark, sf), 13)
+    return got.select("cell_x", "cell_y", "n", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
 @query("seeded_sample")

@@ -266,3 +266,39 @@ def test_demos(spark, tmp_path):
     got = [(r.id, r.demo_query, r.demo_city) for r in readers.demo_rows(spark, str(tmp_path / "one")).collect()]
     assert got == [("1", "q1", "Torino"), ("2", "q1", "Torino")]
     assert [(r.id, r.demo_query, r.demo_city) for r in readers.demo_rows(spark, str(tmp_path / "two"), 1).collect()] == [("1", "Demo: two", None)]
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    """The same rows however the table is parted, spread over it, and all of a small table."""
+    df = spark.range(900).withColumnRenamed("id", "k")
+    order = [r.k for r in df.withColumn("h", F.xxhash64("k", F.lit(42))).orderBy("h", "k").collect()]
+    for parts in (1, 6):
+        assert sorted(column(readers.sample(df.repartition(parts), "k", 90), "k")) == sorted(order[:90])
+    assert readers.sample(df, "k", 5000).count() == 900 and 250 < sum(order[:90]) / 90 < 650
+
+
+def test_gazetteer_and_landmarks(spark):
+    nodes = spark.createDataFrame([({"addr:street": " Via Po ", "addr:housenumber": "7A", "addr:city": "Torino"}, 7.0, 45.0), ({"name": "x"}, 7.1, 45.1), ({"addr:street": "Via X"}, 7.2, 45.2)], "tags map<string,string>, lon double, lat double")
+    assert sorted(map(tuple, readers.gazetteer(nodes).select("street", "house_number", "city").collect()), key=str) == [("via po", "7a", "torino"), ("via x", None, None)]
+
+
+def test_rule_documents_and_lines(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.txt").write_text("rules à")
+    (tmp_path / "docs/b.bin").write_bytes(bytes([255, 254, 0, 1]))
+    assert {r.file: r.text for r in readers.rule_documents(spark, str(tmp_path / "docs")).collect()} == {"a.txt": "rules à", "b.bin": "//4AAQ=="}
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines/M1.csv").write_text("name;x\nA;1\nB;2\n\nC;3\n")
+    (tmp_path / "lines/M2.csv").write_text("name,x\nB,1\nA,2\n")
+    from parcelspark.operators import metrics
+
+    got = readers.metro_lines(spark, str(tmp_path / "lines"))
+    assert sorted((r.line, r.name) for r in got.collect()) == [("M1", "A"), ("M1", "B"), ("M1", "C"), ("M2", "A"), ("M2", "B")]
+    assert sorted(map(tuple, metrics.edges_by_line(got).collect())) == [("A", "B", "M1/M2"), ("B", "C", "M1")]
+
+
+def test_result_documents(spark, tmp_path):
+    for name in ("query_1.json", "query_1_tr2.json", "other.json"):
+        (tmp_path / name).write_text(json.dumps({"query": name, "ranking": [{"id": "a", "score": 1.0}]}, indent=1))
+    got = readers.results(spark, str(tmp_path)).collect()
+    assert [(r.file, r.query, r.ranking[0].id) for r in got] == [("query_1.json", "query_1.json", "a")]
