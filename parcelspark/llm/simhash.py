@@ -105,7 +105,9 @@ def distance(a: Column, b: Column) -> Column:
 
 def pigeonring_edges(fps: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """Edges (a, b) of all pairs of distinct fingerprints `fp` within MAX_BITS."""
-    keys = cut(fps.select("fp", F.inline(outer_keys())), "ring")
+    # Each fingerprint gives dozens of rows, so their few bytes are dealt to as many tasks as a shuffle has.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = cut(fps.select("fp").repartition(tasks, "fp").select("fp", F.inline(outer_keys())), "ring")
     # Two that only ask don't meet, so a key counts if one is listed there.
     size = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("asks").alias("none")).where("n > 1 and not none")
     shared = cut(keys.join(size.select("key", (F.col("n") > split_over).alias("hot")), "key"), "ring-shared")
