@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -54,15 +55,56 @@ def overlap_pairs(df: DataFrame, key: str, item: str) -> DataFrame:
     return got.select("a", "b", (F.col("__s") / (F.col("__na") + F.col("__nb") - F.col("__s"))).alias("iou"))
 
 
+def overlap_counts(df: DataFrame, group: str, key: str, items: str, most: int = 12) -> DataFrame:
+    """(group, both, sizes, pairs): the number of pairs within a group that share `both` items and whose sizes add up to
+    `sizes`, for figures over all pairs without a row for each. Keys are distinct within a group; a null set is in no pair.
+
+    Equal sets count together. A set of n items then goes the way that costs less, its 2^n subsets (up to `most` items)
+    or the d distinct sets of its group. Sets that hold a subset of k items, squared and summed over all subsets, count
+    each pair once for every k of its shared items, from which the numbers by shared items follow exactly. The other
+    sets meet all of the group one by one.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(items).isNotNull())
+    sets = rows.select(group, F.array_sort(F.array_distinct(items)).alias("__x")).groupBy(group, "__x").agg(F.count("*").alias("__c"))
+    many = sets.groupBy(group).agg(F.count("*").alias("__d"))
+    n = F.size("__x")
+    sets = sets.join(many, group).select(group, "__x", "__c", n.alias("__n"), ((n <= most) & (F.pow(F.lit(2.0), n) <= F.col("__d"))).alias("__way"))
+    small = sets.where("__way")
+    none = F.array(F.slice("__x", 1, 0))
+    subsets = F.aggregate("__x", none, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
+    held = small.select(group, "__n", "__c", F.explode(subsets).alias("__t")).groupBy(group, "__t")
+    by = held.agg(*[F.sum(F.when(F.col("__n") == i, F.col("__c")).otherwise(0)).alias(f"__h{i}") for i in range(most + 1)])
+    both = lambda t: reduce(lambda a, b: a + b, [F.col(f"__h{i}") * F.col(f"__h{t - i}") for i in range(max(0, t - most), min(t, most) + 1)])
+    squares = by.groupBy(group, F.size("__t").alias("__k")).agg(*[F.sum(both(t)).alias(f"__p{t}") for t in range(2 * most + 1)])
+    squares = squares.select(group, "__k", F.inline(F.array(*[F.struct(F.lit(t).alias("sizes"), F.col(f"__p{t}").alias("__p")) for t in range(2 * most + 1)]))).where("__p > 0")
+    signed = F.array(*[F.array(*[F.struct(F.lit(s).alias("both"), F.lit((-1) ** (k - s) * math.comb(k, s)).cast("long").alias("f")) for s in range(k + 1)]) for k in range(most + 1)])
+    parts = squares.select(group, "sizes", "__p", F.inline(F.get(signed, F.col("__k")))).select(group, "both", "sizes", (F.col("f") * F.col("__p")).alias("pairs"))
+    self_pairs = small.groupBy(group, "__n").agg(F.sum("__c").alias("__c")).select(group, F.col("__n").alias("both"), (2 * F.col("__n")).alias("sizes"), (-F.col("__c")).alias("pairs"))
+    ordered = parts.unionByName(self_pairs).groupBy(group, "both", "sizes").agg(F.sum("pairs").alias("pairs"))
+    a = sets.where("not __way").select(group, "__x", "__n", "__c")
+    b = sets.select(group, F.col("__x").alias("__y"), F.col("__n").alias("__m"), F.col("__c").alias("__e"), "__way")
+    number = F.when(~F.col("__way") & (F.col("__x") == F.col("__y")), F.expr("__c * (__c - 1) div 2")).otherwise(F.col("__c") * F.col("__e"))
+    plain = a.join(b, group).where(F.col("__way") | (F.col("__x") <= F.col("__y"))).select(group, F.size(F.array_intersect("__x", "__y")).alias("both"), (F.col("__n") + F.col("__m")).alias("sizes"), number.alias("pairs"))
+    every = ordered.select(group, "both", "sizes", F.expr("pairs div 2").alias("pairs")).unionByName(plain)
+    return every.groupBy(group, "both", "sizes").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+
+
+def _mean_overlap() -> Column:
+    """The mean overlap of pairs from (both, sizes, pairs)."""
+    each = F.when(F.col("sizes") == 0, 1.0).otherwise(F.col("both") / (F.col("sizes") - F.col("both")))
+    return F.sum(each * F.col("pairs")) / F.sum("pairs")
+
+
 def self_consistency(df: DataFrame, group: str, key: str, items: str) -> DataFrame:
     """One row: the mean over groups of the mean pair overlap within the group, and the number of groups with pairs."""
     per = pairs_within(df, group, key, items).groupBy(group).agg(F.avg("iou").alias("m"))
     return per.agg(F.avg("m").alias("consistency"), F.count("*").alias("groups"))
 
 
-def ranking_impact(pairs: DataFrame) -> DataFrame:
-    """One row from (iou): 1 - mean overlap, and the share of pairs that share nothing."""
-    return pairs.agg((1 - F.avg("iou")).alias("impact"), F.avg((F.col("iou") == 0).cast("int")).alias("zero_share"))
+def ranking_impact(df: DataFrame, group: str, key: str, items: str) -> DataFrame:
+    """One row over all pairs within groups: 1 - mean overlap, and the share of pairs that share nothing."""
+    nothing = F.sum(F.when((F.col("both") == 0) & (F.col("sizes") > 0), F.col("pairs")).otherwise(0))
+    return overlap_counts(df, group, key, items).agg((1 - _mean_overlap()).alias("impact"), (nothing / F.sum("pairs")).alias("zero_share"))
 
 
 def consensus(df: DataFrame, group: str, trial: str, signature: str) -> DataFrame:

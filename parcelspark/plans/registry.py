@@ -694,7 +694,7 @@ def _(spark, sf):
 
 @query("ranking_impact", f"WITH {RANK_SQL}, p AS (SELECT {IOU} AS iou FROM r a JOIN r b ON a.g = b.g AND a.k < b.k) SELECT round(1 - avg(iou), 6) AS impact, round(avg(CASE WHEN iou = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share FROM p")
 def _(spark, sf):
-    got = metrics.ranking_impact(metrics.pairs_within(_rankings(spark, sf), "g", "k", "items"))
+    got = metrics.ranking_impact(_rankings(spark, sf), "g", "k", "items")
     return got.select(F.round("impact", 6).alias("impact"), F.round("zero_share", 6).alias("zero_share"))
 
 

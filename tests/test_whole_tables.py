@@ -1,5 +1,7 @@
 """Registered queries against brute force on small tables whose ids no fixed range or remainder selects."""
 
+import random
+from collections import Counter
 from datetime import datetime
 from itertools import combinations
 
@@ -124,3 +126,22 @@ def test_sub_properties_explode(spark, sf):
     want = [(p, len(u), min(s for _, s in u), ",".join(sorted(i for i, _ in u))) for p, u in parcels.items()]
     got = run(spark, sf, "sub_properties_explode")
     assert sorted(got) == sorted(want) and max(n for _, n, *_ in got) == 4
+
+
+def test_overlap_counts(spark):
+    """Pairs by shared items and sizes: copies, empty, null and large sets, a small group, and a group of 2 * 10^10 pairs."""
+    rng = random.Random(3)
+    few = [("a", k, rng.sample(range(6), rng.randint(0, 4)) + [1] * (k % 2)) for k in range(60)]
+    large = [("b", k, rng.sample(range(40), rng.choice((1, 2, 14, 20)))) for k in range(40)]
+    rows = [*few, *large, ("b", 99, large[0][2]), ("c", 1, [1, 2, 3]), ("c", 2, [3, 4]), ("d", 1, [1]), ("e", 1, None), ("e", 2, [1]), (None, 1, [1]), (None, 2, [1]), ("f", None, [1]), ("f", 1, [None, 1]), ("f", 2, [None])]
+    df = spark.createDataFrame(rows, "g string, k long, items array<long>")
+    want = Counter()
+    for (g, i, x), (h, j, y) in combinations(rows, 2):
+        if g is not None and g == h and None not in (i, j) and x is not None and y is not None:
+            want[g, len(set(x) & set(y)), len(set(x)) + len(set(y))] += 1
+    assert {(r.g, r.both, r.sizes): r.pairs for r in metrics.overlap_counts(df, "g", "k", "items").collect()} == dict(want)
+    own = spark.range(200_000).selectExpr("'g' AS g", "id AS k", "filter(sequence(0, 5), i -> (id >> i) % 2 = 1) AS items")
+    sets = Counter(sum(1 << i for i in range(6) if k >> i & 1) for k in range(200_000))
+    zero = sum(n * m for a, n in sets.items() for b, m in sets.items() if a < b and not a & b)
+    got = metrics.ranking_impact(own, "g", "k", "items").first()
+    assert got.zero_share == pytest.approx(zero / (200_000 * 199_999 / 2), abs=1e-12)
