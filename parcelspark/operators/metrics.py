@@ -97,7 +97,7 @@ def _mean_overlap() -> Column:
 
 def self_consistency(df: DataFrame, group: str, key: str, items: str) -> DataFrame:
     """One row: the mean over groups of the mean pair overlap within the group, and the number of groups with pairs."""
-    per = pairs_within(df, group, key, items).groupBy(group).agg(F.avg("iou").alias("m"))
+    per = overlap_counts(df, group, key, items).groupBy(group).agg(_mean_overlap().alias("m"))
     return per.agg(F.avg("m").alias("consistency"), F.count("*").alias("groups"))
 
 
