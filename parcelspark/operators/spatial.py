@@ -52,6 +52,25 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, lat: str =
     return joined.where(F.col("distance_km") <= radius_km).drop("__band", "__cell")
 
 
+def radius_join_by_place(left: DataFrame, right: DataFrame, radius_km: float, digits: int | None = None, lat: str = "latitude", lon: str = "longitude", right_lat: str = "lat", right_lon: str = "lon") -> DataFrame:
+    """radius_join, with distances rounded to some digits, for points that share their places: each pair of places is looked
+    for and measured once, then given to the rows that lie there, the side listed first being the smaller. Where most points
+    have a place of their own, which an estimate tells, rows are joined directly, as pairs of places would only be shuffled."""
+    shown = lambda df: df.withColumn("distance_km", F.round("distance_km", digits)) if digits is not None else df
+    rows = lambda df, y, x: df.agg(F.count("*"), F.approx_count_distinct(F.struct(y, x))).first()
+    (n, n_places), (m, m_places) = rows(left, lat, lon), rows(right, right_lat, right_lon)
+    if n * m < 4 * n_places * m_places:
+        return shown(radius_join(left, right, radius_km, lat, lon, right_lat, right_lon))
+    a = left.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon")).distinct()
+    b = right.select(F.col(right_lat).alias("__right_lat"), F.col(right_lon).alias("__right_lon")).distinct()
+    near = shown(radius_join(a, b, radius_km, "__lat", "__lon", "__right_lat", "__right_lon"))
+    there = near.join(right, (F.col("__right_lat") == F.col(right_lat)) & (F.col("__right_lon") == F.col(right_lon))).drop("__right_lat", "__right_lon")
+    # Small tables may come in one partition, also where the result is large.
+    there = there.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = there.join(left, (F.col("__lat") == F.col(lat)) & (F.col("__lon") == F.col(lon)))
+    return both.select(*left.columns, *right.columns, "distance_km")
+
+
 @dataclass(frozen=True)
 class Place:
     name: str

@@ -243,8 +243,8 @@ PAIR = distance_sql("e.latitude", "e.longitude", "p.lat", "p.lon")
 
 @query("poi_within_radius", f"{EP} SELECT e.id, p.poi_id, round({PAIR}, 4) AS distance_km FROM estates e, pois p WHERE {PAIR} <= 1.2")
 def _(spark, sf):
-    near = spatial.radius_join(estates(spark, sf), pois(spark, sf), 1.2)
-    return near.select("id", "poi_id", F.round("distance_km", 4).alias("distance_km"))
+    near = spatial.radius_join_by_place(estates(spark, sf).select("id", "latitude", "longitude"), pois(spark, sf).select("poi_id", "lat", "lon"), 1.2, 4)
+    return near.select("id", "poi_id", "distance_km")
 
 
 @query("nearest_poi", f"{EP}, d AS (SELECT e.id, p.poi_id, {PAIR} AS km FROM estates e, pois p) SELECT id, poi_id, round(km, 4) AS distance_km FROM d WHERE km <= 5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, poi_id) = 1")

@@ -291,3 +291,19 @@ def test_stream_equals_batch(spark, tmp_path):
     s = events.hourly(events.read(spark, str(tmp_path / "in"), batch.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 1), "2 hours")
     got = events.run_once(s.select("hour", "event_type", "n"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, events.hourly(batch).select("hour", "event_type", "n").collect()))
+
+
+def test_radius_join_by_place(spark):
+    """Rows that share places, those that don't, and null, NaN and negative zero: the rows of the plain join, with rounded
+    distances, dealt into more than one task before the join that multiplies them."""
+    shared = [(k, None if k == 7 else float("nan") if k == 8 else -0.0 if k == 9 else k % 5 / 100, k % 3 / 100) for k in range(300)]
+    own = [(k, k / 100, k * 7 % 100 / 100) for k in range(300)]
+    for rows in (shared, own):
+        a, b = spark.createDataFrame(rows, "id long, latitude double, longitude double"), spark.createDataFrame(rows, "poi_id long, lat double, lon double").coalesce(1)
+        got = spatial.radius_join_by_place(a, b, 1.6, 3)
+        assert got.columns == ["id", "latitude", "longitude", "poi_id", "lat", "lon", "distance_km"]
+        key = lambda r: (r.id, r.poi_id, str(r.latitude), str(r.lat), r.distance_km)
+        want = sorted(map(key, spatial.radius_join(a, b, 1.6).withColumn("distance_km", F.round("distance_km", 3)).collect()))
+        assert sorted(map(key, got.collect())) == want and len(want) >= 300
+        if rows is shared:
+            assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and len(want) > 10_000
