@@ -264,8 +264,9 @@ FAR_B = [f"CAST(s_suppkey AS BIGINT) AS poi_id, {FAR_LAT.format(k='s_suppkey', s
 def _(spark, sf):
     """Near poles and across the date line."""
     of = lambda name, cols: functools.reduce(lambda x, y: x.unionByName(y), [table(spark, sf, name).selectExpr(f"inline(array(struct({c})))") for c in cols])
-    near = spatial.radius_join(of("part", FAR_A), of("supplier", FAR_B), 2.5)
-    return near.select("id", "poi_id", F.round("latitude", 3).alias("latitude"), F.round("distance_km", 4).alias("distance_km"))
+    estates_there = of("part", FAR_A).withColumn("shown", F.round("latitude", 3))
+    near = spatial.radius_join_by_place(estates_there, of("supplier", FAR_B), 2.5, 4)
+    return near.select("id", "poi_id", F.col("shown").alias("latitude"), "distance_km")
 
 
 PLACES = (spatial.Place("north", 45.08, 7.66, 2.0), spatial.Place("south", 45.02, 7.62, 1.5))
