@@ -1,17 +1,22 @@
 """Energy certificates in XML: rows of the estates table, and the detailed view of one certificate.
 
-Many values of a document come from one XPath call that joins them, as each call parses the document: as many as the
-parser's limit of operators in an expression allows. Paths name elements without their prefixes, which are taken off
-the tags beforehand. A document that isn't well-formed gives a row without values, as one without elements does.
+A document is read once, by Python's expat, and all paths are looked up in its elements. Paths name elements without
+their prefixes, which are taken off the tags beforehand. A document that isn't well-formed gives a row without values,
+as one without elements does.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
+from xml.etree import ElementTree
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from parcelspark.functions import exprs as X
 from parcelspark.operators.rollup import energy_percentile, energy_points, expert_points
@@ -120,23 +125,108 @@ TECHNICAL = ("dhw_system_type", "dhw_system_year", "heating_system_type", "heati
 FIRST = ("id", "is_meta_estate", "cadastral_units_count", "id_list", "ape_file_list", "ape_file_list_filtered", "ape_file_list_filtered_parsed")
 
 GAP = "␟"
+STEP = re.compile(r"(//?)([\w.-]+|\*)((?:\[[^\[\]]*\])*)")
+
+
+def steps(path: str) -> list[tuple]:
+    """A path as steps (below, name, conditions): `below` at any depth; a condition is "1", the first of a parent's, or a
+    test of names. A path in brackets with [1], of which only the first element counts, ends in the step None."""
+    head = re.match(r"\(([^()]*)\)\[1\]", path)
+    out = [*steps(head[1]), None] if head else []
+    rest = path[head.end() :] if head else path
+    for m in STEP.finditer(rest):
+        out.append((m[1] == "//", m[2], tuple(_condition(c) for c in re.findall(r"\[([^\[\]]*)\]", m[3]))))
+    if "".join(m[0] for m in STEP.finditer(rest)) != rest:
+        raise ValueError(f"not a path that is read here: {path}")
+    return out
 
 
-OPERATORS = 90  # the parser allows 100 in an expression
+def _condition(text: str) -> str | tuple[str, ...]:
+    words = tuple(re.findall(re.escape(f"contains({NAMED},'") + r"(\w+)'\)", text))
+    both, either = (sign.join(f"contains({NAMED},'{w}')" for w in words) for sign in (" and ", " or "))
+    if text == "1" or not words or text not in (both, either):
+        if text != "1":
+            raise ValueError(f"not a condition that is read here: {text}")
+        return "1"
+    return ("and" if text == both else "or", *words)
+
+
+@lru_cache(4096)
+def _fits(tag: str, condition: tuple[str, ...]) -> bool:
+    low = tag.rpartition(":")[2].translate(_LOWER)
+    return (all if condition[0] == "and" else any)(w in low for w in condition[1:])
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _children(parent: ElementTree.Element, name: str, conditions: tuple) -> list[ElementTree.Element]:
+    got = list(parent) if name == "*" else [e for e in parent if e.tag == name]
+    for c in conditions:
+        got = got[:1] if c == "1" else [e for e in got if _fits(e.tag, c)]
+    return got
+
+
+def _tree(doc: str) -> ElementTree.Element:
+    """The elements under a node of their own, names as they are written; empty if the document can't be read."""
+    builder, parser = ElementTree.TreeBuilder(), expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = (lambda tag, _: builder.start(tag, {})), builder.end, builder.data
+    top = ElementTree.Element("")
+    builder.start("", {})
+    try:
+        parser.Parse(doc, True)
+        builder.end("")
+        top = builder.close()
+    except expat.ExpatError:
+        pass
+    return top
+
+
+def planned(paths: Sequence[str]) -> list[list[tuple[int, tuple | None]]]:
+    """Each path as steps with numbers, the same for paths that begin alike."""
+    numbers: dict[tuple, int] = {}
+    return [[(numbers.setdefault(tuple(s[: k + 1]), len(numbers)), step) for k, step in enumerate(s)] for s in map(steps, paths)]
+
+
+def texts_at(doc: str, paths: Sequence[Sequence[tuple]]) -> list[str]:
+    """For each path, as planned, the text of the first element in the document's order, empty if there is none."""
+    top = _tree(doc)
+    order = {e: i for i, e in enumerate(top.iter())}
+    named: dict[str, list] = {}
+    for e in order:
+        named.setdefault(e.tag, []).append(e)
+    out, known = [], {}
+    for path in paths:
+        found = [top]
+        for at, step in path:
+            if at not in known:
+                if step is None:
+                    found = [min(found, key=order.__getitem__)] if found else []
+                elif found[0] is top and step[0] and not step[2] and step[1] != "*":
+                    found = named.get(step[1], [])
+                else:
+                    below, name, conditions = step
+                    parents = order if below and found[0] is top else dict.fromkeys(p for e in found for p in (e.iter() if below else (e,)))
+                    found = list(dict.fromkeys(c for p in parents for c in _children(p, name, conditions)))
+                known[at] = found
+            found = known[at]
+            if not found:
+                break
+        out.append("".join(min(found, key=order.__getitem__).itertext()) if found else "")
+    return out
 
 
-def grouped(paths: Sequence[str]) -> list[list[str]]:
-    """Paths in groups that one expression can hold."""
-    out: list[list[str]] = [[]]
-    held = 0
-    for p in paths:
-        n = 2 + len(re.findall(r"[/=*\[(,]|\band\b|\bor\b", p))
-        if out[-1] and held + n > OPERATORS:
-            out.append([])
-            held = 0
-        out[-1].append(p)
-        held += n
-    return out
+def _reader(paths: Sequence[str], at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with a last column of the texts at the paths of the document in column `at`."""
+    every = planned(paths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array([texts_at(d.as_py(), every) for d in b.column(at)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), got], [*(n for i, n in enumerate(b.schema.names) if i != at), "__v"])
+
+    return run
 
 
 def plant_paths(base: str) -> dict[str, str]:
@@ -169,10 +259,8 @@ def once(df: DataFrame, kept: Sequence[str], cols: Mapping[str, Column]) -> Data
 def values(df: DataFrame, paths: Mapping[str, Sequence[str]], xml: str) -> DataFrame:
     """df with a column `name` for each entry: the first non-empty text of its paths, trimmed, else null."""
     flat = [p for ps in paths.values() for p in ps]
-    each = [F.split(F.xpath_string("__doc", F.lit("concat(" + "".join(f"string({p}),'{GAP}'," for p in group) + "'')")), GAP) for group in grouped(flat)]
-    every = F.flatten(F.array(*[F.slice(c, 1, len(g)) for c, g in zip(each, grouped(flat), strict=True)]))  # each list ends in an empty one
-    texts = once(df, df.columns, {"__doc": F.coalesce(wrapped(F.col(xml)), F.lit("<certificate/>"))})
-    texts = once(texts, df.columns, {"__v": every})
+    texts = df.withColumn("__doc", F.coalesce(wrapped(F.col(xml)), F.lit("<certificate/>")))
+    texts = texts.mapInArrow(_reader(flat, len(df.columns)), StructType([*df.schema.fields, StructField("__v", ArrayType(StringType()))]))
     clean = lambda i: F.nullif(F.regexp_replace(F.get(F.col("__v"), i), r"^\s+|\s+$", ""), F.lit(""))
     out, at = {}, 0
     for name, ps in paths.items():
