@@ -864,7 +864,8 @@ EPC_XML = (
 
 def _certificates(spark: SparkSession, sf: str) -> DataFrame:
     """(file, xml): a certificate for each part, one in 50 of them cut off."""
-    rows = table(spark, sf, "part").selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in EPC.items()])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the parts are few bytes, that is one task, the documents are not
+    rows = table(spark, sf, "part").repartition(tasks).selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in EPC.items()])
     parts = [F.lit("<?xml version='1.0'?>")]
     for piece in re.split(r"(\{\w+:\w+\})", EPC_XML):
         held = re.fullmatch(r"\{(\w+):(\w+)\}", piece)

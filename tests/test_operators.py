@@ -307,3 +307,19 @@ def test_radius_join_by_place(spark):
         assert sorted(map(key, got.collect())) == want and len(want) >= 300
         if rows is shared:
             assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and len(want) > 10_000
+
+
+def test_certificate_paths(spark, tmp_path):
+    """Texts at paths: the first in the document's order, below each other, by place and by parts of names; and the documents
+    dealt out from one small partition."""
+    doc = "<r><a><a><b>1</b></a><b>2</b></a><c xmlns='u' x:y='1'><b>3</b><Piano_x>4<!-- no --><i>5</i></Piano_x></c><c><b>6</b><b>7</b></c></r>"
+    want = {"//a/b": "1", "//c//b": "3", "(//c)[1]/b": "3", "(//a)[1]//b": "1", "//c/b": "3", "//none/b": "", "/*": "1234567", f"//*[contains({certificates.NAMED},'piano')][1]": "45", "(//none)[1]/b": ""}
+    assert certificates.texts_at(doc, certificates.planned(list(want))) == list(want.values())
+    assert certificates.texts_at("<r><a>", certificates.planned(["//a", "/*"])) == ["", ""]
+    with pytest.raises(ValueError):
+        certificates.steps("//a[last()]")
+    from parcelspark.plans import registry
+
+    spark.range(3).selectExpr("id AS p_partkey", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    docs = registry._certificates(spark, str(tmp_path))
+    assert docs.count() == 3 and docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
