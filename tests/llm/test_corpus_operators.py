@@ -318,6 +318,41 @@ def test_mined_rules(spark, seed):
     assert urls.mine(odd, m).count() == 0 and urls.mine(odd.limit(0), m).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_mined_rules_of_wide_pages(spark, seed):
+    """Pages of more tokens than go together: rules against counting by hand over every itemset, by levels alone and both ways."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(200):
+        t = [x for x in "abcdefg" if rng.random() < (0.3, 0.6)[seed - 3]] + ["twin"] * (rng.random() < 0.5)
+        rows.append((t, "block" if {"a", "b"} <= set(t) or ("c" in t and rng.random() < 0.97) or {"d", "e", "f"} <= set(t) else "allow"))
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    for together in (0, 3):
+        m = urls.Mining(support=0.05, confidence=0.85, together=together)
+        want = {k: round(c, 6) for k, c in brute_rules(rows, m).items()}
+        assert spelled(urls.prune(urls.mine(df, m), m).collect()) == want and any(len(k[0]) > 1 for k in want)
+
+
+def test_tokens_beyond_the_tenth_combine(spark):
+    """x and y decide together and say nothing alone, beside twelve tokens that are each nearer to a verdict."""
+    many = [f"k{i:02}" for i in range(12)]
+    rows = [(["x"] * x + ["y"] * y + many[:i] + many[i + 1 :], "block" if x and y else "allow") for i in range(12) for x, y in ((1, 1), (1, 1), (1, 0), (0, 1))]
+    rows += [(["x"] * x + ["y"] * y + many, "block" if x and y else "allow") for x, y in ((1, 1), (1, 0), (0, 1))]
+    rows += [([k], "allow") for k in many for _ in range(12)] + [(["x"], "allow"), (["y"], "allow")] * 6
+    m = urls.Mining(support=0.1)
+    got = spelled(urls.prune(urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), m), m).collect())
+    assert got[("x", "y"), "block"] == 1.0
+
+
+def test_near_certain_tokens_combine(spark):
+    """a alone is at 0.99; with i and j, which leave out its other pages only together, it is certain."""
+    rows = [(["a"], "block")] * 290 + [(["a", "i", "j"], "block")] * 10 + [(["a", "i"], "allow")] * 2 + [(["a", "j"], "allow")] * 2
+    rows += [(["i", "j"], "allow")] * 200 + [(["z"], "allow")] * 400
+    m = urls.Mining()
+    got = spelled(urls.prune(urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), m), m).collect())
+    assert got == {k: round(c, 6) for k, c in brute_rules(rows, m).items()} and got[("a", "i", "j"), "block"] == 1.0
+
+
 def brute_verdict(tokens, rules):
     """The verdict of the best rule (items, alike, verdict, confidence, gain) that fires, or None."""
     hit = [(r.confidence, len(r["items"]), r.gain, r.verdict) for r in rules if all(set(a) & set(tokens) for a in r.alike)]
