@@ -95,17 +95,21 @@ def nearest_place(df: DataFrame, places: Sequence[Place], lat: str = "latitude",
 def nearest_row(df: DataFrame, points: DataFrame, reach_km: float, key: str = "id", point_key: str = "poi_id", rings: int = 3, grows: float = 4.0) -> DataFrame:
     """(key, point, distance_km): the nearest point of a table within reach of each row, ties to the smaller point key.
 
-    Rows look around in growing rings: the first is reach / grows^(rings - 1), and a row that found a point there has its
-    nearest one, so few rows meet the many points within the whole reach. Keys are distinct.
+    Places look around in growing rings: the first is reach / grows^(rings - 1), and a place that found a point there has
+    its nearest one, so few meet the many points within the whole reach. Rows at one place share what it finds, and of the
+    points at one place only that with the smallest key can be nearest. Points listed in cells are many times their table,
+    by whose size Spark would broadcast them through the driver: rings and rows are joined by shuffles.
     """
-    rest, found = df.select(key, "latitude", "longitude"), []
-    there = points.select(point_key, "lat", "lon")
+    at = ["latitude", "longitude"]
+    rest, found = df.select(*at).distinct(), []
+    there = points.groupBy("lat", "lon").agg(F.min(point_key).alias(point_key))
     for i in range(rings):
-        near = radius_join(rest, there, reach_km / grows ** (rings - 1 - i))
-        best = near.groupBy(key).agg(F.min(F.struct("distance_km", point_key)).alias("b"))
-        found.append(best.select(key, F.col(f"b.{point_key}").alias(point_key), F.col("b.distance_km").alias("distance_km")))
-        rest = rest.join(best.select(key), key, "left_anti")
-    return reduce(lambda a, b: a.unionByName(b), found)
+        near = radius_join(rest, there.hint("shuffle_merge"), reach_km / grows ** (rings - 1 - i))
+        best = near.groupBy(*at).agg(F.min(F.struct("distance_km", point_key)).alias("b"))
+        found.append(best.select(*at, F.col(f"b.{point_key}").alias(point_key), F.col("b.distance_km").alias("distance_km")))
+        rest = rest.join(best.select(*at).hint("shuffle_merge"), at, "left_anti")
+    nearest = reduce(lambda a, b: a.unionByName(b), found)
+    return df.select(key, *at).join(nearest.hint("shuffle_merge"), at).select(key, point_key, "distance_km")
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
